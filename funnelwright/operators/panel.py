@@ -321,3 +321,24 @@ def wow_row(trend: DataFrame, keys: Sequence[str], period: str, metrics: Sequenc
     last = F.lead(period).over(w).isNull()
     t = trend.withColumns({f"_p_{m}": F.lag(m).over(w) for m in metrics} | {"_last": last, "_has": F.lag(period).over(w).isNotNull()})
     return t.where("_last and _has").select(*keys, period, *[r(change(m, f"_p_{m}")).alias(f"{m}_wow") for m in metrics])
+
+
+def panel_qc(panel: DataFrame, end: str, weeks: int, expected_weeks: int, month: str) -> DataFrame:
+    """Sanity rows before a report is published: stage order, bounds, weeks present and spaced, no leak."""
+    w = weekly_trend(panel, end, weeks)
+    k = W.partitionBy("tag", "member").orderBy("week_start")
+    w = w.withColumn("_gap", F.datediff("week_start", F.lag("week_start").over(k)))
+    bad = lambda cond: F.count(F.when(cond, 1))
+    outside = lambda c: (F.col(c) < 0) | (F.col(c) > 1)
+    rows = w.agg(
+        bad(~((F.col("exp_uv") >= F.col("detail_uv")) & (F.col("detail_uv") >= F.col("pay_pv")))).alias("stage_order"),
+        bad(outside("detail_dau") | outside("exp_dau")).alias("rate_bounds"), bad(F.col("_gap") != 7).alias("week_spacing"), F.count("*").alias("n"),
+    )
+    per = w.groupBy("tag", "member").agg(F.count("*").alias("c"), F.max("week_start").alias("mx")).withColumn("_latest", w.agg(F.max("week_start").alias("x")).scalar())
+    rows2 = per.agg(bad(F.col("c") != expected_weeks).alias("week_count"), bad(F.col("mx") != F.col("_latest")).alias("same_latest_week"), F.count("*").alias("n"))
+    rows3 = panel.agg(bad(month_key("dt") > month).alias("month_leak"), F.count("*").alias("n"))
+
+    def long(df: DataFrame, names: Sequence[str]) -> DataFrame:
+        return df.unpivot(["n"], list(names), "check", "n_bad").select("check", "n_bad", F.col("n").alias("n_rows"))
+
+    return long(rows, ["stage_order", "rate_bounds", "week_spacing"]).unionByName(long(rows2, ["week_count", "same_latest_week"])).unionByName(long(rows3, ["month_leak"]))

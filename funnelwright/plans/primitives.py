@@ -271,12 +271,12 @@ def _(t):
                            F.quarter(d).cast("long").alias("quarter"), F.weekday(F.date_add(d, 3)).cast("long").alias("weekday_plus3")).distinct()
 
 
-@query("f04_portable_helpers", """select date_trunc('month', o_orderdate)::date as m, max(datediff('day', o_orderdate, date '2002-01-01')) as max_age, round(sum(o_totalprice)/nullif(count(case when o_orderstatus='P' then 1 end),0),4) as safe_div,
+@query("f04_portable_helpers", """select date_trunc('month', o_orderdate)::date as m, max(datediff('day', o_orderdate, date '2002-01-01')) as max_age, round(sum(o_totalprice)/nullif(count(case when o_orderstatus='P' then 1 end),0),6) as safe_div,
    string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as statuses from orders group by 1""")
 def _(t):
     return t.orders.groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("m")).agg(
         F.max(F.expr("timestampdiff(DAY, o_orderdate, date'2002-01-01')")).alias("max_age"),
-        r(ratio(F.sum("o_totalprice"), F.count(F.when(F.col("o_orderstatus") == "P", 1))), 4).alias("safe_div"),
+        r(ratio(F.sum("o_totalprice"), F.count(F.when(F.col("o_orderstatus") == "P", 1))), 6).alias("safe_div"),
         F.expr("listagg(distinct o_orderstatus, ',') within group (order by o_orderstatus)").alias("statuses"))
 
 
@@ -340,13 +340,13 @@ def _(t):
     return R.date_parse_share(x, ["d", "s"], 0.8).select("column_name", r("parsed_share").alias("parsed_share"), "is_date")
 
 
-@query("f13_alias_match", """with w as (select lower(p_name) as nm from part) select entity, sum(conf)::double as confidence, count(*) as n from (
+@query("f13_alias_match", """with w as (select lower(p_name) as nm from part) select entity, round(sum(conf)::double,4) as confidence, count(*) as n from (
    select case when regexp_matches(nm, '\\bsmall ring\\b') then 'SmallRing' when regexp_matches(nm, '\\bring\\b') then 'Ring' when regexp_matches(nm, '\\bwidget\\b') then 'Widget' end as entity,
           case when regexp_matches(nm, '\\bsmall ring\\b') then 1.0 when regexp_matches(nm, '\\bring\\b') then 0.8 when regexp_matches(nm, '\\bwidget\\b') then 1.0 end as conf from w) where entity is not null group by 1""")
 def _(t):
     aliases = [("small ring", "SmallRing", 1.0), ("ring", "Ring", 0.8), ("widget", "Widget", 1.0)]
     m = R.alias_matches(t.part.select("p_partkey", "p_name"), "p_name", aliases)
-    return m.groupBy("entity").agg(F.sum("confidence").alias("confidence"), F.count("*").alias("n"))
+    return m.groupBy("entity").agg(r(F.sum("confidence"), 4).alias("confidence"), F.count("*").alias("n"))
 
 
 @query("f14_close_names", """with a as (select distinct lower(p_name) as nm from part), b as (select distinct substr(lower(p_name), 1, length(p_name)-1) as q from part),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from funnelwright.operators import panel
 
@@ -80,6 +80,31 @@ class Tables:
         )
         return panel.funnel_panel(o, ["category", "terminal"])
 
+    @cached_property
+    def behaviour(self) -> DataFrame:
+        """One row per user and active day: actions of the day, payments in the next seven days, history.
+
+        Windows run over user-days, so a user holds at most one row per calendar day.
+        """
+        hi = F.col("value") > 250
+        cnt = lambda et, cond=None: F.count(F.when((F.col("event_type") == et) & (F.lit(True) if cond is None else cond), 1))
+        d = self.events.groupBy("user_id", F.to_date("ts").alias("dt")).agg(
+            cnt("view").alias("sx_all"), cnt("view", hi).alias("sx_hi"), cnt("view", ~hi).alias("sx_lo"),
+            cnt("click").alias("xd_all"), cnt("signup").alias("sc_all"), cnt("error").alias("jg_all"),
+            cnt("purchase").alias("ord_0"), cnt("purchase", hi).alias("ord_hi_0"), cnt("purchase", ~hi).alias("ord_lo_0"),
+        ).withColumn("_d", F.unix_date("dt"))
+        u = W.partitionBy("user_id").orderBy("_d")
+        week = u.rangeBetween(0, 6)
+        before = u.rangeBetween(W.unboundedPreceding, -1)
+        return d.withColumns({
+            "source": F.concat(F.lit("G"), F.col("user_id") % 4),
+            "ord_7": F.sum("ord_0").over(week), "ord_hi_7": F.sum("ord_hi_0").over(week), "ord_lo_7": F.sum("ord_lo_0").over(week),
+            "register_gap": F.col("_d") - F.min("_d").over(W.partitionBy("user_id")),
+            "act_30": F.count("*").over(u.rangeBetween(-29, 0)),
+            "pay_gap": F.coalesce(F.col("_d") - F.max(F.when(F.col("ord_0") > 0, F.col("_d"))).over(before), F.lit(9999)),
+            "ord_t": F.coalesce(F.sum("ord_0").over(before), F.lit(0)),
+        }).drop("_d")
+
 
 # The same inputs for DuckDB, as common table expressions.
 FUNNEL_EVENTS_SQL = """fe as (
@@ -109,3 +134,15 @@ ORDER_PANEL_SQL = f"""oe as (
   select 'overall' as tag, 'overall' as member, dt, {_COUNTS_SQL} from oe group by dt
   union all select 'category', category, dt, {_COUNTS_SQL} from oe group by category, dt
   union all select 'terminal', terminal, dt, {_COUNTS_SQL} from oe group by terminal, dt)"""
+
+BEHAVIOUR_SQL = """ud as (select user_id, cast(ts as date) as dt,
+  count(case when event_type='view' then 1 end) as sx_all, count(case when event_type='view' and value > 250 then 1 end) as sx_hi, count(case when event_type='view' and value <= 250 then 1 end) as sx_lo,
+  count(case when event_type='click' then 1 end) as xd_all, count(case when event_type='signup' then 1 end) as sc_all, count(case when event_type='error' then 1 end) as jg_all,
+  count(case when event_type='purchase' then 1 end) as ord_0, count(case when event_type='purchase' and value > 250 then 1 end) as ord_hi_0, count(case when event_type='purchase' and value <= 250 then 1 end) as ord_lo_0
+  from events group by 1,2), beh as (select *, 'G' || (user_id % 4) as source,
+  sum(ord_0) over w7 as ord_7, sum(ord_hi_0) over w7 as ord_hi_7, sum(ord_lo_0) over w7 as ord_lo_7,
+  datediff('day', min(dt) over (partition by user_id), dt) as register_gap,
+  count(*) over (partition by user_id order by dt range between interval 29 day preceding and current row) as act_30,
+  coalesce(datediff('day', max(case when ord_0 > 0 then dt end) over (partition by user_id order by dt range between unbounded preceding and interval 1 day preceding), dt), 9999) as pay_gap,
+  coalesce(sum(ord_0) over (partition by user_id order by dt range between unbounded preceding and interval 1 day preceding), 0) as ord_t
+  from ud window w7 as (partition by user_id order by dt range between current row and interval 6 day following))"""
