@@ -292,7 +292,7 @@ def driver_stage(wow: DataFrame, flat: float = 0.01, exposure_alert: float = -0.
     return wow.select(
         "tag", "member",
         F.when(F.col("pay_dau_wow") > flat, "up").when(F.col("pay_dau_wow") < -flat, "down").when(F.col("pay_dau_wow").isNotNull(), "flat").alias("direction"),
-        (F.col("exp_uv_wow") <= exposure_alert).alias("exposure_alert"),
+        (F.col("exp_dau_wow") < exposure_alert).alias("exposure_alert"),
         top["s"].alias("stage"), top["w"].alias("stage_wow"),
     )
 

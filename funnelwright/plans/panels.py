@@ -230,7 +230,7 @@ def _(t):
 
 @query("k19_driver_stage", f"""with {PANEL_SQL}, {_wow_sql("true")}, st0 as (select tag, member, pay_dau_wow w, exp_dau_wow e, unnest([{{'s':'exp_dau','v':exp_dau_wow,'i':1}},{{'s':'detail_exp','v':detail_exp_wow,'i':2}},{{'s':'order_detail','v':order_detail_wow,'i':3}},{{'s':'pay_order','v':pay_order_wow,'i':4}}]) as st from wow),
    z as (select *, row_number() over (partition by tag, member order by coalesce(abs(st.v),0) desc, st.i) as rn from st0)
-   select tag, member, case when w > 0.01 then 'up' when w < -0.01 then 'down' when w is not null then 'flat' end as direction, e <= -0.03 as exposure_alert, st.s as stage, st.v as stage_wow from z where rn = 1""")
+   select tag, member, case when w > 0.01 then 'up' when w < -0.01 then 'down' when w is not null then 'flat' end as direction, e < -0.03 as exposure_alert, st.s as stage, st.v as stage_wow from z where rn = 1""")
 def _(t):
     return P.driver_stage(P.funnel_wow(t.panel, END))
 
