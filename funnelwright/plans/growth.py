@@ -349,10 +349,10 @@ def _(t):
     return G.active_users(t.orders, "o_custkey", "o_orderdate", "month")
 
 
-@query("c36_revenue_tree", "select date_trunc('month', o_orderdate)::date as month, count(distinct o_custkey) as buyers, count(*) as orders, round(sum(o_totalprice),2) as revenue, round(count(*)/count(distinct o_custkey)::double,6) as orders_per_buyer, round(avg(o_totalprice),8) as order_value from orders where o_orderstatus='F' group by 1")
+@query("c36_revenue_tree", "select date_trunc('month', o_orderdate)::date as month, count(distinct o_custkey) as buyers, count(*) as orders, round(sum(o_totalprice),2) as revenue, round(count(*)/count(distinct o_custkey)::double,6) as orders_per_buyer, round(avg(o_totalprice),2) as order_value from orders where o_orderstatus='F' group by 1")
 def _(t):
     d = G.revenue_tree(t.orders.where("o_orderstatus = 'F'"), "o_custkey", "o_orderdate", "o_totalprice")
-    return d.select("month", "buyers", "orders", r("revenue", 2).alias("revenue"), r("orders_per_buyer").alias("orders_per_buyer"), r("order_value", 8).alias("order_value"))
+    return d.select("month", "buyers", "orders", r("revenue", 2).alias("revenue"), r("orders_per_buyer").alias("orders_per_buyer"), r("order_value", 2).alias("order_value"))
 
 
 @query("c37_state_funnel", """with x as (select user_id, min(case when event_type='signup' and value<120 then ts end) as a, max(case when event_type='purchase' and value<120 then ts end) as b from events group by 1)
