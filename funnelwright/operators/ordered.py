@@ -40,9 +40,9 @@ def range_cuts(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> lis
     return sorted(picks)
 
 
-def _bucketed(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
-    b = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_b", handleInvalid="keep")
-    return b.transform(df.withColumn("_x", _as_number(df, order))).withColumn("_b", F.col("_b").cast("int")).drop("_x")
+def bucketed(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
+    z = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_b", handleInvalid="keep")
+    return z.transform(df.withColumn("_x", _as_number(df, order))).withColumn("_b", F.col("_b").cast("int")).drop("_x")
 
 
 def running(
@@ -65,7 +65,7 @@ def running(
         w = W.partitionBy(*keys).orderBy(*order)
         return _scan(df, w, sums, previous, row_number)
 
-    b = _bucketed(df, order[0], cuts)
+    b = bucketed(df, order[0], cuts)
     pos = F.struct(*[F.col(o) for o in order])
     carries = [F.coalesce(F.sum(c), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(sums.values())]
     carries += [F.max_by(F.struct(F.col(c).alias("v")), pos).alias(f"_p{i}") for i, c in enumerate(previous.values())]

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from funnelwright.functions.scalars import month_key
+from funnelwright.functions.scalars import month_key, shift
 from funnelwright.operators.ordered import running
 
 
@@ -22,6 +22,14 @@ def align_partial_month(df: DataFrame, dt: str, end: str) -> DataFrame:
     return df.where(~((month_key(dt) == last) & (F.dayofmonth(dt) > int(end[8:10]))))
 
 
+def two_year_windows(dt: str, end: str, weeks: int) -> Column:
+    """The last ``weeks`` weeks or the same weeks 364 days earlier; half-open days on the bare column, so both reach the scan."""
+    span = 7 * weeks - 1
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    part = lambda lo, hi: (F.col(dt) >= day(lo)) & (F.col(dt) < day(shift(hi, 1)))
+    return part(shift(end, -span), end) | part(shift(end, -span - 364), shift(end, -364))
+
+
 def transpose_metrics(df: DataFrame, period: str, metrics: Sequence[str], periods: Sequence[str]) -> DataFrame:
     """Metric per row, one column per period."""
     long = df.unpivot([period], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value")

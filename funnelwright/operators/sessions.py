@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from funnelwright.functions.scalars import bucket_index, bucketise, ratio
 from funnelwright.operators.aggregates import gaps
-from funnelwright.operators.ordered import TARGET_ROWS, range_cuts, running
+from funnelwright.operators.ordered import TARGET_ROWS, bucketed, range_cuts
 
 STAY_EDGES = (5, 10, 30, 60, 120, 300, 600, 1800, 3600)
 STAY_LABELS = ("0-5s", "5-10s", "10-30s", "30-60s", "1-2m", "2-5m", "5-10m", "10-30m", "30-60m", "60m+")
@@ -17,13 +17,33 @@ STAY_LABELS = ("0-5s", "5-10s", "10-30s", "30-60s", "1-2m", "2-5m", "5-10m", "10
 def sessionise(events: DataFrame, user: str, ts: str, tie: str, gap_seconds: int, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Events with ``session_no`` per user: a pause longer than the gap starts a new one.
 
-    A gap of exactly ``gap_seconds`` stays in the session. Users with very long histories are scanned in pieces.
+    A gap of exactly ``gap_seconds`` stays in the session. Long histories are cut at quantiles of time: sessions
+    are numbered inside each (user, time range) piece, and one small row per piece says how many sessions came
+    before and whether its first event continues the last one.
     """
+    limit = gap_seconds * 1_000_000
+    pause = lambda later, earlier: F.unix_micros(later) - F.unix_micros(earlier)
     cuts = range_cuts(events, ts, target_rows)
-    p = running(events, [user], [ts, tie], previous={"_prev": ts}, cuts=cuts)
-    pause = F.unix_micros(ts) - F.unix_micros("_prev")
-    p = p.withColumn("_new", F.when(F.col("_prev").isNull() | (pause > gap_seconds * 1_000_000), 1).otherwise(0))
-    return running(p, [user], [ts, tie], sums={"session_no": "_new"}, cuts=cuts).drop("_prev", "_new")
+    if not cuts:
+        w = W.partitionBy(user).orderBy(ts, tie)
+        new = F.when(pause(F.col(ts), F.lag(ts).over(w)) <= limit, 0).otherwise(1)
+        return events.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+    b = bucketed(events, ts, cuts)
+    w = W.partitionBy(user, "_b").orderBy(ts, tie)
+    inner = F.when(pause(F.col(ts), F.lag(ts).over(w)) > limit, 1).otherwise(0)
+
+    # The piece table needs two columns of the events only; it stays partitioned by (user, piece).
+    narrow = b.select(user, "_b", ts, tie).withColumn("_in", inner)
+    piece = narrow.groupBy(user, "_b").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_in").alias("_in"))
+    k = W.partitionBy(user).orderBy("_b")
+    piece = piece.withColumn("_cont", F.when(pause(F.col("_first"), F.lag("_last").over(k)) <= limit, 0).otherwise(1))
+    before = F.coalesce(F.sum(F.col("_in") + F.col("_cont")).over(k.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    piece = piece.select(F.col(user).alias("_u"), F.col("_b").alias("_bb"), (before + F.col("_cont")).alias("_base"))
+
+    numbered = b.withColumn("_in", inner).withColumn("_no", F.sum("_in").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    j = numbered.join(piece, F.col(user).eqNullSafe(F.col("_u")) & (F.col("_b") == F.col("_bb")))
+    return j.select(*events.columns, (F.col("_base") + F.col("_no")).alias("session_no"))
 
 
 def session_table(sessions: DataFrame, user: str, ts: str, tie: str, page: str, is_view: Column, is_purchase: Column) -> DataFrame:

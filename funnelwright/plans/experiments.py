@@ -34,7 +34,7 @@ OVERALL = "tag='overall'"
 
 
 def overall(t):
-    return t.order_panel.where("tag = 'overall'")
+    return t.order_panel_between("1997-06-01", "1998-06-30").where("tag = 'overall'")
 
 
 @query("e01_did_relative", f"with {_periods_sql(WIN, OVERALL)} select metric, round(pre,6) as pre, round(post,6) as post, round((post-pre)/nullif(pre,0),6)+0.0 as change_treated, round((ref_post-ref_pre)/nullif(ref_pre,0),6)+0.0 as change_ref, round((post-pre)/nullif(pre,0)-(ref_post-ref_pre)/nullif(ref_pre,0),6)+0.0 as did from pm")
@@ -63,7 +63,7 @@ def _(t):
 
 @query("e05_daily_yoy", f"with {ORDER_PANEL_SQL} select a.tag, a.member, a.dt, a.uv_all, b.uv_all as uv_all_last, round((a.uv_all-b.uv_all)/nullif(b.uv_all,0)::double,6)+0.0 as uv_all_yoy from opanel a left join opanel b on a.tag=b.tag and a.member=b.member and year(b.dt)=1997 and strftime(a.dt,'%m-%d')=strftime(b.dt,'%m-%d') where year(a.dt)=1998")
 def _(t):
-    return E.daily_yoy(t.order_panel, 1998, ["uv_all"]).withColumn("uv_all_yoy", r("uv_all_yoy"))
+    return E.daily_yoy(t.order_panel_between("1997-01-01", "1998-12-31"), 1998, ["uv_all"]).withColumn("uv_all_yoy", r("uv_all_yoy"))
 
 
 def seg_month(t):

@@ -8,7 +8,8 @@ from funnelwright.plans.primitives import RATE_COLS, RATES_SQL
 from funnelwright.plans.registry import query
 from funnelwright.sources.tables import FUNNEL_EVENTS_SQL, ORDER_PANEL_SQL, PANEL_SQL
 
-END = "2024-01-28"
+END, MONTH, EIGHT = "2024-01-28", "2024-01-01", "2023-12-04"
+YEAR = ("1997-06-01", "1998-06-30")
 WEEK_SQL = "(dt - cast((dt - date '1970-01-05') % 7 as integer))"
 AVG_SQL = ", ".join(f"avg({c}) as {c}" for c in P.COUNTS)
 AVG_ROUND = ", ".join(f"round({c},6) as {c}" for c in P.COUNTS)
@@ -38,7 +39,7 @@ TARGETS = {"pay_dau": 0.5, "uv_all": 150.0, "pay_pv": 70.0}
    select 'pay_dau' kpi, 0.5::double target, pm/um m, pw/uw w, pp/up p, round(pw/uw,6) wf, round(pp/up,6) pf from s union all select 'uv_all', 150.0, um/dm, uw/dw, up/dp, floor(uw/dw), floor(up/dp) from s union all select 'pay_pv', 70.0, pm/dm, pw/dw, pp/dp, floor(pw/dw), floor(pp/dp) from s)
    select kpi, target, round(m,6) as month_mean, round(m/target,6) as achieved, round(w,6) as week_mean, round(p,6) as prior_mean, round((wf-pf)/pf,6)+0.0 as wow from k""")
 def _(t):
-    d = P.kpi_achievement(t.panel, TARGETS, END)
+    d = P.kpi_achievement(t.panel_between(MONTH, END), TARGETS, END)
     return d.select("kpi", "target", *[r(c).alias(c) for c in ("month_mean", "achieved", "week_mean", "prior_mean", "wow")])
 
 
@@ -63,14 +64,14 @@ def _wow_sql(where: str, dau_tags: str | None = None) -> str:
 
 @query("k03_funnel_wow", f"with {PANEL_SQL}, {_wow_sql(chr(39) + 'overall' + chr(39) + ' = tag')} select * from wow")
 def _(t):
-    return P.funnel_wow(t.panel, END, ["overall"])
+    return P.funnel_wow(t.panel_between(MONTH, END), END, ["overall"])
 
 
 DIM_WHERE = "tag in ('terminal','scene','source') and member not in ('S3')"
 
 
 def dims_wow(t):
-    return P.funnel_wow(t.panel, END, ["terminal", "scene", "source"], exclude=["S3"], dau_tags=["terminal", "source"])
+    return P.funnel_wow(t.panel_between(MONTH, END), END, ["terminal", "scene", "source"], exclude=["S3"], dau_tags=["terminal", "source"])
 
 
 DIM_WOW = _wow_sql(DIM_WHERE, "'terminal','source'")
@@ -83,24 +84,27 @@ def _(t):
 
 @query("k05_weekly_trend", f"with {PANEL_SQL}, w as (select tag, member, {WEEK_SQL} as week_start, count(distinct dt) as days, {AVG_SQL} from panel where dt between date '2023-12-04' and date '2024-01-28' group by 1,2,3) select tag, member, week_start, week_start+6 as week_end, days, {AVG_ROUND}, {RATES_SQL} from w")
 def _(t):
-    return _trend_out(P.weekly_trend(t.panel, END), "tag", "member", "week_start", "week_end")
+    return _trend_out(P.weekly_trend(t.panel_between(EIGHT, END), END), "tag", "member", "week_start", "week_end")
 
 
 @query("k06_monthly_trend", f"with {ORDER_PANEL_SQL}, m as (select tag, member, strftime(dt,'%Y-%m') as month, count(distinct dt) as days, {AVG_SQL} from opanel where dt between date '1997-01-01' and date '1998-07-19' and not (strftime(dt,'%Y-%m')='1997-07' and day(dt) > 19) group by 1,2,3) select tag, member, month, days, {AVG_ROUND}, {RATES_SQL} from m")
 def _(t):
-    return _trend_out(P.monthly_trend(t.order_panel, "1997-01-01", "1998-07-19"), "tag", "member", "month")
+    return _trend_out(P.monthly_trend(t.order_panel_between("1997-01-01", "1998-07-19"), "1997-01-01", "1998-07-19"), "tag", "member", "month")
 
 
 @query("k07_daily_metrics", f"with {PANEL_SQL} select tag, member, dt, uv_all, pay_pv, {RATES_SQL} from panel where dt between date '2024-01-22' and date '2024-01-28'")
 def _(t):
-    return P.daily_metrics(t.panel, "2024-01-22", END).select("tag", "member", "dt", "uv_all", "pay_pv", *[r(c).alias(c) for c in RATE_COLS])
+    return P.daily_metrics(t.panel_between("2024-01-22", END), "2024-01-22", END).select("tag", "member", "dt", "uv_all", "pay_pv", *[r(c).alias(c) for c in RATE_COLS])
 
 
-def brand_events(t):
+TWO_WEEKS, TWO_YEARS = ("1998-06-15", "1998-06-28"), ("1997-05-05", "1998-06-28")
+
+
+def brand_events(t, lo, hi):
     """Stage events of lineitems: category from the part, entity is the order."""
     pool = t.part.where("p_size <= 30").select("p_partkey", F.when(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"), "phone").when(F.col("p_brand").isin("Brand#4", "Brand#5"), "tablet").when(F.col("p_brand") == "Brand#6", "watch").alias("category"))
     stage = F.when(F.col("l_linenumber") <= 2, "exp").when(F.col("l_linenumber") <= 4, "detail").when(F.col("l_linenumber") <= 5, "order").otherwise("pay")
-    li = t.lineitem.select(F.col("l_shipdate").alias("dt"), stage.alias("stage"), F.col("l_orderkey").alias("entity"), "l_partkey")
+    li = t.lineitem_between(lo, hi).select(F.col("l_shipdate").alias("dt"), stage.alias("stage"), F.col("l_orderkey").alias("entity"), "l_partkey")
     return li.join(pool, F.col("l_partkey") == F.col("p_partkey")).select("dt", "stage", "category", "entity")
 
 
@@ -110,8 +114,8 @@ BRAND_SQL = """be as (select cast(l_shipdate as date) as dt, case when l_linenum
    bd as (select dt, stage, coalesce(category,'all') as category, uv from (select dt, stage, category, count(distinct entity) as uv from be where category is not null group by grouping sets ((dt,stage,category),(dt,stage))))"""
 
 
-def brand_dau(t):
-    u = t.lineitem.groupBy(F.col("l_shipdate").alias("dt"), "l_orderkey").agg(F.lit(1).alias("one"))
+def brand_dau(t, lo, hi):
+    u = t.lineitem_between(lo, hi).groupBy(F.col("l_shipdate").alias("dt"), "l_orderkey").agg(F.lit(1).alias("one"))
     return u.groupBy("dt").agg(F.count("one").alias("uv_all"))
 
 
@@ -125,7 +129,7 @@ _br = ", ".join(f"round({a}_c/nullif({b}_c,0),6) as {k}, round(({a}_c/nullif({b}
    x as (select *, (select sum(uv_all)/7.0::double from dau where dt between date '1998-06-22' and date '1998-06-28') as dau_c, (select sum(uv_all)/7.0::double from dau where dt between date '1998-06-15' and date '1998-06-21') as dau_p from c)
    select category, round(dau_c,4) as dau, {_bo}, {_br} from x""")
 def _(t):
-    return P.brand_funnel(brand_events(t), brand_dau(t), "1998-06-28")
+    return P.brand_funnel(brand_events(t, *TWO_WEEKS), brand_dau(t, *TWO_WEEKS), "1998-06-28")
 
 
 _ty = "(dt between date '1998-05-04' and date '1998-06-28' or dt between date '1997-05-05' and date '1997-06-29')"
@@ -137,7 +141,7 @@ _ty = "(dt between date '1998-05-04' and date '1998-06-28' or dt between date '1
    round(dau,4) as dau, round(exp,4) as exp, round(detail,4) as detail, round("order",4) as "order", round(pay,4) as pay, {", ".join(f'round("{a}"/nullif("{b}",0),6) as {k}' for k, (a, b) in BRAND_PAIRS.items() if k != 'order_dau')}
    from j where week_start >= date '1998-05-04' or week_start between date '1997-05-05' and date '1997-06-29'""")
 def _(t):
-    return P.brand_trend_yoy(brand_events(t), brand_dau(t), "1998-06-28")
+    return P.brand_trend_yoy(brand_events(t, *TWO_YEARS), brand_dau(t, *TWO_YEARS), "1998-06-28")
 
 
 _sm = ("pay_pv", "uv_all", "exp_uv", "exp_pv")
@@ -148,7 +152,7 @@ _so = ", ".join(f"{m}_c::bigint as {m}_week, round({m}_sc,6) as {m}_share, round
 
 @query("k10_structure_share", f"with {PANEL_SQL}, s as (select tag, member, {_ss} from panel where tag<>'overall' and dt between date '2024-01-01' and date '2024-01-28' group by 1,2), h as (select *, {_sh} from s) select tag, member, {_so} from h")
 def _(t):
-    return P.structure_share(t.panel, END)
+    return P.structure_share(t.panel_between(MONTH, END), END)
 
 
 _FOUR = "round(avg(pay_pv)/nullif(avg(uv_all),0),6) as pay_dau, round(avg(detail_uv)/nullif(avg(uv_all),0),6) as detail_dau, round(avg(pay_pv)/nullif(avg(detail_uv),0),6) as pay_detail, round(avg(exp_uv)/nullif(avg(uv_all),0),6) as exp_dau"
@@ -156,7 +160,7 @@ _FOUR = "round(avg(pay_pv)/nullif(avg(uv_all),0),6) as pay_dau, round(avg(detail
 
 @query("k11_category_upgrade", f"with {ORDER_PANEL_SQL} select tag, member, {WEEK_SQL} as week_start, {_FOUR} from opanel where dt between date '1998-05-04' and date '1998-06-28' and (tag='overall' or (tag='category' and member in ('BF','BO'))) group by 1,2,3")
 def _(t):
-    p = t.order_panel.where((F.col("tag") == "overall") | ((F.col("tag") == "category") & F.col("member").isin("BF", "BO")))
+    p = t.order_panel_between("1998-05-04", "1998-06-28").where((F.col("tag") == "overall") | ((F.col("tag") == "category") & F.col("member").isin("BF", "BO")))
     return P.weekly_trend(p, "1998-06-28").select("tag", "member", "week_start", *[r(c).alias(c) for c in ("pay_dau", "detail_dau", "pay_detail", "exp_dau")])
 
 
@@ -169,13 +173,13 @@ def _(t):
 
 @query("k13_segment_watch", f"with {PANEL_SQL} select tag, member, {WEEK_SQL}+6 as week_end, round(avg(pay_pv)/nullif(avg(uv_all),0),6) as pay_dau, round(avg(exp_uv)/nullif(avg(uv_all),0),6) as exp_dau, round(avg(exp_pv)/nullif(avg(exp_uv),0),6) as pv_per_user from panel where dt between date '2023-12-04' and date '2024-01-28' and tag in ('terminal','source') and (member like '%T1%' or member like '%Z%') group by 1,2,3")
 def _(t):
-    p = t.panel.where(F.col("tag").isin("terminal", "source") & like_any("member", ["%T1%", "%Z%"]))
+    p = t.panel_between(EIGHT, END).where(F.col("tag").isin("terminal", "source") & like_any("member", ["%T1%", "%Z%"]))
     return P.weekly_trend(p, END).select("tag", "member", "week_end", *[r(c).alias(c) for c in ("pay_dau", "exp_dau", "pv_per_user")])
 
 
 @query("k14_scene_bag_rate", f"with {PANEL_SQL} select member, {WEEK_SQL} as week_start, round(avg(pay_pv)/nullif(avg(exp_uv),0),6) as pay_exp from panel where dt between date '2023-12-04' and date '2024-01-28' and tag='scene' and member in ('S0','S2') group by 1,2")
 def _(t):
-    p = t.panel.where((F.col("tag") == "scene") & F.col("member").isin("S0", "S2"))
+    p = t.panel_between(EIGHT, END).where((F.col("tag") == "scene") & F.col("member").isin("S0", "S2"))
     return P.weekly_trend(p, END).select("member", "week_start", r("pay_exp").alias("pay_exp"))
 
 
@@ -194,13 +198,13 @@ MOM = _mom_sql("1998-06", "1998-05", "1997-06")
 
 @query("k15_mom_yoy", f"with {ORDER_PANEL_SQL}, {MOM} select tag, member, metric, round(value,6) as value, round(mom,6)+0.0 as mom, round(yoy,6)+0.0 as yoy from mm")
 def _(t):
-    return P.mom_yoy(t.order_panel, "1998-06").select("tag", "member", "metric", *[r(c).alias(c) for c in ("value", "mom", "yoy")])
+    return P.mom_yoy(t.order_panel_between(*YEAR), "1998-06").select("tag", "member", "metric", *[r(c).alias(c) for c in ("value", "mom", "yoy")])
 
 
 @query("k16_kpi_month", f"with {ORDER_PANEL_SQL}, {MOM}, tg(metric, target) as (values ('pay_dau', 0.4), ('uv_all', 60.0), ('pay_pv', 25.0)) select metric, target::double as target, round(value,6) as value, round(value/target::double,6) as achieved, round(mom,6)+0.0 as mom, round(yoy,6)+0.0 as yoy from mm join tg using (metric) where tag='overall'")
 def _(t):
     targets = t.spark.createDataFrame([("pay_dau", 0.4), ("uv_all", 60.0), ("pay_pv", 25.0)], "metric string, target double")
-    m = P.mom_yoy(t.order_panel.where("tag = 'overall'"), "1998-06").join(targets, "metric")
+    m = P.mom_yoy(t.order_panel_between(*YEAR).where("tag = 'overall'"), "1998-06").join(targets, "metric")
     return m.select("metric", "target", r("value").alias("value"), r(F.col("value") / F.col("target")).alias("achieved"), r("mom").alias("mom"), r("yoy").alias("yoy"))
 
 
@@ -215,31 +219,31 @@ def _struct_out(df):
 
 @query("k17_structure_table", _struct_sql("terminal", "uv_all"))
 def _(t):
-    return _struct_out(P.structure_table(t.order_panel, "terminal", "1998-06"))
+    return _struct_out(P.structure_table(t.order_panel_between(*YEAR), "terminal", "1998-06"))
 
 
 @query("k17_structure_table_exposure", _struct_sql("category", "exp_uv"))
 def _(t):
-    return _struct_out(P.structure_table(t.order_panel, "category", "1998-06", use_exposure=True))
+    return _struct_out(P.structure_table(t.order_panel_between(*YEAR), "category", "1998-06", use_exposure=True))
 
 
 @query("k18_wow_row", f"with {PANEL_SQL}, w as (select tag, member, {WEEK_SQL} as week_start, avg(uv_all) as uv_all, avg(pay_pv) as pay_pv from panel where dt between date '2023-12-04' and date '2024-01-28' group by 1,2,3), l as (select *, lag(uv_all) over p as u0, lag(pay_pv) over p as p0, lead(week_start) over p is null as last from w window p as (partition by tag, member order by week_start)) select tag, member, week_start, round((uv_all-u0)/nullif(u0,0),6)+0.0 as uv_all_wow, round((pay_pv-p0)/nullif(p0,0),6)+0.0 as pay_pv_wow from l where last and u0 is not null")
 def _(t):
-    return P.wow_row(P.weekly_trend(t.panel, END), ["tag", "member"], "week_start", ["uv_all", "pay_pv"])
+    return P.wow_row(P.weekly_trend(t.panel_between(EIGHT, END), END), ["tag", "member"], "week_start", ["uv_all", "pay_pv"])
 
 
 @query("k19_driver_stage", f"""with {PANEL_SQL}, {_wow_sql("true")}, st0 as (select tag, member, pay_dau_wow w, exp_dau_wow e, unnest([{{'s':'exp_dau','v':exp_dau_wow,'i':1}},{{'s':'detail_exp','v':detail_exp_wow,'i':2}},{{'s':'order_detail','v':order_detail_wow,'i':3}},{{'s':'pay_order','v':pay_order_wow,'i':4}}]) as st from wow),
    z as (select *, row_number() over (partition by tag, member order by coalesce(abs(st.v),0) desc, st.i) as rn from st0)
    select tag, member, case when w > 0.01 then 'up' when w < -0.01 then 'down' when w is not null then 'flat' end as direction, e < -0.03 as exposure_alert, st.s as stage, st.v as stage_wow from z where rn = 1""")
 def _(t):
-    return P.driver_stage(P.funnel_wow(t.panel, END))
+    return P.driver_stage(P.funnel_wow(t.panel_between(MONTH, END), END))
 
 
 @query("k20_dimension_movers", f"""with {PANEL_SQL}, {_wow_sql("true")} select tag, case when count(case when pay_dau_wow < 0 then 1 end)=0 then 'rising' when count(case when pay_dau_wow > 0 then 1 end)=0 then 'falling' else 'mixed' end as shape,
    count(case when pay_dau_wow > 0 then 1 end) as n_up, count(case when pay_dau_wow < 0 then 1 end) as n_down, arg_max(member, pay_dau_wow) filter (where pay_dau_wow > 0) as top_up, arg_min(member, pay_dau_wow) filter (where pay_dau_wow < 0) as top_down,
    coalesce(string_agg(member, ',' order by member) filter (where pay_dau_wow > 0),'') as members_up, coalesce(string_agg(member, ',' order by member) filter (where pay_dau_wow < 0),'') as members_down from wow where tag<>'overall' and pay_dau_wow is not null group by 1""")
 def _(t):
-    return P.dimension_movers(P.funnel_wow(t.panel, END), "pay_dau_wow")
+    return P.dimension_movers(P.funnel_wow(t.panel_between(MONTH, END), END), "pay_dau_wow")
 
 
 @query("k21_panel_qc", f"""with {PANEL_SQL}, w as (select tag, member, {WEEK_SQL} as wk, avg(uv_all) u, avg(exp_uv) e, avg(detail_uv) d, avg(pay_pv) p from panel where dt between date '2023-12-04' and date '2024-01-28' group by 1,2,3),

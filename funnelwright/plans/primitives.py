@@ -53,14 +53,14 @@ def _(t):
    where (o_orderdate between date '1998-05-04' and date '1998-06-28') or (o_orderdate between date '1997-05-05' and date '1997-06-29') group by 1""")
 def _(t):
     end = "1998-06-28"
-    cond = S.in_period("o_orderdate", S.shift(end, -55), end) | S.in_period("o_orderdate", S.shift(end, -419), S.shift(end, -364))
-    return t.orders.where(cond).groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(F.count("*").alias("n"))
+    cond = R.two_year_windows("o_orderdate", end, 8)
+    return t.raw("orders").where(cond).groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("m")).agg(F.count("*").alias("n"))
 
 
 @query("p07_align_partial_month", """select strftime(o_orderdate,'%Y-%m') as month, count(*) as n from orders where o_orderdate between date '1997-01-01' and date '1998-06-19'
    and not (strftime(o_orderdate,'%Y-%m') = '1997-06' and day(o_orderdate) > 19) group by 1""")
 def _(t):
-    d = R.align_partial_month(t.orders.where(S.in_period("o_orderdate", "1997-01-01", "1998-06-19")), "o_orderdate", "1998-06-19")
+    d = R.align_partial_month(t.orders_between("1997-01-01", "1998-06-19"), "o_orderdate", "1998-06-19")
     return d.groupBy(S.month_key("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
 
 
@@ -138,7 +138,7 @@ def _(t):
 @query("j06_yoy_self_join", """with d as (select cast(o_orderdate as date) as dt, count(*) as n from orders where o_orderdate between date '1997-01-01' and date '1998-12-31' group by 1)
    select a.dt, a.n, b.n as n_last, round((a.n-b.n)/b.n::double,6) as yoy from d a join d b on year(a.dt)=1998 and year(b.dt)=1997 and strftime(a.dt,'%m-%d')=strftime(b.dt,'%m-%d')""")
 def _(t):
-    d = t.orders.where(S.in_period("o_orderdate", "1997-01-01", "1998-12-31")).groupBy(F.col("o_orderdate").alias("dt")).agg(F.count("*").alias("n"))
+    d = t.orders_between("1997-01-01", "1998-12-31").groupBy(F.col("o_orderdate").alias("dt")).agg(F.count("*").alias("n"))
     return R.yoy_join(d, "dt", ["n"], 1998).select("dt", "n", "n_last", r(S.change("n", "n_last")).alias("yoy"))
 
 

@@ -6,6 +6,7 @@ from funnelwright.functions.scalars import r
 from funnelwright.plans.registry import query
 from funnelwright.sources import io
 from funnelwright.sources.tables import TABLE_NAMES
+from funnelwright.streaming.streams import work_folder
 
 
 @query("s01_read_source", "select n_nationkey, n_name, n_regionkey from nation")
@@ -55,6 +56,15 @@ def _(t):
     return io.sample_rows(t.orders, 100, "o_orderkey")
 
 
+@query("s08_write_roundtrip", "select 'csv' as format, o_orderstatus, count(*) as n, round(sum(o_totalprice),2) as total from orders group by 2 union all select 'parquet', o_orderstatus, count(*), round(sum(o_totalprice),2) from orders group by 2")
+def _(t):
+    folder = work_folder(t.spark)
+    io.write_csv(t.orders, f"{folder}/orders.csv")
+    io.write_parquet(t.orders, f"{folder}/orders.parquet", ["o_orderstatus"])
+    total = lambda df, f: df.groupBy("o_orderstatus").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total")).select(F.lit(f).alias("format"), "o_orderstatus", "n", "total")
+    return total(io.read_source(t.spark, f"{folder}/orders.csv", t.orders.schema), "csv").unionByName(total(io.read_source(t.spark, f"{folder}/orders.parquet"), "parquet"))
+
+
 @query("s09_event_json", "select cast(json_extract(props, '$.k') as integer) as k, count(*) as n from events group by 1")
 def _(t):
     k = F.from_json("props", "k int")["k"]

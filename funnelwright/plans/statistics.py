@@ -108,6 +108,12 @@ def _(t):
     return D.bootstrap_ci(t.orders, "o_orderkey", "o_totalprice", D.weighted_mean_stat, replicates=100)
 
 
+@query("y01_bootstrap_custom_statistic")
+def _(t):
+    share = lambda v, w: F.sum(F.when(v > 300000, w).otherwise(0)) / F.sum(w)
+    return D.bootstrap_ci(t.orders, "o_orderkey", "o_totalprice", share, replicates=100)
+
+
 PV = "p as (select o_orderstatus as fam, o_custkey % 50 as k, least(1.0, abs(avg(o_totalprice) - 250000)/90000) as p from orders group by 1,2)"
 
 

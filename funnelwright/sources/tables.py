@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from funnelwright.operators import panel
+from funnelwright.sources.io import range_scan
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -38,23 +39,35 @@ class Tables:
             return self.raw(name)
         raise AttributeError(name)
 
-    @cached_property
+    def _scan(self, name: str, dt: str, lo: str | None, hi: str | None, to: str) -> DataFrame:
+        """Bound the raw column first, so the filter reaches the parquet scan, then convert it."""
+        df = self.raw(name) if lo is None else range_scan(self.raw(name), dt, lo, hi)
+        return df.withColumn(dt, F.col(dt).cast(to))
+
+    def events_between(self, lo: str | None = None, hi: str | None = None) -> DataFrame:
+        return self._scan("events", "ts", lo, hi, "timestamp")
+
+    def orders_between(self, lo: str | None = None, hi: str | None = None) -> DataFrame:
+        return self._scan("orders", "o_orderdate", lo, hi, "date")
+
+    def lineitem_between(self, lo: str | None = None, hi: str | None = None) -> DataFrame:
+        return self._scan("lineitem", "l_shipdate", lo, hi, "date")
+
+    @property
     def events(self) -> DataFrame:
-        return self.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+        return self.events_between()
 
-    @cached_property
+    @property
     def orders(self) -> DataFrame:
-        return self.raw("orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+        return self.orders_between()
 
-    @cached_property
+    @property
     def lineitem(self) -> DataFrame:
-        return self.raw("lineitem").withColumn("l_shipdate", F.to_date("l_shipdate"))
+        return self.lineitem_between()
 
-    @cached_property
-    def funnel_events(self) -> DataFrame:
-        """(dt, user_id, stage, terminal, scene, source): dimensions are fixed splits of the user id."""
-        e = self.events
-        return e.select(
+    def panel_between(self, lo: str | None = None, hi: str | None = None) -> DataFrame:
+        """Panel from ``events``: dimensions are fixed splits of the user or event id."""
+        e = self.events_between(lo, hi).select(
             F.to_date("ts").alias("dt"),
             "user_id",
             panel.stage_of(F.col("event_type"), EVENT_STAGES).alias("stage"),
@@ -62,16 +75,11 @@ class Tables:
             F.concat(F.lit("S"), F.col("event_id") % 4).alias("scene"),
             F.concat(F.lit("Z"), F.col("user_id") % 5).alias("source"),
         )
+        return panel.funnel_panel(e, ["terminal", "scene", "source"])
 
-    @cached_property
-    def panel(self) -> DataFrame:
-        """30-day panel from ``events``."""
-        return panel.funnel_panel(self.funnel_events, ["terminal", "scene", "source"])
-
-    @cached_property
-    def order_panel(self) -> DataFrame:
-        """Multi-year panel from ``orders``: members are order status and customer parity."""
-        o = self.orders.select(
+    def order_panel_between(self, lo: str | None = None, hi: str | None = None) -> DataFrame:
+        """Multi-year panel from ``orders``: members are order status and a split of the customer id."""
+        o = self.orders_between(lo, hi).select(
             F.col("o_orderdate").alias("dt"),
             F.col("o_custkey").alias("user_id"),
             panel.stage_of(F.col("o_orderpriority"), PRIORITY_STAGES).alias("stage"),
@@ -80,6 +88,14 @@ class Tables:
         )
         return panel.funnel_panel(o, ["category", "terminal"])
 
+    @property
+    def panel(self) -> DataFrame:
+        return self.panel_between()
+
+    @property
+    def order_panel(self) -> DataFrame:
+        return self.order_panel_between()
+
     @cached_property
     def behaviour(self) -> DataFrame:
         """One row per user and active day: actions of the day, payments in the next seven days, history.
