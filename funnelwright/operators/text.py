@@ -10,12 +10,30 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from funnelwright.functions.scalars import ratio
 
 
-def group_pattern(phrases: Sequence[str], words: bool = True) -> str:
-    """One case-insensitive alternation, longest phrase first; whole words when the script has word breaks."""
-    alt = "|".join(re.escape(p).replace("\\ ", " ").replace("\\-", "-") for p in sorted(phrases, key=lambda p: (-len(p), p)))
-    if not words:
-        return f"({alt})"
-    return f"(?i)\\b({alt})"
+def _escape(phrase: str) -> str:
+    return re.escape(phrase).replace("\\ ", " ").replace("\\-", "-")
+
+
+def _longest_first(phrases: Sequence[str]) -> list[str]:
+    return sorted(phrases, key=lambda p: (-len(p), p))
+
+
+def _by_first_letter(phrases: Sequence[str]) -> str:
+    """Alternation branching on the first letter, so a position is compared with few phrases."""
+    letters: dict[str, list[str]] = {}
+    for p in _longest_first(phrases):
+        letters.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{_escape(c)}(?:{'|'.join(_escape(x) for x in tails)})" for c, tails in sorted(letters.items()))
+
+
+def _starts(phrase: str, words: bool) -> list[int]:
+    """Positions inside a phrase where another phrase could begin."""
+    return [i for i in range(1, len(phrase)) if not words or re.match(r"\b\w", phrase[i:]) and not (phrase[i - 1].isalnum() or phrase[i - 1] == "_")]
+
+
+def self_overlaps(phrases: Sequence[str], words: bool) -> bool:
+    """Whether a phrase can begin inside another of the group, so that counting starts would count twice."""
+    return any(q.startswith(p[i:]) or p[i:].startswith(q) for p in phrases for i in _starts(p, words) for q in phrases)
 
 
 # Punctuation and markup marks.
@@ -39,8 +57,28 @@ def pattern_counts(docs: DataFrame, text: str, patterns: Mapping[str, str], keep
     return docs.select(*keep, *[F.regexp_count(F.col(text), F.lit(p)).alias(k) for k, p in patterns.items()])
 
 
-def phrase_hits(docs: DataFrame, text: str, lexicon: Mapping[str, Sequence[str]], keep: Sequence[str], words: bool = True) -> DataFrame:
-    return pattern_counts(docs, text, {g: group_pattern(p, words) for g, p in lexicon.items()}, keep)
+def phrase_hits(docs: DataFrame, text: str, lexicon: Mapping[str, Sequence[str]], keep: Sequence[str | Column], words: bool = True) -> DataFrame:
+    """Hits per phrase group, all groups from one pass over each text.
+
+    A zero-width pattern reports the longest phrase of the whole lexicon at every start; a group is hit there
+    exactly when one of its phrases is a prefix of that phrase. Groups whose phrases can overlap each other
+    are counted by a pattern of their own.
+    """
+    single = {g: p for g, p in lexicon.items() if not self_overlaps(p, words)}
+    every = sorted({p for ps in single.values() for p in ps})
+    letters = "".join(sorted({_escape(p[0]) for p in every}))
+    start = f"(?=[{letters}])\\b" if words else ""
+    names = docs.select(*keep).columns
+    d = docs.select(*keep, (F.lower(text) if words else F.col(text)).alias("_t"))
+    found = F.regexp_extract_all("_t", F.lit(f"{start}(?=({_by_first_letter(every)}))"), F.lit(1)) if every else F.array().cast("array<string>")
+    own = {g: F.regexp_count("_t", F.lit((r"\b" if words else "") + "(" + "|".join(_escape(x) for x in _longest_first(p)) + ")")) for g, p in lexicon.items() if g not in single}
+    d = d.select(*names, found.alias("_f"), *[c.alias(g) for g, c in own.items()])
+
+    def among(hits: list[str]) -> Column:
+        return F.size(F.filter("_f", lambda m: m.isin(hits)))
+
+    counts = [among([m for m in every if any(m.startswith(p) for p in ps)]).alias(g) if g in single else F.col(g) for g, ps in lexicon.items()]
+    return d.select(*names, *counts)
 
 
 def punctuation_tells(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

@@ -141,8 +141,13 @@ def _count_sql(pattern):
     return f"len(regexp_extract_all(text, {_q(pattern)}))"
 
 
+def _alternation(phrases):
+    return "(" + "|".join(sorted((p.replace("?", "\\?") for p in phrases), key=lambda p: (-len(p), p))) + ")"
+
+
 def _lex_sql(lexicon, words=True):
-    return {g: _count_sql(N.group_pattern(p, words)) for g, p in lexicon.items()}
+    """Case-insensitive counts written independently of the engine's pattern builder."""
+    return {g: _count_sql(("(?i)\\b" if words else "") + _alternation(p)) for g, p in lexicon.items()}
 
 
 def _cols(d):
