@@ -452,4 +452,4 @@ def ltv_by(orders: DataFrame, users: DataFrame, okey: str, ukey: str, revenue: s
     """Lifetime revenue per user of a dimension; users without orders count as zero."""
     o = orders.groupBy(F.col(okey).alias("_k")).agg(F.sum(revenue).alias("_v"))
     j = users.join(o, F.col(ukey) == F.col("_k"), "left")
-    return j.groupBy(dim).agg(F.count("*").alias("users"), F.coalesce(F.sum("_v"), F.lit(0.0)).alias("revenue")).withColumn("ltv", ratio("revenue", "users"))
+    return j.groupBy(dim).agg(F.count("*").alias("users"), F.coalesce(F.sum("_v"), F.lit(0)).alias("revenue")).withColumn("ltv", ratio("revenue", "users"))

@@ -9,6 +9,11 @@ from funnelwright.operators import sessions as X
 from funnelwright.plans.registry import query
 from funnelwright.sources.tables import BEHAVIOUR_SQL
 
+def money(t):
+    """Orders with exact prices: sums do not depend on the order of addition."""
+    return t.orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+
+
 CURVE_SQL = """ue as (select distinct user_id, 'G'||(user_id % 4) as source, cast(ts as date) as dt from events where user_id % 3 > 0 or value > 200), uk as (select *, datediff('day', min(dt) over (partition by user_id), dt) as k from ue),
   cv as (select source, k, count(*) as active from uk group by 1,2), curve as (select source, k as "offset", active, max(case when k=0 then active end) over (partition by source) as cohort, active/max(case when k=0 then active end) over (partition by source)::double as rate from cv)"""
 
@@ -242,19 +247,19 @@ def _(t):
     return G.cohort_slope(grid(t), [1, 3, 6]).select("offset", r("slope").alias("slope"), "n")
 
 
-LTV_SQL = """lm as (select o_custkey as u, date_trunc('month', o_orderdate)::date as m, sum(o_totalprice) as v from orders group by 1,2), lc as (select *, min(m) over (partition by u) as cohort from lm),
+LTV_SQL = """lm as (select o_custkey as u, date_trunc('month', o_orderdate)::date as m, sum(o_totalprice::decimal(18,2)) as v from orders group by 1,2), lc as (select *, min(m) over (partition by u) as cohort from lm),
   lo as (select cohort, cast((year(m)-year(cohort))*12+month(m)-month(cohort) as integer) as "offset", sum(v) as v, count(*) as n from lc group by 1,2),
-  ltv as (select cohort, "offset", max(case when "offset"=0 then n end) over (partition by cohort) as users, sum(v) over (partition by cohort order by "offset") as cum, sum(v) over (partition by cohort) as tot from lo)"""
+  ltv as (select cohort, "offset", max(case when "offset"=0 then n end) over (partition by cohort) as users, (sum(v) over (partition by cohort order by "offset"))::double as cum, (sum(v) over (partition by cohort))::double as tot from lo)"""
 
 
 @query("c26_cohort_ltv", f"with {LTV_SQL} select cohort, \"offset\", users, round(cum,2) as cum_revenue, round(cum/users,6) as ltv, round(cum/tot,6) as share_of_final from ltv")
 def _(t):
-    return G.cohort_ltv(t.orders, "o_custkey", "o_orderdate", "o_totalprice").select("cohort", "offset", "users", r("cum_revenue", 2).alias("cum_revenue"), r("ltv").alias("ltv"), r("share_of_final").alias("share_of_final"))
+    return G.cohort_ltv(money(t), "o_custkey", "o_orderdate", "o_totalprice").select("cohort", "offset", "users", r("cum_revenue", 2).alias("cum_revenue"), r("ltv").alias("ltv"), r("share_of_final").alias("share_of_final"))
 
 
 @query("c26_ltv_maturity", f"with {LTV_SQL}, m as (select cohort, max(users) as users, arg_max(cum/users,\"offset\") as final_ltv, min(case when cum/tot>=0.8 then \"offset\" end) as mature_at from ltv group by 1) select cohort, users, round(final_ltv,6) as final_ltv, mature_at, cast(row_number() over (order by final_ltv desc, cohort) as integer) as rank from m")
 def _(t):
-    d = G.ltv_maturity(G.cohort_ltv(t.orders, "o_custkey", "o_orderdate", "o_totalprice"))
+    d = G.ltv_maturity(G.cohort_ltv(money(t), "o_custkey", "o_orderdate", "o_totalprice"))
     return d.select("cohort", "users", r("final_ltv").alias("final_ltv"), "mature_at", "rank")
 
 
@@ -349,10 +354,10 @@ def _(t):
     return G.active_users(t.orders, "o_custkey", "o_orderdate", "month")
 
 
-@query("c36_revenue_tree", "select date_trunc('month', o_orderdate)::date as month, count(distinct o_custkey) as buyers, count(*) as orders, round(sum(o_totalprice),2) as revenue, round(count(*)/count(distinct o_custkey)::double,6) as orders_per_buyer, round(avg(o_totalprice),2) as order_value from orders where o_orderstatus='F' group by 1")
+@query("c36_revenue_tree", "select date_trunc('month', o_orderdate)::date as month, count(distinct o_custkey) as buyers, count(*) as orders, round(sum(o_totalprice::decimal(18,2))::double,2) as revenue, round(count(*)/count(distinct o_custkey)::double,6) as orders_per_buyer, round(sum(o_totalprice::decimal(18,2))::double/count(*),6) as order_value from orders where o_orderstatus='F' group by 1")
 def _(t):
-    d = G.revenue_tree(t.orders.where("o_orderstatus = 'F'"), "o_custkey", "o_orderdate", "o_totalprice")
-    return d.select("month", "buyers", "orders", r("revenue", 2).alias("revenue"), r("orders_per_buyer").alias("orders_per_buyer"), r("order_value", 2).alias("order_value"))
+    d = G.revenue_tree(money(t).where("o_orderstatus = 'F'"), "o_custkey", "o_orderdate", "o_totalprice")
+    return d.select("month", "buyers", "orders", r("revenue", 2).alias("revenue"), r("orders_per_buyer").alias("orders_per_buyer"), r("order_value").alias("order_value"))
 
 
 @query("c37_state_funnel", """with x as (select user_id, min(case when event_type='signup' and value<120 then ts end) as a, max(case when event_type='purchase' and value<120 then ts end) as b from events group by 1)
@@ -383,9 +388,9 @@ def _(t):
     return d.select("p_type", "month", r("revenue", 2).alias("revenue"))
 
 
-@query("c40_ltv_by", "with o as (select o_custkey, sum(o_totalprice) as v from orders where o_orderstatus='O' and o_totalprice>300000 group by 1) select c_mktsegment, count(*) as users, round(coalesce(sum(v),0),2) as revenue, round(coalesce(sum(v),0)/count(*),6) as ltv from customer left join o on o_custkey=c_custkey group by 1")
+@query("c40_ltv_by", "with o as (select o_custkey, sum(o_totalprice::decimal(18,2)) as v from orders where o_orderstatus='O' and o_totalprice>300000 group by 1) select c_mktsegment, count(*) as users, round(coalesce(sum(v),0)::double,2) as revenue, round(coalesce(sum(v),0)::double/count(*),6) as ltv from customer left join o on o_custkey=c_custkey group by 1")
 def _(t):
-    d = G.ltv_by(t.orders.where("o_orderstatus = 'O' and o_totalprice > 300000"), t.customer, "o_custkey", "c_custkey", "o_totalprice", "c_mktsegment")
+    d = G.ltv_by(money(t).where("o_orderstatus = 'O' and o_totalprice > 300000"), t.customer, "o_custkey", "c_custkey", "o_totalprice", "c_mktsegment")
     return d.select("c_mktsegment", "users", r("revenue", 2).alias("revenue"), r("ltv").alias("ltv"))
 
 

@@ -22,6 +22,7 @@ def build_session(app: str = "funnelwright", master: str | None = None, shuffle_
         b = (
             b.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("FUNNELWRIGHT_DRIVER_MEMORY", "8g"))
         )
     if shuffle_partitions:

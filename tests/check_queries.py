@@ -25,8 +25,8 @@ def main() -> int:
         try:
             df = queries[name](spark, sf_dir)
             if name in oracles:
-                problems = harness.differences(df, oracles[name], con)
-                note = "match" if df.limit(1).count() else "match EMPTY"
+                problems, n = harness.compare(df, oracles[name], con)
+                note = "match" if n else "match EMPTY"
             else:
                 problems, note = [], f"{df.count()} rows, no sql"
         except Exception as exc:  # noqa: BLE001

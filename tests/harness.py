@@ -43,14 +43,14 @@ def _norm(v):
     return v
 
 
-def differences(df, sql: str, con) -> list[str]:
-    """Empty when schema and every row agree exactly."""
+def compare(df, sql: str, con) -> tuple[list[str], int]:
+    """Problems (none when schema and every row agree exactly) and the number of rows on Spark."""
     problems = []
     rel = con.sql(sql)
     dcols = dict(zip(rel.columns, [str(t) for t in rel.types]))
     scols = dict(df.dtypes)
     if sorted(dcols) != sorted(scols):
-        return [f"columns differ: spark {sorted(scols)} / sql {sorted(dcols)}"]
+        return [f"columns differ: spark {sorted(scols)} / sql {sorted(dcols)}"], 0
     for c in scols:
         if not _type_ok(scols[c], dcols[c]):
             problems.append(f"type of {c}: spark {scols[c]} / sql {dcols[c]}")
@@ -66,4 +66,8 @@ def differences(df, sql: str, con) -> list[str]:
     if a != b:
         sa, sb = set(a), set(b)
         problems.append(f"values: only spark {[x for x in a if x not in sb][:3]} / only sql {[x for x in b if x not in sa][:3]} ({len(sa - sb)}/{len(sb - sa)} rows), cols {cols}")
-    return problems
+    return problems, len(got)
+
+
+def differences(df, sql: str, con) -> list[str]:
+    return compare(df, sql, con)[0]
