@@ -36,7 +36,7 @@ def _(t):
     return d.groupBy("event_type").agg(F.count("*").alias("n"), r(F.sum("value"), 2).alias("total"))
 
 
-@query("r04_stream_checks", """select 'range' as "check", 'value' as subject, case when count(case when value>450 then 1 end)/count(value)::double>0.05 then 'BLOCKER' else 'WARNING' end as severity, count(case when value>450 then 1 end) as n_bad from events
+@query("r04_stream_checks", """select 'range' as "check", 'value' as subject, case when count(case when value>450 then 1 end)/count(value)::double>0.05 then 'BLOCKER' when count(case when value>450 then 1 end)>0 then 'WARNING' else 'PASS' end as severity, count(case when value>450 then 1 end) as n_bad from events
   union all select 'completeness', 'user_id', 'PASS', 0 from events having count(*)>0 union all select 'row_count', 'rows', 'PASS', 0 from events having count(*)>0""")
 def _(t):
     rules = lambda b: V.scan_checks(b, [V.value_range("value", 0, 450), V.completeness("user_id"), V.row_count(1)])
