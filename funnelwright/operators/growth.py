@@ -324,12 +324,15 @@ def rfm(df: DataFrame, customer: str, dt: str, revenue: str, reference: str | No
     ref = df.agg(F.date_add(F.max(dt), 1).alias("ref")).scalar() if reference is None else F.lit(reference).cast("date")
     c = df.groupBy(F.col(customer).alias("customer")).agg(F.max(dt).alias("_last"), F.count(dt).alias("frequency"), F.sum(revenue).alias("monetary"))
     c = c.withColumn("_ref", ref).select("customer", F.datediff("_ref", "_last").alias("recency"), "frequency", "monetary")
-    for m in ("recency", "frequency", "monetary"):
-        e = quantiles(c.select(m), [], m, RFM_PROBS).select(F.struct(*RFM_PROBS).alias("e"))
-        c = c.withColumn(f"_e_{m}", e.scalar())
+    # One pass over the three measures; the edges come back as a single row.
+    measures = ("recency", "frequency", "monetary")
+    long = c.unpivot([], [F.col(m).cast("double").alias(m) for m in measures], "measure", "x")
+    edges = quantiles(long, ["measure"], "x", RFM_PROBS)
+    pick = [F.max(F.when(F.col("measure") == m, F.struct(*RFM_PROBS))).alias(m) for m in measures]
+    c = c.withColumn("_e", edges.agg(F.struct(*pick).alias("e")).scalar())
     c = c.withColumns({
-        "R": quantile_score("recency", F.col("_e_recency"), [5, 4, 3, 2, 1]), "F": quantile_score("frequency", F.col("_e_frequency"), [1, 2, 3, 4, 5]),
-        "M": quantile_score("monetary", F.col("_e_monetary"), [1, 2, 3, 4, 5]),
+        "R": quantile_score("recency", F.col("_e.recency"), [5, 4, 3, 2, 1]), "F": quantile_score("frequency", F.col("_e.frequency"), [1, 2, 3, 4, 5]),
+        "M": quantile_score("monetary", F.col("_e.monetary"), [1, 2, 3, 4, 5]),
     })
     seg = (
         F.when((F.col("R") >= 4) & (F.col("F") >= 4) & (F.col("M") >= 4), "Champions").when((F.col("F") >= 3) & (F.col("M") >= 3), "Loyal")

@@ -13,6 +13,7 @@ from funnelwright.functions.scalars import ratio
 from funnelwright.operators.aggregates import histogram, moments
 from funnelwright.operators.ordered import TARGET_ROWS, quantiles, running, value_counts
 from funnelwright.operators.relations import pairs
+from funnelwright.session import cut_lineage
 
 Z975 = dist.norm_ppf(0.975)
 
@@ -242,12 +243,13 @@ def rank_dimensions(df: DataFrame, metric: str, dims: Sequence[str]) -> DataFram
     return t.withColumn("rank", rank).select("dimension", "eta_squared", "n_groups", "f_statistic", "df1", "df2", "rank")
 
 
-def segment_stats(df: DataFrame, segment: str, metric: str) -> DataFrame:
+def segment_stats(df: DataFrame, segment: str, metric: str, median: bool = True) -> DataFrame:
     """Summary per segment plus the normality verdict that decides the test."""
     d = df.where(F.col(segment).isNotNull() & F.col(metric).isNotNull())
     m = moments(d, [segment], metric)
-    q = quantiles(d, [segment], metric, {"median": 0.5})
-    return m.join(q, segment).withColumns(k_squared(F.col("n"), F.col("skew_biased"), F.col("kurt_biased"))).withColumn("use_rank", (F.col("n") < 30) | F.coalesce(F.col("p_normal") < 0.05, F.lit(False)))
+    if median:
+        m = m.join(quantiles(d, [segment], metric, {"median": 0.5}), segment)
+    return m.withColumns(k_squared(F.col("n"), F.col("skew_biased"), F.col("kurt_biased"))).withColumn("use_rank", (F.col("n") < 30) | F.coalesce(F.col("p_normal") < 0.05, F.lit(False)))
 
 
 def compare_segments(df: DataFrame, segment: str, metric: str, target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -255,7 +257,9 @@ def compare_segments(df: DataFrame, segment: str, metric: str, target_rows: int
 
     The pairs are the wanted rows. Each segment's value counts (not its rows) meet the other segments once.
     """
-    s = segment_stats(df, segment, metric).select(F.col(segment).alias("seg"), "n", "mean", (F.col("sd") * F.col("sd")).alias("var"), "use_rank")
+    s = segment_stats(df, segment, metric, median=False).select(F.col(segment).alias("seg"), "n", "mean", (F.col("sd") * F.col("sd")).alias("var"), "use_rank")
+    # One row per segment, read many times below: written once so the data is not aggregated again for each use.
+    s = cut_lineage(s)
     p = pairs(s, "seg", ["n", "mean", "var"])
     w = _welch(F.col("n_a"), F.col("mean_a"), F.col("var_a"), F.col("n_b"), F.col("mean_b"), F.col("var_b"))
     p = p.withColumns(w).withColumn("cohens_d", -F.col("cohens_d"))
