@@ -14,12 +14,12 @@ def money(t):
     return t.orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
 
 
-CURVE_SQL = """ue as (select distinct user_id, 'G'||(user_id % 4) as source, cast(ts as date) as dt from events where user_id % 3 > 0 or value > 200), uk as (select *, datediff('day', min(dt) over (partition by user_id), dt) as k from ue),
+CURVE_SQL = """ue as (select distinct user_id, 'G'||(user_id % 4) as source, cast(ts as date) as dt from events), uk as (select *, datediff('day', min(dt) over (partition by user_id), dt) as k from ue),
   cv as (select source, k, count(*) as active from uk group by 1,2), curve as (select source, k as "offset", active, max(case when k=0 then active end) over (partition by source) as cohort, active/max(case when k=0 then active end) over (partition by source)::double as rate from cv)"""
 
 
 def curve(t):
-    e = t.events.where("user_id % 3 > 0 or value > 200").select("user_id", F.concat(F.lit("G"), F.col("user_id") % 4).alias("source"), F.to_date("ts").alias("dt"))
+    e = t.events.select("user_id", F.concat(F.lit("G"), F.col("user_id") % 4).alias("source"), F.to_date("ts").alias("dt"))
     return G.retention_curve(e, "user_id", "dt", "source")
 
 
@@ -42,13 +42,13 @@ def _(t):
     return G.retention_gap(curve(t), "source", "G1", "G2", (1, 3, 7, 14)).select("offset", *[r(c).alias(c) for c in ("rate_a", "rate_b", "gap")])
 
 
-PAY_SQL = """od as (select o_custkey as u, o_orderstatus as s0, cast(o_orderdate as date) as dt, count(*) as n from orders where o_orderdate < date '1996-06-01' group by 1,2,3),
+PAY_SQL = """od as (select o_custkey as u, o_orderstatus as s0, cast(o_orderdate as date) as dt, count(*) as n from orders group by 1,2,3),
   ox as (select c_mktsegment as source, u, dt, sum(n) as n from od join customer on c_custkey=u group by 1,2,3), ok as (select *, datediff('day', min(dt) over (partition by u), dt) as k from ox),
   pr as (select source, k as "offset", sum(n)::bigint as orders, max(case when k=0 then count(*) end) over (partition by source) as cohort from ok group by 1,2), rates as (select *, orders/cohort::double as rate from pr)"""
 
 
 def pay_rates(t):
-    o = t.orders.where("o_orderdate < date'1996-06-01'").join(t.customer.select("c_custkey", F.col("c_mktsegment").alias("source")), F.col("o_custkey") == F.col("c_custkey"))
+    o = t.orders.join(t.customer.select("c_custkey", F.col("c_mktsegment").alias("source")), F.col("o_custkey") == F.col("c_custkey"))
     return G.pay_rate_by_offset(o.withColumn("n1", F.lit(1)), "o_custkey", "o_orderdate", "n1", "source")
 
 
@@ -429,10 +429,11 @@ def _(t):
     return X.session_windows(t.events, "user_id", "ts", "12 hours").withColumn("session_start", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("x02_stay_distribution", """with u as (select user_id, max(case when event_id%97=0 then value*20 else value*8 end) as s from events where event_id%5=0 group by 1), c as (select least(s,7200.0) as c, s>7200 as o from u), b as (select case when c<5 then '0-5s' when c<10 then '5-10s' when c<30 then '10-30s' when c<60 then '30-60s' when c<120 then '1-2m' when c<300 then '2-5m' when c<600 then '5-10m' when c<1800 then '10-30m' when c<3600 then '30-60m' else '60m+' end as bucket, min(c) as lo, count(*) as users, sum(o::int)::bigint as capped from c group by 1)
+@query("x02_stay_distribution", """with u as (select user_id, max(value*20/(1+(user_id%60)*(user_id%60))) as s from events group by 1), c as (select least(s,7200.0) as c, s>7200 as o from u), b as (select case when c<5 then '0-5s' when c<10 then '5-10s' when c<30 then '10-30s' when c<60 then '30-60s' when c<120 then '1-2m' when c<300 then '2-5m' when c<600 then '5-10m' when c<1800 then '10-30m' when c<3600 then '30-60m' else '60m+' end as bucket, min(c) as lo, count(*) as users, sum(o::int)::bigint as capped from c group by 1)
   select bucket, users, capped, round(users/sum(users) over ()::double,6) as share, round(sum(users) over (order by lo)/sum(users) over ()::double,6) as cum_share from b""")
 def _(t):
-    e = t.events.where("event_id % 5 = 0").withColumn("stay", F.when(F.col("event_id") % 97 == 0, F.col("value") * 20).otherwise(F.col("value") * 8))
+    split = F.col("user_id") % 60
+    e = t.events.withColumn("stay", F.col("value") * 20 / (1 + split * split))
     return X.stay_distribution(e, "user_id", "stay").select("bucket", "users", "capped", r("share").alias("share"), r("cum_share").alias("cum_share"))
 
 
