@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from funnelwright.llm import bpe, decontaminate, records, simhash
+from funnelwright.llm import bpe, chat, decontaminate, fuzzy, pii, quality, records, sharding, simhash, toxicity
 from funnelwright.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,22 +19,53 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(records.write_records(docs, public_tokenizers.path(BYTE_BPE)))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans_of(table(spark, sf_dir, "documents")))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.assign(table(spark, sf_dir, "documents")))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.digests(fuzzy.with_next(table(spark, sf_dir, "documents")))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digests(quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digests(toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_binary_records": op1,
+    "op2_personal_data": op2,
+    "op3_balanced_shards": op3,
     "op4_decontamination": op4,
+    "op5_role_repair": op5,
+    "op6_piecewise_hashes": op6,
     "op7_pair_index_bpe": op7,
+    "op8_rule_ensemble_quality": op8,
     "op9_simhash_components": op9,
+    "op10_sentence_toxicity": op10,
 }
 ORACLES: dict[str, str] = {}

@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwright.llm.common import stored, texts
 from funnelwright.llm.graph import components
@@ -117,6 +117,11 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _around(flips: Column, value: Column, of) -> Column:
+    """``of`` each value that one of the flips makes."""
+    return F.transform(flips, lambda x: of(value.bitwiseXOR(x)))
+
+
 def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
     """Pairs (``a``, ``b``) of distinct fingerprints ``fp`` such that what they connect is what the radius connects."""
     if not 0 <= radius <= 2:
@@ -133,7 +138,7 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
         flips = [signed(sum(1 << b for b in c)) for t in range(tau + 1) for c in combinations(own, t)]
         indexed.append(key(k, value))
         # The flips of a part are a fixed list: 1, its width, or half its square.
-        probed.append(F.transform(F.lit(flips) if len(flips) > 1 else F.array(F.lit(0).cast("long")), lambda x, v=value, k=k: key(k, v.bitwiseXOR(x.cast("long")))))
+        probed.append(_around(F.array(*[F.lit(f).cast("long") for f in flips]), value, lambda v, k=k: key(k, v)))
     index = fps.select("fp", F.explode(F.array(*indexed)).alias("k")).select("fp", "k.part", "k.value")
     probes = fps.select(F.col("fp").alias("q"), F.explode(F.flatten(F.array(*probed))).alias("k")).select("q", "k.part", "k.value")
     sizes = index.groupBy("part", "value").agg(F.count("*").alias("n"))
