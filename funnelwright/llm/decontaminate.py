@@ -24,12 +24,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from funnelwright.llm.common import shared_folder, stored, texts
 
 GAP = 64
-SEGMENT = "segment string, term binary, n long, postings binary, doc_ids array<long>, starts array<long>, lengths array<long>"
+SEGMENT = "segment string, term binary, n long, postings binary, doc_ids array<long>, starts array<long>, lengths array<long>, hashes array<long>"
 MATCH = "segment string, ordinal int, item string, first long, last long"
 
 # Lower-cases A-Z and turns every byte that is not a letter, a digit or part of a character beyond ASCII into a space.
@@ -44,10 +44,11 @@ class Segment:
     """Words of some documents by position, and their inverted lists."""
 
     def __init__(self):
-        self.docs, self.starts, self.lengths, self.terms, self.at, self.next = [], [], [], [], [], 0
+        self.docs, self.hashes, self.starts, self.lengths, self.terms, self.at, self.next = [], [], [], [], [], [], 0
 
-    def add(self, doc_id, terms: np.ndarray) -> None:
+    def add(self, doc_id, hashed: int, terms: np.ndarray) -> None:
         self.docs.append(doc_id)
+        self.hashes.append(hashed - (hashed >> 63 << 64))
         self.starts.append(self.next)
         self.lengths.append(len(terms))
         keep = np.flatnonzero(terms >= 0)
@@ -66,12 +67,14 @@ class Segment:
         return pa.RecordBatch.from_arrays([
             pa.array([name] * (k + 1)), pa.array([*own, None], pa.binary()), pa.array([*map(len, lists), len(self.docs)], pa.int64()),
             pa.array([*(x.tobytes() for x in lists), b"8" if at.dtype.itemsize == 8 else b"4"], pa.binary()),
-            *(pa.array([*[None] * k, x], pa.list_(pa.int64())) for x in (self.docs, self.starts, self.lengths)),
-        ], ["segment", "term", "n", "postings", "doc_ids", "starts", "lengths"])
+            *(pa.array([*[None] * k, x], pa.list_(pa.int64())) for x in (self.docs, self.starts, self.lengths, self.hashes)),
+        ], ["segment", "term", "n", "postings", "doc_ids", "starts", "lengths", "hashes"])
 
 
 def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None, segment_words: int = 2_000_000) -> DataFrame:
     """The stored positional index of all documents: of the given terms only, or of every term."""
+    from xxhash import xxh64_intdigest
+
     given = vocabulary and {t: k for k, t in enumerate(vocabulary)}
 
     def run(batches):
@@ -84,7 +87,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None = None, segment_
                     terms = np.fromiter(map(given.get, w, [-1] * len(w)), np.int64, len(w))
                 else:
                     terms = np.fromiter((local.setdefault(x, len(local)) for x in w), np.int64, len(w))
-                seg.add(doc, terms)
+                seg.add(doc, xxh64_intdigest(text.encode(), 42), terms)
                 if seg.next >= segment_words:
                     yield seg.rows(f"{part}-{count}", vocabulary if given is not None else list(local))
                     seg, local, count = Segment(), {}, count + 1
@@ -176,8 +179,14 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_hash() -> Column:
+    """What tells rows with one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0, block_words: int = 2_000_000) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_words`` and ``matches``, the merged places of each item found in it.
+    """One row per document: ``doc_id``, ``n_words``, ``text_hash`` (``text_hash()`` of its row) and ``matches``, the
+    merged places of each item found in it.
 
     The test set is read in blocks of at most about ``block_words`` words (by a hash of the item), so what the driver
     and each task hold of it is bounded; one block, the usual case, lets the index leave out terms it never asks for.
@@ -197,11 +206,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
         for k in range(blocks):
             hits = search(index, take(k), window, slop)
             found = hits if found is None else found.unionByName(hits)
-    heads = index.where(F.col("term").isNull()).select("segment", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("ordinal", "d"))
+    heads = index.where(F.col("term").isNull()).select("segment", F.posexplode(F.arrays_zip("doc_ids", "lengths", "hashes")).alias("ordinal", "d"))
     # A document's places number at most its words times the items that share them.
     places = found.groupBy("segment", "ordinal").agg(F.sort_array(F.collect_list(F.struct("first", "last", "item"))).alias("matches"))
     return heads.join(places, ["segment", "ordinal"], "left").select(
-        F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").alias("n_words"),
+        F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").alias("n_words"), F.col("d.hashes").alias("text_hash"),
         F.coalesce("matches", F.array().cast("array<struct<first:bigint,last:bigint,item:string>>")).alias("matches"),
     )
 

@@ -16,6 +16,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -66,6 +67,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     return stored(texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATS)), "statistics")
 
 
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """``docs`` with the statistics of every text as one more column, the struct ``_stats``, without a join."""
+
+    @F.pandas_udf("struct<" + ", ".join(f"{s}: double" for s in STATS) + ">")
+    def of(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics_of(t) for t in text], columns=list(STATS), dtype="float64")
+
+    return docs.withColumn("_stats", of(F.coalesce("text", F.lit(""))))
+
+
 @dataclass
 class Rules:
     """A bias and weighted conjunctions of (statistic, whether above, limit)."""
@@ -73,15 +84,16 @@ class Rules:
     bias: float
     rules: list[tuple[float, tuple[tuple[str, bool, float], ...]]]
 
-    def score(self) -> Column:
+    def score(self, at: str = "") -> Column:
+        """The score as a column; ``at`` stands before the names of the statistics."""
         total = F.lit(self.bias)
         for weight, conditions in self.rules:
-            total = total + F.when(holds(conditions), weight).otherwise(0.0)
+            total = total + F.when(holds(conditions, at), weight).otherwise(0.0)
         return 1.0 / (1.0 + F.exp(-total))
 
 
-def holds(conditions: tuple) -> Column:
-    parts = [F.col(s) > limit if above else F.col(s) <= limit for s, above, limit in conditions]
+def holds(conditions: tuple, at: str = "") -> Column:
+    parts = [F.col(at + s) > limit if above else F.col(at + s) <= limit for s, above, limit in conditions]
     out = parts[0]
     for p in parts[1:]:
         out = out & p

@@ -42,8 +42,8 @@ class Model:
     weights: dict[str, float]
 
 
-def _chosen(train: DataFrame, least_chi2: float, least_docs: int) -> list[str]:
-    """Features at least twice as frequent in labelled documents, with a chi-square of at least ``least_chi2``."""
+def _chosen(train: DataFrame, least_chi2: float, least_docs: int) -> dict[str, float]:
+    """Features at least twice as frequent in labelled documents, with a chi-square of at least ``least_chi2``, and the log of how much more frequent they are."""
 
     def count(batches):
         pos, neg = {}, {}
@@ -60,12 +60,14 @@ def _chosen(train: DataFrame, least_chi2: float, least_docs: int) -> list[str]:
     size = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
-        return []
+        return {}
     found = train.mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     p, q, n = F.col("p").cast("double"), F.col("q").cast("double"), float(n0 + n1)
     diff = p * (n0 - q) - q * (n1 - p)
     chi2 = n * diff * diff / ((p + q) * F.greatest(F.lit(n) - p - q, F.lit(1.0)) * float(n0) * float(n1))
-    return [r.feature for r in found.where((p >= least_docs) & (p / n1 > 2 * q / n0) & (chi2 >= least_chi2)).select("feature").orderBy("feature").collect()]
+    ratio = F.log((p + 0.5) / (n1 + 1.0) / ((q + 0.5) / (n0 + 1.0))).alias("ratio")
+    own = found.where((p >= least_docs) & (p / n1 > 2 * q / n0) & (chi2 >= least_chi2)).select("feature", ratio)
+    return {r.feature: r.ratio for r in own.orderBy("feature").collect()}
 
 
 def _bags(train: DataFrame, names: list[str]) -> DataFrame:
@@ -91,14 +93,14 @@ def _bags(train: DataFrame, names: list[str]) -> DataFrame:
     return train.mapInArrow(run, "label int, clean long, bag array<array<int>>")
 
 
-def _fit_noisy_or(labels: np.ndarray, clean: np.ndarray, bags: list, size: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray]:
-    """Bias and weights by gradient steps on the log-likelihood of the document labels under the noisy-or."""
+def _fit_noisy_or(labels: np.ndarray, clean: np.ndarray, bags: list, first: np.ndarray, steps: int = 1500, rate: float = 0.1, decay: float = 1e-5) -> tuple[float, np.ndarray]:
+    """Bias and weights, starting from ``first``, by gradient steps on the log-likelihood of the labels under the noisy-or."""
     doc = np.array([d for d, bag in enumerate(bags) for _ in bag], np.int64)
     sent = np.array([k for k, s in enumerate(s for bag in bags for s in bag) for _ in s], np.int64)
     feat = np.array([f for bag in bags for s in bag for f in s], np.int64)
     n_sent, n = len(doc), len(labels)
-    w = np.zeros(size + 1)
-    w[-1] = -6.0
+    size = len(first)
+    w = np.append(first, -6.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for step in range(1, steps + 1):
@@ -113,8 +115,8 @@ def _fit_noisy_or(labels: np.ndarray, clean: np.ndarray, bags: list, size: int,
         g[:-1] = np.bincount(feat, by_sent[sent], size)
         g[-1] = by_sent.sum() - (pull * clean).sum() * p0
         g = g / n + decay * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return float(w[-1]), w[:-1]
 
 
@@ -127,8 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     if not names:
         return Model(-6.0, {})
     # The sample is bounded, and only chosen features of its sentences come to the driver.
-    bags = _bags(train, names).collect()
-    bias, weights = _fit_noisy_or(np.array([b.label for b in bags]), np.array([b.clean for b in bags], float), [b.bag for b in bags], len(names))
+    bags = _bags(train, list(names)).collect()
+    bias, weights = _fit_noisy_or(np.array([b.label for b in bags]), np.array([b.clean for b in bags], float), [b.bag for b in bags], np.array(list(names.values())))
     return Model(bias, {f: float(x) for f, x in zip(names, weights)})
 
 
