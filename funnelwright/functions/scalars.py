@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from collections.abc import Mapping, Sequence
 
@@ -109,9 +110,10 @@ def tier_rank(c: str | Column) -> Column:
 # --- text forms of numbers ---------------------------------------------------
 
 def parse_percent(c: str | Column) -> Column:
-    """'1.129%' -> 0.01129; '-', blank and null -> null."""
+    """'1.129%' -> 0.01129, a plain number as it is; '-', blank and null -> null."""
     x = F.regexp_replace(F.trim(col(c)), r"[,\s]", "")
-    return F.regexp_extract(x, r"^([+-]?\d+(?:\.\d+)?)%$", 1).try_cast("double") / 100.0
+    number = F.regexp_extract(x, r"^([+-]?\d+(?:\.\d+)?)%?$", 1).try_cast("double")
+    return F.when(x.endswith("%"), number / 100.0).otherwise(number)
 
 
 def parse_value_change(c: str | Column) -> tuple[Column, Column]:
@@ -134,25 +136,49 @@ def fmt_int(c: str | Column) -> Column:
     return F.coalesce(F.format_number(F.round(col(c)), 0), F.lit("-"))
 
 
+def _missing(value: Column) -> Column:
+    return value.isNull() | F.trim(value).isin("", "-")
+
+
 def fmt_cell(value: Column, chg: Column) -> Column:
-    """'1,234 (+5.60%)'"""
-    return F.concat(value, F.lit(" ("), fmt_signed_percent(chg), F.lit(")"))
+    """'1,234 (+5.60%)'; without a change the value alone, without a value '-'."""
+    return F.when(_missing(value), "-").when(chg.isNull(), value).otherwise(F.concat(value, F.lit(" ("), fmt_signed_percent(chg), F.lit(")")))
 
 
 def fmt_cell_dual(value: Column, mom: Column, yoy: Column) -> Column:
-    return F.concat(value, F.lit(" ("), fmt_signed_percent(mom), F.lit("｜"), fmt_signed_percent(yoy), F.lit(")"))
+    """'1,234 (+5.60%｜+1.20%)'; a missing change is '-', without a value the cell is '-'."""
+    return F.when(_missing(value), "-").otherwise(F.concat(value, F.lit(" ("), fmt_signed_percent(mom), F.lit("｜"), fmt_signed_percent(yoy), F.lit(")")))
 
 
 # --- metric expressions --------------------------------------------------------
 
 def metric_expr(expr: str, metrics: Sequence[str]) -> Column:
-    """Arithmetic over named metric columns; anything else is refused."""
-    names = set(re.findall(r"[A-Za-z_]\w*", expr))
-    if not names <= set(metrics):
-        raise ValueError(f"unknown metrics {sorted(names - set(metrics))}")
-    if not re.fullmatch(r"[\w\s.+\-*/()]+", expr):
+    """Arithmetic over named metric columns as a Column; every division gives null where the divisor is zero."""
+
+    def of(node: ast.AST) -> Column:
+        match node:
+            case ast.Name(id=name):
+                if name not in metrics:
+                    raise ValueError(f"unknown metric {name}")
+                return F.col(name)
+            case ast.Constant(value=value) if type(value) in (int, float):
+                return F.lit(value)
+            case ast.UnaryOp(op=ast.USub(), operand=x):
+                return -of(x)
+            case ast.UnaryOp(op=ast.UAdd(), operand=x):
+                return of(x)
+            case ast.BinOp(op=op, left=x, right=y) if type(op) in BINARY:
+                return BINARY[type(op)](of(x), of(y))
         raise ValueError(f"only arithmetic is allowed: {expr}")
-    return F.expr(re.sub(r"([\w.)]+)\s*/\s*([\w.]+)", r"try_divide(\1, \2)", expr) if "(" not in expr else expr)
+
+    try:
+        tree = ast.parse(expr.strip(), mode="eval")
+    except SyntaxError as e:
+        raise ValueError(f"only arithmetic is allowed: {expr}") from e
+    return of(tree.body)
+
+
+BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide}
 
 
 # --- shape ---------------------------------------------------------------------

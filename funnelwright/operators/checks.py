@@ -380,25 +380,84 @@ def event_sanity(events: DataFrame, starts: DataFrame, user: str, ts: str, start
 Check = Callable[[DataFrame], DataFrame]
 
 
-def run_structural(df: DataFrame, keys: Sequence[str] = (), completeness_cols: Sequence[str] | None = None, rows: tuple[int | None, int | None] = (1, None), extra: Sequence[Check] = ()) -> DataFrame:
-    """Scan rules in one pass, key check beside it, then any registered callables ``df -> rows``."""
+def run_structural(
+    df: DataFrame,
+    keys: Sequence[str] = (),
+    completeness_cols: Sequence[str] | None = None,
+    rows: tuple[int | None, int | None] = (1, None),
+    schema: Mapping[str, str] | None = None,
+    dates: Mapping[str, tuple[str | None, str | None]] | None = None,
+    days: Mapping[str, tuple[str | None, str | None, int]] | None = None,
+    parents: Sequence[tuple[str, DataFrame, str]] = (),
+    domains: Mapping[str, Sequence[str]] | None = None,
+    extra: Sequence[Check] = (),
+) -> DataFrame:
+    """All structural rules that are configured.
+
+    Rows, completeness and the bounds of ``dates`` are one scan; ``schema`` reads metadata; keys, ``days`` (first and
+    last day, widest gap), ``parents`` (column, parent table, its key) and ``domains`` group once each.
+    """
     rules = [row_count(*rows), *[completeness(c) for c in (df.columns if completeness_cols is None else completeness_cols)]]
+    rules += [date_bounds(c, lo, hi) for c, (lo, hi) in (dates or {}).items()]
     parts = [scan_checks(df, rules)]
+    if schema:
+        parts.append(check_schema(df, schema))
     if keys:
         parts.append(check_primary_key(df, keys))
+    parts += [check_date_range(df, c, lo, hi, gap) for c, (lo, hi, gap) in (days or {}).items()]
+    parts += [check_referential(df, parent, c, k) for c, parent, k in parents]
+    parts += [check_domain(df, c, v) for c, v in (domains or {}).items()]
     return suite(*parts, *[f(df) for f in extra])
 
 
-def run_logical(detail: DataFrame, summary: DataFrame, keys: Sequence[str], metric: str, order: str, extra: Sequence[Check] = ()) -> DataFrame:
-    return suite(check_aggregation(detail, summary, keys, metric), scan_checks(detail, [exhaustive(keys[0], metric)]), check_trend_breaks(summary, [], order, metric) if order in summary.columns else check_group_balance(detail, keys[0]), *[f(detail) for f in extra])
+def run_logical(
+    detail: DataFrame,
+    summary: DataFrame,
+    keys: Sequence[str],
+    metric: str,
+    order: str,
+    percents: Mapping[str, Sequence[str]] | None = None,
+    monotonic: Mapping[str, bool] | None = None,
+    spikes: Mapping[str, tuple[int, float]] | None = None,
+    ratios: Sequence[tuple[str, str, float, float]] = (),
+    not_after: Mapping[str, str] | None = None,
+    extra: Sequence[Check] = (),
+) -> DataFrame:
+    """All logical rules that are configured.
+
+    Exhaustive segments, ``ratios`` (numerator, denominator, bounds) and ``not_after`` (date column: latest time) are
+    one scan of the detail; ``percents`` (column: groups whose values sum to 100), ``monotonic`` (column: increasing)
+    and ``spikes`` (column: window and z) run on the summary along ``order``.
+    """
+    rules = [exhaustive(keys[0], metric), *[ratio_bounds(n, d, lo, hi) for n, d, lo, hi in ratios], *[future_dates(c, t) for c, t in (not_after or {}).items()]]
+    parts = [check_aggregation(detail, summary, keys, metric), scan_checks(detail, rules)]
+    parts.append(check_trend_breaks(summary, [], order, metric) if order in summary.columns else check_group_balance(detail, keys[0]))
+    parts += [check_pct_sum(summary, c, g) for c, g in (percents or {}).items()]
+    parts += [check_monotonic(summary, [], order, c, up) for c, up in (monotonic or {}).items()]
+    parts += [check_spikes(summary, [], order, c, w, z) for c, (w, z) in (spikes or {}).items()]
+    return suite(*parts, *[f(detail) for f in extra])
 
 
+# Bounds of well-known rates and scores, and measures that are never negative.
 DEFAULT_RANGES = {"conversion_rate": (0, 1), "bounce_rate": (0, 1), "click_through_rate": (0, 1), "retention_rate": (0, 1), "churn_rate": (0, 1), "nps_score": (-100, 100)}
 DEFAULT_NON_NEGATIVE = ("revenue", "orders", "sessions", "users", "page_views", "transactions", "quantity")
 
 
-def run_business(df: DataFrame, ranges: Mapping[str, tuple] | None = None, non_negatives: Sequence[str] | None = None, cardinality: Mapping[str, tuple] | None = None, segments: Mapping[str, Sequence[str]] | None = None, extra: Sequence[Check] = ()) -> DataFrame:
-    """Configured rules, or the defaults on the columns present."""
+def run_business(
+    df: DataFrame,
+    ranges: Mapping[str, tuple] | None = None,
+    non_negatives: Sequence[str] | None = None,
+    cardinality: Mapping[str, tuple] | None = None,
+    segments: Mapping[str, Sequence[str]] | None = None,
+    changes: Mapping[str, tuple[str, float]] | None = None,
+    relations: Sequence[tuple[str, str, float]] = (),
+    extra: Sequence[Check] = (),
+) -> DataFrame:
+    """Configured rules, or the defaults on the columns present.
+
+    ``changes`` (column: order column and limit in percent) looks at the step from row to row; ``relations`` compares
+    arithmetic over the columns. Ranges and signs are one scan, relations another.
+    """
     rg = ranges if ranges is not None else {c: b for c, b in DEFAULT_RANGES.items() if c in df.columns}
     nn = non_negatives if non_negatives is not None else [c for c in DEFAULT_NON_NEGATIVE if c in df.columns]
     rules = [value_range(c, *b) for c, b in rg.items()] + [non_negative(c) for c in nn]
@@ -406,6 +465,9 @@ def run_business(df: DataFrame, ranges: Mapping[str, tuple] | None = None, non_n
     if cardinality:
         parts.append(check_cardinality(df, cardinality))
     parts += [check_segments(df, c, v) for c, v in (segments or {}).items()]
+    parts += [check_period_change(df, [], order, c, limit) for c, (order, limit) in (changes or {}).items()]
+    if relations:
+        parts.append(check_metric_relations(df, [], relations))
     return suite(*parts, *[f(df) for f in extra])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -126,8 +127,9 @@ def lineage_edges(log: DataFrame) -> DataFrame:
     return i.join(o, "table").where("child <> parent").select("child", "parent", "table").distinct()
 
 
-def lineage_ancestors(edges: DataFrame, start: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(step, depth): every step upstream of the start steps, level by level until nothing new appears.
+def lineage_ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(step, depth): every step upstream of the start steps, level by level until nothing new appears,
+    however deep the lineage is.
 
     Both the reached set and the frontier are checkpointed each round, so the plan stays flat and a lost
     executor costs one round.
@@ -135,7 +137,7 @@ def lineage_ancestors(edges: DataFrame, start: DataFrame, max_depth: int = 100)
     e = cut_lineage(edges.select("child", "parent").distinct())
     frontier = start.select("step").distinct()
     seen = cut_lineage(frontier.withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         frontier = e.join(frontier, F.col("child") == F.col("step"), "left_semi").select(F.col("parent").alias("step")).distinct().join(seen, "step", "left_anti")
         frontier = cut_lineage(frontier)
         if frontier.isEmpty():

@@ -272,15 +272,15 @@ def mature_benchmark(grid: DataFrame, k: int = 3, limit: float = 5.0) -> DataFra
 def funnel_times(events: DataFrame, user: str, ts: str, step: Column, steps: Sequence[str], within_seconds: int) -> DataFrame:
     """(user, t1, t2, ...): first time of each step at or after the previous one and within the limit of the first.
 
-    One minimum per step, combined map-side; only one row per user meets the next step's events.
+    Each step is one scan, joined to the one row per user found so far and reduced to the minimum again, so the plan
+    grows with the number of steps and stays partitioned by user throughout.
     """
     e = events.select(F.col(user), F.col(ts).alias("_ts"), step.alias("_step")).where(F.col("_step").isin(list(steps)))
     t = e.where(F.col("_step") == steps[0]).groupBy(user).agg(F.min("_ts").alias("t1"))
     for i, s in enumerate(steps[1:], 2):
-        prev = t.where(F.col(f"t{i - 1}").isNotNull()).select(user, "t1", F.col(f"t{i - 1}").alias("_prev"))
-        nxt = e.where(F.col("_step") == s).join(prev, user)
-        ok = (F.col("_ts") >= F.col("_prev")) & (F.col("_ts").cast("double") - F.col("t1").cast("double") <= within_seconds)
-        t = t.join(nxt.where(ok).groupBy(user).agg(F.min("_ts").alias(f"t{i}")), user, "left")
+        nxt = e.where(F.col("_step") == s).select(F.col(user).alias("_u"), "_ts")
+        ok = (F.col(user) == F.col("_u")) & (F.col("_ts") >= F.col(f"t{i - 1}")) & (F.col("_ts").cast("double") - F.col("t1").cast("double") <= within_seconds)
+        t = t.join(nxt, ok, "left").groupBy(user, *[f"t{k}" for k in range(1, i)]).agg(F.min("_ts").alias(f"t{i}"))
     return t
 
 
@@ -433,7 +433,7 @@ def state_funnel(states: DataFrame, key: str, ts: str, state: str, trial: str, p
 
 
 def churn_rate(spans: DataFrame, by: str, start: str, end: str) -> DataFrame:
-    """Ended in the month over active at its start, per plan.
+    """Ended in the month over active at its start, per plan, for every month from a plan's first move to its last.
 
     Starts and ends are counted per month and accumulated, so a span is never repeated for each month it covers.
     """
@@ -442,6 +442,9 @@ def churn_rate(spans: DataFrame, by: str, start: str, end: str) -> DataFrame:
         F.struct(F.trunc(end, "month").alias("month"), F.lit(0).alias("s"), F.lit(1).alias("e")),
     )).alias("m")).select(by, "m.*").where("month is not null")
     g = moves.groupBy(by, "month").agg(F.sum("s").alias("started"), F.sum("e").alias("ended"))
+    # Months without a move have their row too; a plan has as many rows as months.
+    spine = g.groupBy(by).agg(F.min("month").alias("lo"), F.max("month").alias("hi")).select(by, F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("month"))
+    g = spine.join(g, [by, "month"], "left").fillna(0, ["started", "ended"])
     w = W.partitionBy(by).orderBy("month").rowsBetween(W.unboundedPreceding, -1)
     g = g.withColumn("active_at_start", F.coalesce(F.sum(F.col("started") - F.col("ended")).over(w), F.lit(0)))
     return g.withColumn("churn", ratio("ended", "active_at_start"))

@@ -298,20 +298,20 @@ def driver_stage(wow: DataFrame, flat: float = 0.01, exposure_alert: float = -0.
 
 
 def dimension_movers(wow: DataFrame, metric: str) -> DataFrame:
-    """Per dimension: rising, falling or mixed, the extreme members and the members grouped by sign."""
+    """One row per member: its direction, whether it is the extreme one of its dimension, and the dimension's shape
+    (rising, falling or mixed) with the members on either side counted."""
     x = F.col(metric)
-    d = wow.where((F.col("tag") != "overall") & x.isNotNull())
-    key = F.struct(x, F.col("member"))
-    g = d.groupBy("tag").agg(
-        F.count(F.when(x > 0, 1)).alias("n_up"), F.count(F.when(x < 0, 1)).alias("n_down"),
-        F.max(F.when(x > 0, key)).alias("_up"), F.min(F.when(x < 0, key)).alias("_down"),
-        # Bounded by the members of a dimension, which a report lists one by one.
-        F.array_join(F.sort_array(F.collect_list(F.when(x > 0, F.col("member")))), ",").alias("members_up"),
-        F.array_join(F.sort_array(F.collect_list(F.when(x < 0, F.col("member")))), ",").alias("members_down"),
+    d = wow.where((F.col("tag") != "overall") & x.isNotNull()).select("tag", "member", x.alias("change"))
+    key = F.struct("change", "member")
+    g = d.groupBy(F.col("tag").alias("_tag")).agg(
+        F.count(F.when(F.col("change") > 0, 1)).alias("n_up"), F.count(F.when(F.col("change") < 0, 1)).alias("n_down"),
+        F.max(F.when(F.col("change") > 0, key)).alias("_up"), F.min(F.when(F.col("change") < 0, key)).alias("_down"),
     )
-    return g.select(
-        "tag", F.when(F.col("n_down") == 0, "rising").when(F.col("n_up") == 0, "falling").otherwise("mixed").alias("shape"),
-        "n_up", "n_down", F.col("_up.member").alias("top_up"), F.col("_down.member").alias("top_down"), "members_up", "members_down",
+    at = lambda c: F.coalesce(F.col("member") == F.col(f"{c}.member"), F.lit(False))
+    return d.join(g, F.col("tag") == F.col("_tag")).select(
+        "tag", "member", "change", F.when(F.col("change") > 0, "up").when(F.col("change") < 0, "down").otherwise("flat").alias("direction"),
+        F.when(F.col("n_down") == 0, "rising").when(F.col("n_up") == 0, "falling").otherwise("mixed").alias("shape"),
+        "n_up", "n_down", at("_up").alias("is_top_up"), at("_down").alias("is_top_down"),
     )
 
 

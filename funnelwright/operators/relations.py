@@ -167,11 +167,26 @@ def alias_matches(df: DataFrame, text: str, aliases: Sequence[tuple[str, str, fl
     return hits.withColumns({"entity": name[F.col("alias")], "confidence": conf[F.col("alias")]})
 
 
-def close_names(asked: DataFrame, q: str, names: DataFrame, name: str, max_distance: int, prefix: int) -> DataFrame:
-    """Nearest name sharing the first ``prefix`` letters within an edit distance; the prefix makes it an
-    equi-join and the minimum is combined before the shuffle."""
-    n = names.select(F.col(name).alias("_name"), F.substring(name, 1, prefix).alias("_p"))
-    j = asked.withColumn("_p", F.substring(q, 1, prefix)).join(n, "_p")
-    j = j.withColumn("_d", F.levenshtein(q, "_name")).where(F.col("_d") <= max_distance)
-    g = j.groupBy(q).agg(F.min(F.struct("_d", "_name")).alias("m"))
-    return g.select(q, F.col("m._name").alias("suggestion"), F.col("m._d").cast("long").alias("distance"))
+def _deletions(c: Column, most: int) -> Column:
+    """Every string that deleting at most ``most`` letters leaves."""
+    level = every = F.array(c)
+    for _ in range(most):
+        cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda s: F.length(s) > 0), cut)))
+        every = F.concat(every, level)
+    return F.array_distinct(every)
+
+
+def close_names(asked: DataFrame, q: str, names: DataFrame, name: str, max_distance: int, best: int = 3) -> DataFrame:
+    """The ``best`` nearest names within an edit distance, nearest first, then by name.
+
+    Two strings within d edits share a string left by at most d deletions from each: an equi-join on those keys
+    finds every such pair, wherever the misspelling stands, and the distance is then verified.
+    """
+    a = asked.select(F.col(q).alias("_q")).distinct().select("_q", F.explode(_deletions(F.col("_q"), max_distance)).alias("_k"))
+    n = names.select(F.col(name).alias("_name")).distinct().select("_name", F.explode(_deletions(F.col("_name"), max_distance)).alias("_k"))
+    j = a.join(n, "_k").select("_q", "_name").distinct().withColumn("_d", F.levenshtein("_q", "_name")).where(F.col("_d") <= max_distance)
+    # The names around one asked name, not the table: a short list to rank.
+    w = W.partitionBy("_q").orderBy("_d", "_name")
+    ranked = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best)
+    return ranked.select(F.col("_q").alias(q), F.col("_name").alias("suggestion"), F.col("_d").cast("long").alias("distance"), "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -96,7 +98,7 @@ def drill_down(df: DataFrame, dims: Sequence[str], metric: str, baseline: Column
         long = scope.unpivot(["_b", "_p"], list(names), "dimension", "member").groupBy("dimension", "member").agg((F.sum("_p") / period_days - F.sum("_b") / base_days).alias("change"))
         w = W.partitionBy("dimension")
         r = long.withColumn("share", F.try_divide(F.col("change"), F.sum("change").over(w))).withColumn("rank", F.row_number().over(w.orderBy(F.desc("share"), "member")))
-        g = r.groupBy("dimension").agg(F.max_by("member", "share").alias("member"), F.max("share").alias("top"), F.sum(F.when(F.col("rank") <= 2, F.col("share"))).alias("top2"), F.sum("change").alias("excess"), F.max(F.when(F.col("rank") == 1, F.col("change"))).alias("change"))
+        g = r.groupBy("dimension").agg(F.max(F.when(F.col("rank") == 1, F.col("member"))).alias("member"), F.max(F.when(F.col("rank") == 1, F.col("share"))).alias("top"), F.sum(F.when(F.col("rank") <= 2, F.col("share"))).alias("top2"), F.sum("change").alias("excess"), F.max(F.when(F.col("rank") == 1, F.col("change"))).alias("change"))
         return g.orderBy(F.desc("top"), "dimension").first()
 
     schema = "level int, dimension string, member string, share double, change double, excess double, power string"
@@ -109,18 +111,19 @@ def drill_down(df: DataFrame, dims: Sequence[str], metric: str, baseline: Column
             break
         power = "HIGH" if hit["top"] > 0.5 else "MEDIUM" if hit["top2"] > 0.7 else "LOW"
         if power == "LOW" and len(left) > 1:
-            combos = {f"{a}*{b}": F.concat_ws("|", a, b) for i, a in enumerate(left) for b in left[i + 1:]}
+            combos = {f"{a}*{b}": F.to_json(F.array(a, b)) for i, a in enumerate(left) for b in left[i + 1:]}
             pair = best(scope.withColumns(combos), list(combos))
             if pair is not None and pair["top"] is not None and pair["top"] > 0.5:
                 hit, power = pair, "HIGH"
-        rows.append((level, hit["dimension"], hit["member"], float(hit["top"]), float(hit["change"]), float(hit["excess"]), power))
+        shown = "|".join(v or "" for v in json.loads(hit["member"])) if "*" in hit["dimension"] else hit["member"]
+        rows.append((level, hit["dimension"], shown, float(hit["top"]), float(hit["change"]), float(hit["excess"]), power))
         first = first if first is not None else hit["excess"]
         if power == "LOW" or (level >= min_depth and first and abs(hit["excess"] - hit["change"]) < rest * abs(first)):
             break
         used = hit["dimension"].split("*")
-        values = hit["member"].split("|") if len(used) > 1 else [hit["member"]]
+        values = json.loads(hit["member"]) if len(used) > 1 else [hit["member"]]
         for d, v in zip(used, values):
-            scope = scope.where(F.col(d) == v)
+            scope = scope.where(F.col(d).eqNullSafe(F.lit(v)))
         left = [d for d in left if d not in used]
     return df.sparkSession.createDataFrame(rows, schema)
 

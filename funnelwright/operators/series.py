@@ -217,7 +217,8 @@ def _best_alpha(loss, lo: float = 0.01, hi: float = 0.99, tol: float = 1e-5) ->
 def exp_smoothing(df: DataFrame, keys: Sequence[str], order: str, c: str, alpha: float | None = None, beta: float | None = None, period: int | None = None, fit_on: str = "filtered") -> DataFrame:
     """Smoothed values per series; ``fit_on`` says whether alpha minimises the filtered or the one-step error.
 
-    Series too short for the seasonal start fall back to no season.
+    Series shorter than two cycles have no seasonal start: their smoothed values come from the model without a
+    season, and ``model`` says so.
     """
     b = 0.1 if period and beta is None else beta
 
@@ -229,10 +230,10 @@ def exp_smoothing(df: DataFrame, keys: Sequence[str], order: str, c: str, alpha:
         loss = lambda a: float(np.mean((x - _smooth(x, a, b, p)[pick]) ** 2))
         a = alpha if alpha is not None else _best_alpha(loss)
         filtered, ahead = _smooth(x, a, b, p)
-        return pdf[[*keys, order, c]].assign(filtered=filtered, one_step=ahead, alpha=a)
+        return pdf[[*keys, order, c]].assign(filtered=filtered, one_step=ahead, alpha=a, model="seasonal" if p else "trend" if b is not None else "level")
 
     s = df.select(*keys, order, F.col(c).cast("double").alias(c)).where(F.col(c).isNotNull())
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in s.schema.fields] + ["filtered double", "one_step double", "alpha double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in s.schema.fields] + ["filtered double", "one_step double", "alpha double", "model string"])
     return s.groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -114,18 +114,22 @@ def mann_whitney(df: DataFrame, group: str, c: str, a, b, target_rows: int = TAR
 def chi2_independence(df: DataFrame, row: str, column: str) -> DataFrame:
     """Chi-square of a contingency table; 2×2 tables use the continuity correction.
 
-    Margins are joined to the cells that exist; empty cells follow from the margins, so no grid is built.
+    The cells that exist are counted once; margins are sums over them, and empty cells follow from the margins, so
+    no grid is built.
     """
     cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("r"), F.col(column).alias("c")).agg(F.count("*").cast("double").alias("o"))
-    rm, cm = cells.groupBy("r").agg(F.sum("o").alias("ro")), cells.groupBy("c").agg(F.sum("o").alias("co"))
-    x = cells.join(rm, "r").join(cm, "c")
-    g = x.agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ro") * F.col("co"))).alias("_s"), F.max(F.struct("r", "c", "o", "ro", "co")).alias("_cell"))
-    g = g.withColumns({"_rows": rm.agg(F.struct(F.count("*").alias("k"), F.sum(1 / F.col("ro")).alias("inv")).alias("s")).scalar(), "_cols": cm.agg(F.struct(F.count("*").alias("k"), F.sum(1 / F.col("co")).alias("inv")).alias("s")).scalar()})
+    wr, wc = W.partitionBy("r"), W.partitionBy("c")  # cells of one row or column of the table
+    x = cells.withColumns({"ro": F.sum("o").over(wr), "kr": F.count("*").over(wr)}).withColumns({"co": F.sum("o").over(wc), "kc": F.count("*").over(wc)})
+    g = x.agg(
+        F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ro") * F.col("co"))).alias("_s"), F.max(F.struct("r", "c", "o", "ro", "co")).alias("_cell"),
+        F.round(F.sum(1 / F.col("kr"))).cast("long").alias("_rows"), F.round(F.sum(1 / F.col("kc"))).cast("long").alias("_cols"),
+        F.sum(1 / (F.col("ro") * F.col("kr"))).alias("_ri"), F.sum(1 / (F.col("co") * F.col("kc"))).alias("_ci"),
+    )
     d = F.abs(F.col("_cell.o") - F.col("_cell.ro") * F.col("_cell.co") / F.col("n"))
     adj = d - F.least(F.lit(0.5), d)
-    two = (F.col("_rows.k") == 2) & (F.col("_cols.k") == 2)
-    chi = F.when(two, adj * adj * F.col("n") * F.col("_rows.inv") * F.col("_cols.inv")).otherwise(F.col("n") * (F.col("_s") - 1))
-    return g.select(F.col("n").cast("long").alias("n"), chi.alias("chi2"), ((F.col("_rows.k") - 1) * (F.col("_cols.k") - 1)).alias("dof"))
+    two = (F.col("_rows") == 2) & (F.col("_cols") == 2)
+    chi = F.when(two, adj * adj * F.col("n") * F.col("_ri") * F.col("_ci")).otherwise(F.col("n") * (F.col("_s") - 1))
+    return g.select(F.col("n").cast("long").alias("n"), chi.alias("chi2"), ((F.col("_rows") - 1) * (F.col("_cols") - 1)).alias("dof"))
 
 
 # Cumulative Poisson(1) probabilities: the number of them below a uniform draw is the weight.
@@ -222,18 +226,16 @@ def rank_dimensions(df: DataFrame, metric: str, dims: Sequence[str]) -> DataFram
     """Eta-squared and F of every dimension from one pass over unpivoted members."""
     long = df.where(F.col(metric).isNotNull()).unpivot([metric], [F.col(d).cast("string").alias(d) for d in dims], "dimension", "member").where("member is not null")
     x = F.col(metric).cast("double")
-    g = long.groupBy("dimension", "member").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    # Deviations from each member's own mean, combined around the dimension's mean: large means cancel nothing.
+    g = long.groupBy("dimension", "member").agg(F.count("*").alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count("*")).alias("ss"))
     big = F.col("n") >= 2
-    t = g.groupBy("dimension").agg(
-        F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.count(F.when(big, 1)).alias("n_groups"),
-        F.sum(F.when(big, F.col("n"))).alias("n2"), F.sum(F.when(big, F.col("s"))).alias("s2"), F.sum(F.when(big, F.col("q"))).alias("q2"),
-        F.sum(F.when(big, F.col("s") * F.col("s") / F.col("n"))).alias("b2"),
+    means = g.groupBy("dimension").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), (F.sum(F.when(big, F.col("n") * F.col("m"))) / F.sum(F.when(big, F.col("n")))).alias("bm"))
+    off = lambda c: F.col("n") * (F.col("m") - F.col(c)) * (F.col("m") - F.col(c))
+    t = g.join(means, "dimension").groupBy("dimension").agg(
+        F.count(F.when(big, 1)).alias("n_groups"), F.sum(F.when(big, F.col("n"))).alias("n2"), F.sum(F.col("ss") + off("gm")).alias("total"),
+        F.sum(F.when(big, off("gm"))).alias("between"), F.sum(F.when(big, off("bm"))).alias("own"), F.sum(F.when(big, F.col("ss"))).alias("within"),
     )
-    gm = F.col("S") / F.col("N")
-    total = F.col("Q") - F.col("S") * gm
-    between = F.col("b2") - 2 * gm * F.col("s2") + gm * gm * F.col("n2")
-    own = F.col("b2") - F.col("s2") * F.col("s2") / F.col("n2")
-    within = F.col("q2") - F.col("b2")
+    total, between, own, within = (F.col(c) for c in ("total", "between", "own", "within"))
     k = F.col("n_groups")
     t = t.withColumns({
         "eta_squared": F.when(k >= 2, F.coalesce(F.try_divide(between, total), F.lit(0.0))).otherwise(0.0),
@@ -301,18 +303,20 @@ def group_difference(df: DataFrame, metric: str, attrs: Sequence[str], low: floa
     return g.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.abs("scaled")), "attribute")))  # one row per attribute
 
 
-def feature_importance(df: DataFrame, target: str, cols: Sequence[str], seed: int = 42, trees: int = 20, depth: int = 5) -> DataFrame:
-    """Forest importances for ranking; only for more than five columns and five hundred rows, else no rows."""
+def feature_importance(df: DataFrame, target: str, cols: Sequence[str], seed: int = 42, trees: int = 20, depth: int = 5, least_cols: int = 5, least_rows: int = 500) -> DataFrame:
+    """Forest importances for ranking. ``advised`` says whether there are more than ``least_cols`` columns and
+    ``least_rows`` complete rows, below which a ranking means little; the fit is made either way."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    schema = "feature string, importance double, rank int"
-    if len(cols) <= 5 or df.limit(501).count() <= 500:
-        return df.sparkSession.createDataFrame([], schema)
+    schema = "feature string, importance double, rank int, advised boolean"
     x = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.select(*[F.col(c).cast("double") for c in (*cols, target)]).dropna())
+    rows = x.count()
+    if not rows:
+        return df.sparkSession.createDataFrame([], schema)
     model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(x)
     ranked = sorted(zip(cols, model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0]))
-    return df.sparkSession.createDataFrame([(c, float(v), i) for i, (c, v) in enumerate(ranked, 1)], schema)
+    return df.sparkSession.createDataFrame([(c, float(v), i, len(cols) > least_cols and rows > least_rows) for i, (c, v) in enumerate(ranked, 1)], schema)
 
 
 def run_summary(df: DataFrame, config: str, metrics: Sequence[str], first: str, second: str) -> DataFrame:

@@ -46,9 +46,29 @@ MARKS = {
 
 # Contrast and triple-list forms.
 CONTRASTS = {
-    "not_x_its_y": r"(?i)\bnot (just |only |merely )?[^.,;!?]{1,60}[,;] (it's|it is|they're|but)\b",
-    "not_only": r"(?i)\bnot only\b[^.!?]{1,120}\bbut\b",
+    "not_x_its_y": r"(?i)\bnot (just |only |merely )?[^.,;!?]+[,;] (it's|it is|they're|but)\b",
+    "not_only": r"(?i)\bnot only\b[^.!?]+\bbut\b",
     "triple": r"(?i)\b\w+, \w+,? and \w+\b",
+    "the_real_is": r"(?i)\bthe real \w+ is\b",
+    "tailing_no": r"(?i), no \w+(?: \w+)?[.!?]",
+    "zh_not_only": "不仅[^。！？]+[更而]",
+    "zh_not_but": "不是[^。！？]+而是",
+    "zh_both": "既[^。！？]+又",
+    "zh_triple": r"[\x{4e00}-\x{9fff}]{2,4}、[\x{4e00}-\x{9fff}]{2,4}、[\x{4e00}-\x{9fff}]{2,4}",
+}
+
+# Chinese signal words and fillers with a gap, which ends at the sentence mark.
+PATTERNS_ZH = {
+    "foundation": "奠定了[^。！？]*基础",
+    "role": "发挥了(?:关键|核心|重要)作用",
+    "milestone": "是[^。！？]*的重要里程碑",
+    "development": "推动了[^。！？]*的发展",
+    "chapter": "开启了[^。！？]*的新篇章",
+    "wave": "在[^。！？]*浪潮中",
+    "in_order_to": "为了能够实现[^。！？]*这一目标",
+    "because_of": "由于[^。！？]*的原因",
+    "able_to": "具备[^。！？]*的能力",
+    "effect_of": "起到了[^。！？]*的作用",
 }
 
 
@@ -89,6 +109,10 @@ def contrast_patterns(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFr
     return pattern_counts(docs, text, CONTRASTS, keep)
 
 
+def zh_patterns(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    return pattern_counts(docs, text, PATTERNS_ZH, keep)
+
+
 def rhythm(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Sentences, mean and spread of their length in words, and runs of three equal lengths, per document.
 

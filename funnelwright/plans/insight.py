@@ -97,10 +97,10 @@ def issues(t):
                     F.when((F.col("o_totalprice") > 490000) & (F.col("o_orderstatus") == "P"), F.concat(F.lit("Rare Case, order "), "o_orderkey")).otherwise(F.concat(F.lit("Order "), "o_orderkey", F.lit(" ("), "o_orderpriority", F.lit(")!"))).alias("issue"))
 
 
-@query("u06_union_merge", "select o_orderstatus as source, count(*) as n from orders where o_orderstatus in ('F','O') group by 1")
+@query("u06_union_merge", "select o_orderstatus as source, count(*) as n from orders group by 1")
 def _(t):
     i = issues(t)
-    return L.union_merge([i.where("source = 'F'"), i.where("source = 'O'")]).groupBy("source").agg(F.count("*").alias("n"))
+    return L.union_merge([i.where("source = 'F'"), i.where("source = 'O'"), i.where("source = 'P'")]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("u06_dedup_merge", f"with {ISSUE_SQL} select category, issue_key, min(source) as first_source, count(*) as n, count(distinct source) as sources from nk group by 1,2")
@@ -142,7 +142,7 @@ def _count_sql(pattern):
 
 
 def _alternation(phrases):
-    return "(" + "|".join(sorted((p.replace("?", "\\?") for p in phrases), key=lambda p: (-len(p), p))) + ")"
+    return "(" + "|".join(sorted((p.replace("?", "\\?").replace(".", "\\.") for p in phrases), key=lambda p: (-len(p), p))) + ")"
 
 
 def _lex_sql(lexicon, words=True):
@@ -180,6 +180,11 @@ def _(t):
     return N.phrase_hits(planted(t, PLANTS_ZH), "text", LX.PHRASES_ZH, ["doc_id"], words=False)
 
 
+@query("n05_zh_patterns", f"with {_docs_sql(PLANTS_ZH)} select doc_id, {_cols({k: _count_sql(v) for k, v in N.PATTERNS_ZH.items()})} from docs")
+def _(t):
+    return N.zh_patterns(planted(t, PLANTS_ZH), "text", ["doc_id"])
+
+
 _HITS = "+".join(_lex_sql(LX.PHRASES).values())
 
 

@@ -239,11 +239,13 @@ def _(t):
     return P.driver_stage(P.funnel_wow(t.panel_between(MONTH, END), END))
 
 
-@query("k20_dimension_movers", f"""with {PANEL_SQL}, {_wow_sql("true")} select tag, case when count(case when pay_dau_wow < 0 then 1 end)=0 then 'rising' when count(case when pay_dau_wow > 0 then 1 end)=0 then 'falling' else 'mixed' end as shape,
-   count(case when pay_dau_wow > 0 then 1 end) as n_up, count(case when pay_dau_wow < 0 then 1 end) as n_down, arg_max(member, pay_dau_wow) filter (where pay_dau_wow > 0) as top_up, arg_min(member, pay_dau_wow) filter (where pay_dau_wow < 0) as top_down,
-   coalesce(string_agg(member, ',' order by member) filter (where pay_dau_wow > 0),'') as members_up, coalesce(string_agg(member, ',' order by member) filter (where pay_dau_wow < 0),'') as members_down from wow where tag<>'overall' and pay_dau_wow is not null group by 1""")
+@query("k20_dimension_movers", f"""with {PANEL_SQL}, {_wow_sql("true")}, d as (select tag, member, pay_dau_wow as change from wow where tag<>'overall' and pay_dau_wow is not null),
+   g as (select tag, count(case when change < 0 then 1 end) as n_down, count(case when change > 0 then 1 end) as n_up, max(row(change, member)) filter (where change > 0) as u, min(row(change, member)) filter (where change < 0) as w from d group by 1)
+   select d.tag, d.member, round(d.change, 6)+0.0 as change, case when change > 0 then 'up' when change < 0 then 'down' else 'flat' end as direction, case when n_down = 0 then 'rising' when n_up = 0 then 'falling' else 'mixed' end as shape,
+   n_up, n_down, coalesce(row(change, member) = u, false) as is_top_up, coalesce(row(change, member) = w, false) as is_top_down from d join g on d.tag = g.tag""")
 def _(t):
-    return P.dimension_movers(P.funnel_wow(t.panel_between(MONTH, END), END), "pay_dau_wow")
+    m = P.dimension_movers(P.funnel_wow(t.panel_between(MONTH, END), END), "pay_dau_wow")
+    return m.withColumn("change", r("change"))
 
 
 @query("k21_panel_qc", f"""with {PANEL_SQL}, w as (select tag, member, {WEEK_SQL} as wk, avg(uv_all) u, avg(exp_uv) e, avg(detail_uv) d, avg(pay_pv) p from panel where dt between date '2023-12-04' and date '2024-01-28' group by 1,2,3),

@@ -111,11 +111,11 @@ def _(t):
     return j.groupBy("c_mktsegment").agg(F.count("*").alias("customers"), F.count("o_custkey").alias("with_orders"), F.coalesce(F.sum("n"), F.lit(0)).alias("orders"))
 
 
-@query("j03_full_outer_stages", """with v as (select user_id, count(*) n from events where event_type='view' and value > 300 group by 1), c as (select user_id, count(*) n from events where event_type='click' and value > 300 group by 1),
-   s as (select user_id, count(*) n from events where event_type='signup' and value > 300 group by 1), p as (select user_id, count(*) n from events where event_type='purchase' and value > 300 group by 1)
+@query("j03_full_outer_stages", """with v as (select user_id, count(*) n from events where event_type='view' group by 1), c as (select user_id, count(*) n from events where event_type='click' group by 1),
+   s as (select user_id, count(*) n from events where event_type='signup' group by 1), p as (select user_id, count(*) n from events where event_type='purchase' group by 1)
    select user_id, coalesce(v.n,0) as exp, coalesce(c.n,0) as detail, coalesce(s.n,0) as "order", coalesce(p.n,0) as pay from v full join c using (user_id) full join s using (user_id) full join p using (user_id)""")
 def _(t):
-    e = t.events.where("value > 300")
+    e = t.events
     frames = {name: e.where(F.col("event_type") == et).groupBy("user_id").agg(F.count("*").alias("n")) for et, name in (("view", "exp"), ("click", "detail"), ("signup", "order"), ("purchase", "pay"))}
     return R.align_stages(frames, ["user_id"], "n")
 
@@ -169,10 +169,10 @@ def _(t):
 
 
 @query("j11_detail_vs_summary", """with d as (select l_orderkey as k, sum(l_extendedprice) as v from lineitem group by 1) select coalesce(d.k, o.o_orderkey) as k, round(d.v,2) as detail, round(o.o_totalprice,2) as summary,
-   round(d.v - o.o_totalprice,2)+0.0 as diff from d full join orders o on d.k=o.o_orderkey where o.o_orderkey is null or d.k is null or abs(d.v-o.o_totalprice) > 600000""")
+   round(d.v - o.o_totalprice,2)+0.0 as diff from d full join orders o on d.k=o.o_orderkey""")
 def _(t):
     j = R.detail_vs_summary(t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("v")), t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), ["k"], "v")
-    return j.where("detail is null or summary is null or abs(diff) > 600000").select("k", r("detail", 2).alias("detail"), r("summary", 2).alias("summary"), r("diff", 2).alias("diff"))
+    return j.select("k", r("detail", 2).alias("detail"), r("summary", 2).alias("summary"), r("diff", 2).alias("diff"))
 
 
 @query("j12_pair_join", """with s as (select c_mktsegment as seg, avg(c_acctbal) as m from customer group by 1)
@@ -301,10 +301,10 @@ def _(t):
     return R.attach_scalar(g, n, "n").select("code", "label", "len", F.round(F.col("c") * 100.0 / F.col("n"), 2).cast("string").alias("pct_text"))
 
 
-@query("f08_parse_percent", """with x as (select event_id, value, case when event_id % 11 = 0 then '-' else printf('%.2f', value) || '%' end as txt, printf('%.2f', value) || '% (WoW:' || printf('%+.2f', value - 250) || '%)' as cell from events)
-   select event_id, case when txt <> '-' then round(value / 100, 6) end as parsed, round(value,2) as cell_value, round(value - 250, 2)+0.0 as cell_change from x""")
+@query("f08_parse_percent", """with x as (select event_id, value, case when event_id % 11 = 0 then '-' when event_id % 11 = 1 then printf('%.2f', value) else printf('%.2f', value) || '%' end as txt, printf('%.2f', value) || '% (WoW:' || printf('%+.2f', value - 250) || '%)' as cell from events)
+   select event_id, case when txt = '-' then null when event_id % 11 = 1 then round(value, 6) else round(value / 100, 6) end as parsed, round(value,2) as cell_value, round(value - 250, 2)+0.0 as cell_change from x""")
 def _(t):
-    x = t.events.select("event_id", F.when(F.col("event_id") % 11 == 0, "-").otherwise(S.fmt_percent("value")).alias("txt"),
+    x = t.events.select("event_id", F.when(F.col("event_id") % 11 == 0, "-").when(F.col("event_id") % 11 == 1, F.format_string("%.2f", "value")).otherwise(S.fmt_percent("value")).alias("txt"),
                         F.concat(S.fmt_percent("value"), F.lit(" (WoW:"), S.fmt_signed_percent(F.col("value") - 250), F.lit(")")).alias("cell"))
     v, c = S.parse_value_change("cell")
     return x.select("event_id", r(S.parse_percent("txt")).alias("parsed"), r(v, 2).alias("cell_value"), r(c, 2).alias("cell_change"))
@@ -318,11 +318,15 @@ def _(t):
 
 
 @query("f10_format_cell", """with m as (select o_orderstatus as s, count(*) as n, (count(case when year(o_orderdate)=1998 then 1 end) - count(case when year(o_orderdate)=1997 then 1 end)) * 100.0 / count(case when year(o_orderdate)=1997 then 1 end) as c from orders group by 1)
-   select s, format('{:,}', n) || ' (' || printf('%+.2f', c) || '%)' as cell from m""")
+   , x as (select s, 'both' as part, n, c from m union all select s, 'no change', n, null from m union all select s, 'no value', null, c from m)
+   select s, part, case when n is null then '-' when c is null then format('{:,}', n) else format('{:,}', n) || ' (' || printf('%+.2f', c) || '%)' end as cell,
+     case when n is null then '-' else format('{:,}', n) || ' (' || coalesce(printf('%+.2f', c) || '%', '-') || '｜' || coalesce(printf('%+.2f', c / 2) || '%', '-') || ')' end as cell_dual from x""")
 def _(t):
     y = lambda v: F.count(F.when(F.year("o_orderdate") == v, 1))
     m = t.orders.groupBy(F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n"), S.pct_change(y(1998), y(1997)).alias("c"))
-    return m.select("s", S.fmt_cell(S.fmt_int("n"), F.col("c")).alias("cell"))
+    part = lambda name, n, c: m.select("s", F.lit(name).alias("part"), n.cast("long").alias("n"), c.cast("double").alias("c"))
+    x = part("both", F.col("n"), F.col("c")).unionAll(part("no change", F.col("n"), F.lit(None))).unionAll(part("no value", F.lit(None), F.col("c")))
+    return x.select("s", "part", S.fmt_cell(S.fmt_int("n"), F.col("c")).alias("cell"), S.fmt_cell_dual(S.fmt_int("n"), F.col("c"), F.col("c") / 2).alias("cell_dual"))
 
 
 @query("f11_regex_filter", """with x as (select case when o_orderkey % 5 = 0 then 'n/a' when o_orderkey % 3 = 0 then strftime(o_orderdate,'%Y-%m-%d') else strftime(o_orderdate,'%Y%m%d') end as d, 'Brand tier Z' || (o_custkey % 6) as tier from orders)
@@ -350,11 +354,11 @@ def _(t):
 
 
 @query("f14_close_names", """with a as (select distinct lower(p_name) as nm from part), b as (select distinct substr(lower(p_name), 1, length(p_name)-1) as q from part),
-   m as (select q, nm, levenshtein(q, nm) as d, row_number() over (partition by q order by levenshtein(q, nm), nm) as rn from a join b on substr(a.nm,1,3) = substr(b.q,1,3)) select q, nm as suggestion, d as distance from m where rn = 1 and d <= 2""")
+   m as (select q, nm, levenshtein(q, nm) as d, row_number() over (partition by q order by levenshtein(q, nm), nm) as rn from a join b on levenshtein(q, nm) <= 2) select q, nm as suggestion, d as distance, rn::int as rank from m where rn <= 3""")
 def _(t):
     names = t.part.select(F.lower("p_name").alias("nm")).distinct()
     asked = t.part.select(F.expr("substr(lower(p_name), 1, length(p_name) - 1)").alias("q")).distinct()
-    return R.close_names(asked, "q", names, "nm", max_distance=2, prefix=3)
+    return R.close_names(asked, "q", names, "nm", max_distance=2)
 
 
 @query("f15_array_map_json", """select user_id, count(*) as n, list(distinct event_type order by event_type) as types, sum(cast(json_extract(props,'$.k') as bigint))::bigint as k_sum from events group by 1""")

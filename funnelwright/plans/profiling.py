@@ -7,6 +7,7 @@ from funnelwright.operators import profile as B
 from funnelwright.operators import checks as V
 from funnelwright.operators.relations import dedup_first
 from funnelwright.plans.registry import query
+from funnelwright.sources.tables import TABLE_NAMES
 
 OUT = lambda df, keep, cols, digits=6: df.select(*keep, *[r(c, digits).alias(c) for c in cols])
 CUST = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
@@ -35,10 +36,15 @@ def _(t):
     return B.profile_table(o, "orders")
 
 
-@query("b03_profile_source", """select 'nation' as table_name, count(*) as n_rows, 3 as n_columns, '' as date_columns, null::date as date_min, null::date as date_max from nation union all select 'orders', count(*), 6, 'o_orderdate', min(o_orderdate)::date, max(o_orderdate)::date from orders
-  union all select 'events', count(*), 6, 'ts', min(ts)::date, max(ts)::date from events union all select 'lineitem', count(*), 11, 'l_shipdate', min(l_shipdate)::date, max(l_shipdate)::date from lineitem""")
+DATED = {"orders": "o_orderdate", "events": "ts", "lineitem": "l_shipdate"}
+COLUMNS_SQL = lambda n: f"(select count(*)::int from (describe {n}))"
+
+
+@query("b03_profile_source", " union all ".join(
+    f"select '{n}' as table_name, count(*) as n_rows, {COLUMNS_SQL(n)} as n_columns, '{DATED.get(n, '')}' as date_columns, "
+    + (f"min({DATED[n]})::date as date_min, max({DATED[n]})::date as date_max" if n in DATED else "null::date as date_min, null::date as date_max") + f" from {n}" for n in TABLE_NAMES))
 def _(t):
-    return B.profile_source({n: t.raw(n) for n in ("nation", "orders", "events", "lineitem")})
+    return B.profile_source({n: t.raw(n) for n in TABLE_NAMES})
 
 
 DCOLS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -53,7 +59,7 @@ def dist_input(t):
   o as (select m.c, count(case when x < p25-1.5*(p75-p25) or x > p75+1.5*(p75-p25) then 1 end) as n_outliers from long join m using (c) group by 1)
   select c as column_name, round(mean,4) as mean, round(sd,4) as sd, round(sk,5)+0.0 as skewness, round(p1,6) as p1, round(p5,6) as p5, round(p25,6) as p25, round(md,6) as median, round(p75,6) as p75, round(p95,6) as p95, round(p99,6) as p99, round(p75-p25,6) as iqr, nu as n_unique, n_outliers::bigint as n_outliers from m join o using (c)""")
 def _(t):
-    d = B.profile_distributions(dist_input(t), [*DCOLS, "skewed"], target_rows=5000)
+    d = B.profile_distributions(dist_input(t), [*DCOLS, "skewed"])
     return d.select("column_name", r("mean", 4).alias("mean"), r("sd", 4).alias("sd"), r("skew_corrected", 5).alias("skewness"), *[r(c).alias(c) for c in (*B.DIST_PROBS, "iqr")], "n_unique", "n_outliers")
 
 

@@ -14,15 +14,26 @@ def _(t):
     return io.read_source(t.spark, t.path("nation"))
 
 
-@query("s02_read_tables", "select r_name, count(*) as n_nations from nation join region on n_regionkey = r_regionkey group by r_name")
+ROWS_SQL = " union all ".join(f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in TABLE_NAMES)
+
+
+@query("s02_read_tables", ROWS_SQL)
+def _(t):
+    io.read_tables(t.spark, t.dir, TABLE_NAMES)
+    return t.spark.sql(ROWS_SQL)
+
+
+@query("s03_list_tables", f"select table_name, 'TEMPORARY' as table_type, true as is_temporary, n_rows from ({ROWS_SQL})")
 def _(t):
-    io.read_tables(t.spark, t.dir, ["nation", "region"])
-    return t.spark.sql("select r_name, count(*) as n_nations from nation join region on n_regionkey = r_regionkey group by r_name")
+    io.read_tables(t.spark, t.dir, TABLE_NAMES)
+    return io.list_tables(t.spark).join(t.spark.sql(ROWS_SQL), "table_name")
 
 
-@query("s03_list_tables")
+@query("s03_table_schemas", " union all ".join(f"select '{n}' as table_name, count(*) as n_rows, (select count(*) from (describe {n})) as n_columns from {n}" for n in TABLE_NAMES))
 def _(t):
-    return io.table_schemas(t.spark, {n: t.raw(n) for n in TABLE_NAMES})
+    views = io.read_tables(t.spark, t.dir, TABLE_NAMES)
+    columns = io.table_schemas(t.spark, views).groupBy("table_name").agg(F.count("*").alias("n_columns"))
+    return t.spark.sql(ROWS_SQL).join(columns, "table_name")
 
 
 @query("s04_latest_partition", "select max(cast(ts as date)) as latest, max(ts) is not null as ready from events where ts >= timestamp '2024-01-15'")
@@ -71,6 +82,14 @@ def _(t):
     return t.events.groupBy(k.alias("k")).agg(F.count("*").alias("n"))
 
 
+@query("s09_read_jsonl_log", "select event_type as miss_type, count(*) as n, min(strftime(ts, '%Y-%m-%d')) as first_day, count(distinct user_id) as users from events group by 1")
+def _(t):
+    path = f"{work_folder(t.spark)}/log.jsonl"
+    t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), F.col("user_id").cast("string").alias("query"), F.col("event_type").alias("miss_type"), F.col("props").alias("details")).write.json(path)
+    log = io.read_jsonl_log(t.spark, path)
+    return log.groupBy("miss_type").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_day"), F.count_distinct("query").alias("users"))
+
+
 @query("s10_normalise_columns", "select trim(c_mktsegment) as segment, count(*) as n from customer group by 1")
 def _(t):
     dirty = t.customer.select(F.concat(F.lit("﻿ "), "c_mktsegment", F.lit(" ")).alias("﻿segment "))

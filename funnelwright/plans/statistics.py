@@ -77,7 +77,7 @@ MW = """with x as (select l_returnflag as g, l_quantity as v from lineitem where
 
 @query("d06_mann_whitney", MW)
 def _(t):
-    return D.mann_whitney(t.lineitem, "l_returnflag", "l_quantity", "A", "R", target_rows=20).select("n_a", "n_b", "u", r("z").alias("z"), r("rank_biserial").alias("rank_biserial"), "median_a", "median_b")
+    return D.mann_whitney(t.lineitem, "l_returnflag", "l_quantity", "A", "R").select("n_a", "n_b", "u", r("z").alias("z"), r("rank_biserial").alias("rank_biserial"), "median_a", "median_b")
 
 
 @query("d06_mann_whitney_p")
@@ -171,7 +171,7 @@ def _(t):
   u as (select p.sa, p.sb, sum(case when y.v < x.v then 1.0 when y.v = x.v then 0.5 else 0 end)::double as u from pr p join x on x.s=p.sa join x y on y.s=p.sb group by 1,2)
   select pr.sa as seg_a, pr.sb as seg_b, 'mann-whitney' as test_used, u as stat, round((ma-mb)/sqrt(((na-1)*va+(nb-1)*vb)/(na+nb-2)),6)+0.0 as effect_size from pr join u on pr.sa=u.sa and pr.sb=u.sb""")
 def _(t):
-    d = D.compare_segments(t.customer, "c_mktsegment", "c_acctbal", target_rows=300)
+    d = D.compare_segments(t.customer, "c_mktsegment", "c_acctbal")
     return d.select("seg_a", "seg_b", "test_used", "stat", r("effect_size").alias("effect_size"))
 
 

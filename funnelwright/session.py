@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,7 @@ def build_session(app: str = "funnelwright", master: str | None = None, shuffle_
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = (
@@ -30,15 +32,18 @@ def build_session(app: str = "funnelwright", master: str | None = None, shuffle_
     return b.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder URI that every executor can reach: under ``spark.checkpoint.dir``, else under the warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if not re.match(r"\w+:", top):
+        top = "file:" + top
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only on a local master."""
+    """Reliable checkpoint in the folder the cluster names, else in one under the warehouse."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="funnelwright-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch_folder(spark, "checkpoints"))
     return df.checkpoint(eager=True)

@@ -6,13 +6,12 @@ into files that a batch query can read.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from funnelwright.session import scratch_folder
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
@@ -53,13 +52,8 @@ def stream_rate(log: DataFrame, kind: str, late: str = "1 day") -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a temporary one on a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="funnelwright-stream-")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    """A fresh folder that every executor can reach."""
+    return scratch_folder(spark, "stream")
 
 
 def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
