@@ -346,17 +346,17 @@ def rfm_summary(scored: DataFrame) -> DataFrame:
     return g.withColumn("pct", ratio("customers", F.sum("customers").over(W.partitionBy())) * 100)  # at most five rows
 
 
-def lorenz(values: DataFrame, key: str, value: str, target_rows: int = 2_000_000) -> DataFrame:
+def lorenz(values: DataFrame, key: str, value: str) -> DataFrame:
     """Entities in ascending order of value with running totals."""
-    run = running(values, [], [value, key], sums={"cum": value}, row_number="i", target_rows=target_rows)
+    run = running(values, [], [value, key], sums={"cum": value}, row_number="i")
     tot = values.agg(F.struct(F.count("*").alias("n"), F.sum(value).alias("total")).alias("t"))
     return run.withColumn("_t", tot.scalar()).select("*", F.col("_t.n").alias("n"), F.col("_t.total").alias("total")).drop("_t")
 
 
-def concentration(df: DataFrame, value: str, entity: str, target_rows: int = 2_000_000) -> DataFrame:
+def concentration(df: DataFrame, value: str, entity: str) -> DataFrame:
     """Gini, share of the top 10/20/50% and the share of entities producing 80% of the value."""
     v = df.groupBy(entity).agg(F.sum(value).alias("v"))
-    x = lorenz(v, entity, "v", target_rows)
+    x = lorenz(v, entity, "v")
     top = lambda p: F.sum(F.when(F.col("i") > F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p))), F.col("v")))
     from_top = F.col("total") - F.col("cum") + F.col("v")
     g = x.agg(

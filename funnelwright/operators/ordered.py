@@ -1,8 +1,8 @@
 """Running totals, previous values and exact quantiles that never put one key into one task.
 
-A plain window sorts a whole key in a single task. Here the ordering column is cut at its own
-quantiles, so every (key, range) piece holds at most about ``target_rows`` rows however skewed the
-keys are; each piece is scanned on its own, and one small row per piece carries totals forward.
+A plain window sorts a whole key in a single task. Here rows are dealt by range of (key, order), so a key of any
+size spreads over as many tasks as its rows need, ties included; each piece is scanned on its own, and one small row
+per piece carries totals forward. Quantiles look only at the rows between two approximate quantiles.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from funnelwright.session import cut_lineage
+
 TARGET_ROWS = 2_000_000
-GRID = 1024
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
@@ -28,16 +29,13 @@ def _as_number(df: DataFrame, name: str) -> Column:
 
 
 def range_cuts(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> list[float]:
-    """Cut points leaving about ``target_rows`` rows between them; empty when one task is enough."""
-    x = _as_number(df, order)
-    probs = [i / GRID for i in range(1, GRID)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(x, probs, 4 * GRID).alias("q")).first()
-    pieces = min(GRID, -(-row["n"] // target_rows))
-    if pieces <= 1 or not row["q"]:
+    """Cut points leaving about ``target_rows`` rows between them, as many as that takes."""
+    pieces = -(-df.count() // target_rows)
+    if pieces <= 1:
         return []
-    step = GRID / pieces
-    picks = {row["q"][min(GRID - 2, int(i * step) - 1)] for i in range(1, pieces)}
-    return sorted(picks)
+    probs = [i / pieces for i in range(1, pieces)]
+    found = df.agg(F.percentile_approx(_as_number(df, order), probs, max(10_000, 4 * pieces)).alias("q")).first()["q"]
+    return sorted(set(found or []))
 
 
 def bucketed(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
@@ -52,24 +50,22 @@ def running(
     sums: Mapping[str, str] | None = None,
     previous: Mapping[str, str] | None = None,
     row_number: str | None = None,
-    cuts: Sequence[float] | None = None,
-    target_rows: int = TARGET_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums (``out: column``), previous-row values and row numbers per key.
 
-    ``order`` must be a total order within each key; its first column must be numeric, date or timestamp.
+    ``order`` must be a total order within each key. The rows are dealt by range of (keys, order) into ``pieces``
+    ranges (by default the session's shuffle partitions) and written once, which fixes what range each row is in.
     """
     sums, previous = dict(sums or {}), dict(previous or {})
-    cuts = range_cuts(df, order[0], target_rows) if cuts is None else cuts
-    if not cuts:
-        w = W.partitionBy(*keys).orderBy(*order)
-        return _scan(df, w, sums, previous, row_number)
-
-    b = bucketed(df, order[0], cuts)
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(pieces, *by) if pieces else df.repartitionByRange(*by)
+    b = cut_lineage(dealt.withColumn("_b", F.spark_partition_id()))
     pos = F.struct(*[F.col(o) for o in order])
     carries = [F.coalesce(F.sum(c), F.lit(0)).alias(f"_s{i}") for i, c in enumerate(sums.values())]
     carries += [F.max_by(F.struct(F.col(c).alias("v")), pos).alias(f"_p{i}") for i, c in enumerate(previous.values())]
     carries += [F.count(F.lit(1)).alias("_n")]
+    # One row per piece of a key.
     cw = W.partitionBy(*keys).orderBy("_b")
     before = cw.rowsBetween(W.unboundedPreceding, -1)
     piece = b.groupBy(*keys, "_b").agg(*carries)
@@ -108,34 +104,52 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """value_counts plus ``cum`` (rows at or below v) and ``total`` per key."""
-    vc = value_counts(df, keys, value)
-    run = running(vc, keys, ["v"], sums={"cum": "n"}, target_rows=target_rows)
-    total = vc.groupBy(*keys).agg(F.sum("n").alias("total"))
-    if not keys:
-        return run.withColumn("total", total.scalar())
-    # Totals hold one row per key; the planner broadcasts them only when they measure small.
-    tk = total.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "total")
-    cond = F.lit(True)
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_t{i}"))
-    return run.join(tk, cond).select(*run.columns, "total")
+def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, pieces: int | None = None) -> DataFrame:
+    """value_counts plus ``cum`` (rows at or below v) per key."""
+    return running(value_counts(df, keys, value), keys, ["v"], sums={"cum": "n"}, pieces=pieces)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Exact linearly interpolated quantiles, one column per name in ``probs``."""
-    rc = ranked_counts(df, keys, value, target_rows)
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Exact linearly interpolated quantiles, one column per name in ``probs``, from two scans.
+
+    Approximate quantiles a little below and above each wanted one, further apart than their error bound of one
+    ``accuracy``-th of the rows, enclose it. The second scan counts what lies below each bracket and keeps value counts
+    inside, about four ``accuracy``-ths of the rows; the table itself is never shuffled by value.
+    """
+    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    wide = 2.0 / accuracy
+    low = [max(0.0, p - wide) for p in probs.values()]
+    high = [min(1.0, p + wide) for p in probs.values()]
+    ends = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", low, accuracy).alias("_lo"), F.percentile_approx("_v", high, accuracy).alias("_hi"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # Under two rows per step of the error bound a bracket would be narrower than the two rows wanted: take them all.
+    few = F.col("_total") < 2 * accuracy
+    edge = lambda k, at, end, e: F.when(few | F.lit(at == e), F.col(end)).otherwise(F.get(F.col("_lo" if e == 0.0 else "_hi"), F.lit(k)))
+    brackets = [F.struct(F.lit(k).alias("_i"), edge(k, low[k], "_min", 0.0).alias("lo"), edge(k, high[k], "_max", 1.0).alias("hi")) for k in range(len(probs))]
+    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_total", F.array(*brackets).alias("_b"))
+    if keys:
+        # One row per key; the planner broadcasts it only when it measures small.
+        cond = F.lit(True)
+        for i, c in enumerate(keys):
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        both = x.join(ends, cond).select(*keys, "_v", "_total", "_b")
+    else:
+        both = x.withColumn("_e", ends.agg(F.max(F.struct("_total", "_b"))).scalar()).select("_v", "_e.*")
+    # A row below a bracket counts once for it, under no value; a row inside under its value.
+    inside = both.select(*keys, "_v", "_total", F.explode("_b").alias("b")).where(F.col("_v") <= F.col("b.hi"))
+    n = inside.groupBy(*keys, "_total", "b._i", F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    c = n.withColumn("_cum", F.sum("_n").over(w))
     aggs, outs = [], []
-    for name, p in probs.items():
-        h = (F.col("total") - 1) * F.lit(float(p))
-        aggs.append(F.min(F.when(F.col("cum") > F.floor(h), F.col("v"))).alias(f"_lo_{name}"))
-        aggs.append(F.min(F.when(F.col("cum") > F.ceil(h), F.col("v"))).alias(f"_hi_{name}"))
-        outs.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * ((F.col("_total") - 1) * F.lit(float(p)) - F.floor((F.col("_total") - 1) * F.lit(float(p))))).alias(name))
-    return rc.groupBy(*keys).agg(*aggs, F.max("total").alias("_total")).select(*keys, *outs)
+    for k, (name, p) in enumerate(probs.items()):
+        h = (F.col("_total") - 1) * F.lit(float(p))
+        own = (F.col("_i") == k) & F.col("_x").isNotNull()
+        aggs.append(F.min(F.when(own & (F.col("_cum") > F.floor(h)), F.col("_x"))).alias(f"_lo_{name}"))
+        aggs.append(F.min(F.when(own & (F.col("_cum") > F.ceil(h)), F.col("_x"))).alias(f"_hi_{name}"))
+        outs.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (h - F.floor(h))).alias(name))
+    return c.groupBy(*keys, "_total").agg(*aggs).select(*keys, *outs)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, pieces: int | None = None) -> DataFrame:
     """(keys, v, n, avg_rank): ties share the mean of their ranks."""
-    rc = ranked_counts(df, keys, value, target_rows)
+    rc = ranked_counts(df, keys, value, pieces)
     return rc.withColumn("avg_rank", F.col("cum") - (F.col("n") - 1) / 2.0)

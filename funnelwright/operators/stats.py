@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from funnelwright.functions import dist
 from funnelwright.functions.scalars import ratio
 from funnelwright.operators.aggregates import histogram, moments
-from funnelwright.operators.ordered import TARGET_ROWS, quantiles, running, value_counts
+from funnelwright.operators.ordered import quantiles, running, value_counts
 from funnelwright.operators.relations import pairs
 from funnelwright.session import cut_lineage
 
@@ -86,10 +86,10 @@ def with_t_p(df: DataFrame) -> DataFrame:
     return d.withColumns({"label": significance_label("p_value"), "effect": effect_label("cohens_d")})
 
 
-def _rank_sums(counts: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
+def _rank_sums(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """U of side a, normal deviate with tie and continuity correction; input (keys, v, n_a, n_b)."""
     c = counts.withColumn("_t", F.col("n_a") + F.col("n_b"))
-    run = running(c, keys, ["v"], sums={"_cum": "_t"}, target_rows=target_rows)
+    run = running(c, keys, ["v"], sums={"_cum": "_t"})
     t = F.col("_t").cast("double")
     rank = F.col("_cum") - (t - 1) / 2.0
     g = run.groupBy(*keys).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum(F.col("n_a") * rank).alias("_r"), F.sum(t * t * t - t).alias("_ties"))
@@ -101,12 +101,12 @@ def _rank_sums(counts: DataFrame, keys: Sequence[str], target_rows: int) -> Data
     return g.withColumns({"z": F.coalesce(F.try_divide(big - na * nb / 2 - 0.5, sd), F.lit(0.0)), "rank_biserial": 1 - F.try_divide(2 * F.col("u"), na * nb)}).drop("_r", "_ties")
 
 
-def mann_whitney(df: DataFrame, group: str, c: str, a, b, target_rows: int = TARGET_ROWS) -> DataFrame:
+def mann_whitney(df: DataFrame, group: str, c: str, a, b) -> DataFrame:
     """Rank test from value counts; duplicates are combined before ranking and no key is sorted in one task."""
     vc = value_counts(df.where(F.col(group).isin(a, b)), [group], c)
     counts = vc.groupBy("v").agg(*[F.coalesce(F.sum(F.when(F.col(group) == g, F.col("n"))), F.lit(0)).alias(f"n_{s}") for s, g in (("a", a), ("b", b))])
-    g = _rank_sums(counts, [], target_rows)
-    med = quantiles(df.where(F.col(group).isin(a, b)), [group], c, {"m": 0.5}, target_rows)
+    g = _rank_sums(counts, [])
+    med = quantiles(df.where(F.col(group).isin(a, b)), [group], c, {"m": 0.5})
     m = med.agg(F.struct(F.max(F.when(F.col(group) == a, F.col("m"))).alias("a"), F.max(F.when(F.col(group) == b, F.col("m"))).alias("b")).alias("s"))
     return g.withColumn("_m", m.scalar()).select("*", F.col("_m.a").alias("median_a"), F.col("_m.b").alias("median_b")).drop("_m")
 
@@ -254,7 +254,7 @@ def segment_stats(df: DataFrame, segment: str, metric: str, median: bool = True)
     return m.withColumns(k_squared(F.col("n"), F.col("skew_biased"), F.col("kurt_biased"))).withColumn("use_rank", (F.col("n") < 30) | F.coalesce(F.col("p_normal") < 0.05, F.lit(False)))
 
 
-def compare_segments(df: DataFrame, segment: str, metric: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def compare_segments(df: DataFrame, segment: str, metric: str) -> DataFrame:
     """Every pair of segments: rank test when any segment is small or not normal, Welch's t otherwise.
 
     The pairs are the wanted rows. Each segment's value counts (not its rows) meet the other segments once.
@@ -269,7 +269,7 @@ def compare_segments(df: DataFrame, segment: str, metric: str, target_rows: int
     sides = p.select("seg_a", "seg_b", F.explode(F.array(F.col("seg_a"), F.col("seg_b"))).alias("_seg"))
     j = sides.join(vc, F.col("_seg") == F.col(segment))
     counts = j.groupBy("seg_a", "seg_b", "v").agg(*[F.coalesce(F.sum(F.when(F.col("_seg") == F.col(f"seg_{x}"), F.col("n"))), F.lit(0)).alias(f"n_{x}") for x in "ab"])
-    u = _rank_sums(counts, ["seg_a", "seg_b"], target_rows).select("seg_a", "seg_b", "u", "z")
+    u = _rank_sums(counts, ["seg_a", "seg_b"]).select("seg_a", "seg_b", "u", "z")
     rank = s.agg(F.bool_or("use_rank").alias("x")).scalar()
     n_pairs = s.agg((F.count("*") * (F.count("*") - 1) / 2).alias("x")).scalar()
     out = p.join(u, ["seg_a", "seg_b"]).withColumns({"_rank": rank, "n_pairs": n_pairs})

@@ -68,7 +68,7 @@ def _(t):
 
 @query("g09_quantiles_split", f"select {Q_SQL.format(c='o_totalprice')} from orders")
 def _(t):
-    return O.quantiles(t.orders, [], "o_totalprice", QS, target_rows=2000).select(*[r(c).alias(c) for c in QS])
+    return O.quantiles(t.orders, [], "o_totalprice", QS, accuracy=100).select(*[r(c).alias(c) for c in QS])
 
 
 @query("g10_moments", """with m as (select c_mktsegment as seg, count(*)::double as n, avg(c_acctbal) as mean, stddev_samp(c_acctbal) as sd, skewness(c_acctbal) as g1, kurtosis(c_acctbal) as g2 from customer group by 1)
