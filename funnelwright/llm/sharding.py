@@ -27,9 +27,10 @@ PIECE = 50_000
 FREE, AT_HOME, ASKS = 0, 1, 2
 
 
-def _numbered(df: DataFrame, within: list[str], spread: Column, order: list[str], pieces: int, name: str) -> DataFrame:
-    """Adds ``name``: 0, 1, 2, ... within each group, in the order of pieces; no window holds more than a piece."""
-    df = df.withColumn("_piece", F.pmod(spread, F.lit(pieces)))
+def _numbered(df: DataFrame, within: list[str], spread: Column, order: list[str], pieces: int, name: str, ahead: Column | None = None) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... within each group, by ``ahead`` and then in the order of pieces; no window holds
+    more than a piece."""
+    df = df.withColumn("_piece", F.struct((F.lit(0) if ahead is None else ahead).alias("ahead"), F.pmod(spread, F.lit(pieces)).alias("piece")))
     sizes = df.groupBy(*within, "_piece").agg(F.count("*").alias("_n"))
     # One row per piece and group: a running total over counts, not over documents.
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy(*within).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -108,7 +109,9 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 12) -> DataFrame:
         quota = spark.createDataFrame(limits, "_qs int, _ql int, _to int, _lo long, _hi long")
         # Whole groups are ranked together unless they are large, so that a quota cuts few of them.
         spread = F.when(F.col("_size") <= PIECE // 10, F.xxhash64("key")).otherwise(F.xxhash64("key", "row"))
-        ranked = _numbered(ask.where(F.col("_kind") != AT_HOME).withColumn("_lane", lane), ["shard", "_lane"], spread, ["key", "row", *other], pieces, "_place")
+        # Small groups go first: a quota then cuts the groups that have to be split anyway.
+        small_first = F.floor(F.log2(F.col("_size").cast("double"))).cast("int")
+        ranked = _numbered(ask.where(F.col("_kind") != AT_HOME).withColumn("_lane", lane), ["shard", "_lane"], spread, ["key", "row", *other], pieces, "_place", small_first)
         granted = (F.col("shard") == F.col("_qs")) & (F.col("_lane") == F.col("_ql")) & (F.col("_place") >= F.col("_lo")) & (F.col("_place") < F.col("_hi"))
         moved = ranked.join(quota, granted, "left").select("row", "key", *other, F.coalesce("_to", "shard").alias("shard"))
         state = cut_lineage(moved.unionByName(ask.where(F.col("_kind") == AT_HOME).select("row", "key", *other, "shard")))
