@@ -134,15 +134,20 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
         both = x.join(ends, cond).select(*keys, "_v", "_total", "_b")
     else:
         both = x.withColumn("_e", ends.agg(F.max(F.struct("_total", "_b"))).scalar()).select("_v", "_e.*")
-    # A row below a bracket counts once for it, under no value; a row inside under its value.
-    inside = both.select(*keys, "_v", "_total", F.explode("_b").alias("b")).where(F.col("_v") <= F.col("b.hi"))
-    n = inside.groupBy(*keys, "_total", "b._i", F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    c = n.withColumn("_cum", F.sum("_n").over(w))
+    # Each row gives the number of brackets that begin above it and, rarely, its value in the brackets around it.
+    above = F.size(F.filter("_b", lambda e: e["lo"] > F.col("_v"))).cast("double")
+    around = F.transform(F.filter("_b", lambda e: (e["lo"] <= F.col("_v")) & (F.col("_v") <= e["hi"])), lambda e: F.struct(e["_i"].alias("_i"), F.col("_v").alias("_x")))
+    cells = F.concat(F.array(F.struct(F.lit(-1).alias("_i"), above.alias("_x"))), around)
+    n = both.select(*keys, "_total", F.explode(cells).alias("c")).groupBy(*keys, "_total", "c._i", "c._x").agg(F.count(F.lit(1)).alias("_n"))
+    # Brackets begin in the order of their probabilities: a row with j brackets above it is below the last j.
+    rank = {k: i for i, k in enumerate(sorted(range(len(probs)), key=lambda k: (low[k], k)))}
+    below = F.array(*[F.coalesce(F.sum(F.when((F.col("_i") == -1) & (F.col("_x") >= len(probs) - rank[k]), F.col("_n"))).over(W.partitionBy(*keys)), F.lit(0)) for k in range(len(probs))])
+    w = W.partitionBy(*keys, "_i").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    c = n.withColumn("_below", below).withColumn("_cum", F.sum("_n").over(w) + F.coalesce(F.get("_below", F.col("_i")), F.lit(0)))
     aggs, outs = [], []
     for k, (name, p) in enumerate(probs.items()):
         h = (F.col("_total") - 1) * F.lit(float(p))
-        own = (F.col("_i") == k) & F.col("_x").isNotNull()
+        own = F.col("_i") == k
         aggs.append(F.min(F.when(own & (F.col("_cum") > F.floor(h)), F.col("_x"))).alias(f"_lo_{name}"))
         aggs.append(F.min(F.when(own & (F.col("_cum") > F.ceil(h)), F.col("_x"))).alias(f"_hi_{name}"))
         outs.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (h - F.floor(h))).alias(name))
