@@ -120,10 +120,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     wide = 2.0 / accuracy
     low = [max(0.0, p - wide) for p in probs.values()]
     high = [min(1.0, p + wide) for p in probs.values()]
-    ends = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", low, accuracy).alias("_lo"), F.percentile_approx("_v", high, accuracy).alias("_hi"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    ends = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", low + high, accuracy).alias("_q"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     # Under two rows per step of the error bound a bracket would be narrower than the two rows wanted: take them all.
     few = F.col("_total") < 2 * accuracy
-    edge = lambda k, at, end, e: F.when(few | F.lit(at == e), F.col(end)).otherwise(F.get(F.col("_lo" if e == 0.0 else "_hi"), F.lit(k)))
+    edge = lambda k, at, end, e: F.when(few | F.lit(at == e), F.col(end)).otherwise(F.get(F.col("_q"), F.lit(k if e == 0.0 else k + len(low))))
     brackets = [F.struct(F.lit(k).alias("_i"), edge(k, low[k], "_min", 0.0).alias("lo"), edge(k, high[k], "_max", 1.0).alias("hi")) for k in range(len(probs))]
     ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_total", F.array(*brackets).alias("_b"))
     if keys:
