@@ -77,8 +77,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("tid")).unionAll(pairs.select(F.col("b").alias("tid"))).distinct()
-    own = docs.select(digest().alias("tid"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    own = stored(own, "candidate-texts")
+    # Copies of a text become one row per task before they meet, however many there are.
+    own = docs.select(digest().alias("tid"), F.coalesce("text", F.lit("")).alias("text")).groupBy("tid").agg(F.first("text").alias("text"))
+    own = stored(own.join(wanted, "tid", "left_semi"), "candidate-texts")
     both = pairs.join(own.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
 
