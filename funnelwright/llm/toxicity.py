@@ -114,9 +114,11 @@ def _fit_noisy_or(labels: np.ndarray, clean: np.ndarray, bags: list, first: np.n
         by_sent = -pull[doc] * ps
         g[:-1] = np.bincount(feat, by_sent[sent], size)
         g[-1] = by_sent.sum() - (pull * clean).sum() * p0
-        g = g / n + decay * np.append(w[:-1], 0)
+        g = g / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        # The floor keeps a weight that hardly matters to any document near where it started.
+        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
+        w[:-1] *= 1 - rate * decay
     return float(w[-1]), w[:-1]
 
 
