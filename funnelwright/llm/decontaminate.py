@@ -117,11 +117,14 @@ def near(at: np.ndarray, places: np.ndarray, slop: int) -> np.ndarray:
     return (k < len(at)) & (at[np.minimum(k, len(at) - 1)] <= places + slop)
 
 
-def search(index: DataFrame, items: list[tuple], window: int = 10, slop: int = 0) -> DataFrame:
+def search(index: DataFrame, items: list[tuple], window: int = 10, slop: int = 0, own_index: bool = False) -> DataFrame:
     """Merged places (segment, document ordinal, item, first and last word) where windows of the items occur.
 
     One task searches one segment, whose size ``segment_words`` bounds; the items are the test set or a block of it.
+    ``own_index`` says that the index holds these items' terms and no other, so that nothing has to be picked from it.
     """
+    if 2 * slop >= GAP:
+        raise ValueError(f"documents lie {GAP} words apart, so the slop must be under {GAP // 2}")
     wanted = windows_of(items, window)
     terms = sorted({t for w in wanted for t in w})
     spark = index.sparkSession
@@ -129,7 +132,7 @@ def search(index: DataFrame, items: list[tuple], window: int = 10, slop: int = 0
         return spark.createDataFrame([], MATCH)
     # One number per test term, whatever the size of the corpus.
     asked = spark.createDataFrame([(bytearray(t),) for t in terms], "term binary")
-    lists = index.join(asked, "term", "left_semi")
+    lists = index.where(F.col("term").isNotNull()) if own_index else index.join(asked, "term", "left_semi")
     frequency = {bytes(r.term): r.n for r in lists.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     plans = []
     for w, own in wanted.items():
@@ -171,8 +174,8 @@ def search(index: DataFrame, items: list[tuple], window: int = 10, slop: int = 0
             out.append((key[0], d, item, first, last))
         return pd.DataFrame(out, columns=["segment", "ordinal", "item", "first", "last"])
 
-    heads = index.where(F.col("term").isNull())
-    return lists.select(*index.columns).unionByName(heads).groupBy("segment").applyInPandas(run, MATCH)
+    needed = index if own_index else lists.select(*index.columns).unionByName(index.where(F.col("term").isNull()))
+    return needed.groupBy("segment").applyInPandas(run, MATCH)
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -199,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     if blocks == 1:
         own = take(0)
         index = build_index(docs, sorted({w for _, t in own for w in words_of(t)}))
-        found = search(index, own, window, slop)
+        found = search(index, own, window, slop, own_index=True)
     else:
         index = build_index(docs)
         found = None

@@ -139,7 +139,9 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha q q q q q beta"), (3, "delta gamma beta alpha")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     hit = lambda slop: {r.doc_id for r in decontaminate.contaminated(docs, bench, slop=slop).collect() if r.matches}
-    assert hit(0) == set() and hit(1) == {1} and hit(3) == {1, 3}
+    assert hit(0) == set() and hit(1) == {1} and hit(3) == {1} and hit(4) == {1, 3}
+    with pytest.raises(ValueError):
+        hit(40)
 
 
 def brute_components(fps):
