@@ -3,8 +3,14 @@
 Two texts are near copies when the Jaccard similarity of their sets of five-word shingles is at least 0.8. SimHash
 fingerprints within two bits give part of those pairs only: at a similarity of 0.8 fingerprints of 64 bits differ in
 about nine bits. So candidates come from the fingerprints' links (operator 9) and from bands of minimum hashes over
-the same shingle hashes; every candidate is then checked on the shingles themselves. In a band's bucket each text is
-compared with one other, drawn anew per band, so a bucket of any size gives as many candidates as it has texts.
+the same shingle hashes; every candidate is then checked on the shingles themselves.
+
+Texts that share a band's key, a fingerprint or a linked neighbour form a bucket. First every text is compared with the
+bucket's centre, the text whose buckets hold the most. Then what lies in one bucket without hanging together yet is
+compared pair by pair, where that takes at most ``BUCKET`` pairs per text: always in buckets of up to twice that many
+texts, and in larger ones when few texts are left over. Any other bucket is compared with its centre, divided by one
+more minimum hash, and each part treated in the same way until the hashes are used up. So candidates grow with the
+texts, not with their square; what a division parts may still meet in the buckets of the other bands.
 
 Equal texts are one node. Of what hangs together the row with the smallest doc_id stays (a null id only if there is no
 other; then the smallest text digest); of rows equal in id and text one stays.
@@ -22,15 +28,17 @@ from funnelwright.llm.simhash import links, majority, shingle_hashes
 
 # 24 bands of 5 minimum hashes: of pairs with similarity 0.8 all but 7 in 100,000 share a band, of 0.9 practically all.
 BANDS, ROWS = 24, 5
+# Pairs per text that a bucket may give; a bucket that needs more is divided.
+BUCKET = 32
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """One key per band from the distinct shingle hashes of a text; none for a text without words."""
+def band_keys(h: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One key per band from the distinct shingle hashes of a text, and a byte of every minimum hash; none without words."""
     if not len(h):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), bytes(BANDS * ROWS)
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(h), 2048):
         x = h[lo : lo + 2048, None] * _A + _B
@@ -39,25 +47,27 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     for k in range(ROWS):
         keys = (keys ^ low[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64)
+    return keys.view(np.int64), low.astype(np.uint8).tobytes()
 
 
 def _marked(docs: DataFrame, width: int) -> DataFrame:
-    """Identity, digest of the text, fingerprint and band keys of every row."""
+    """Identity, digest of the text, fingerprint, band keys and bytes of the minimum hashes of every row."""
 
     def run(batches):
         for batch in batches:
-            fps, bands = [], []
+            fps, bands, lows = [], [], []
             for t in batch.column(2).to_pylist():
                 h = shingle_hashes(t, width)
                 fps.append(majority(h))
-                bands.append(band_keys(np.unique(h)))
+                keys, low = band_keys(np.unique(h))
+                bands.append(keys)
+                lows.append(low)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "tid", "fp", "bands"]
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(lows, pa.binary())], ["doc_id", "tid", "fp", "bands", "low"]
             )
 
     rows = docs.select("doc_id", digest().alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, tid string, fp long, bands array<long>"), "shingles")
+    return stored(rows.mapInArrow(run, "doc_id long, tid string, fp long, bands array<long>, low binary"), "shingles")
 
 
 def digest():
@@ -84,22 +94,73 @@ def _similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a string, b string")
 
 
-def keepers(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def _buckets(nodes: DataFrame, close: DataFrame) -> DataFrame:
+    """``band``, ``value`` and ``tid`` of every bucket of two texts or more, with ``crowd``, the texts in all buckets of a text.
+
+    Band ``BANDS`` holds equal fingerprints, the next one all that links join to the same fingerprint.
+    """
+    keys = nodes.select("tid", F.posexplode("bands").alias("band", "value")).select("band", "value", "tid")
+    equal = nodes.select(F.lit(BANDS).alias("band"), F.col("fp").alias("value"), "tid")
+    around = close.select("a", F.col("b").alias("fp")).unionAll(close.select("a", F.col("a").alias("fp"))).distinct()
+    linked = around.join(nodes.select("fp", "tid"), "fp").select(F.lit(BANDS + 1).alias("band"), F.col("a").alias("value"), "tid")
+    every = keys.unionAll(equal).unionAll(linked)
+    sizes = every.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(every.join(sizes, ["band", "value"]), "buckets")
+    return shared.drop("n").join(shared.groupBy("tid").agg(F.sum("n").alias("crowd")), "tid")
+
+
+def _to_centre(buckets: DataFrame) -> DataFrame:
+    centres = buckets.groupBy("band", "value").agg(F.max(F.struct("crowd", "tid"))["tid"].alias("b"))
+    return _ordered(buckets.join(centres, ["band", "value"]).select(F.col("tid").alias("a"), "b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, bucket: int) -> DataFrame:
+    """Pairs of texts in one bucket that do not hang together by ``roots``."""
+    rows = buckets.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    found, names = [], ["band", "value", "tid", "crowd", "root"]
+    for level in range(BANDS * ROWS + 1):
+        parts = rows.groupBy("band", "value", "root").agg(F.count("*").alias("m")).groupBy("band", "value").agg(
+            F.count("*").alias("parts"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "root"))["root"].alias("main")
+        )
+        # Pairs across what hangs together, against the bound per text.
+        sized = parts.where("parts > 1").select("band", "value", "main", (F.col("n") * F.col("n") - F.col("own") <= 2 * bucket * F.col("n")).alias("few"))
+        rows = stored(rows.join(sized, ["band", "value"]), "apart")
+        few, many = rows.where("few"), rows.where("not few")
+        # The main part's members meet all others; those meet each other once.
+        rest = few.where("root <> main").select("band", "value", F.col("tid").alias("b"), F.col("root").alias("other"))
+        across = few.join(rest, ["band", "value"]).where("root <> other").where("root = main or tid < b")
+        found.append(stored(_ordered(across.select(F.col("tid").alias("a"), "b").unionAll(_to_centre(many))), "pairs-apart"))
+        if level == BANDS * ROWS or many.isEmpty():
+            break
+        rows = many.select(*names) if level else many.select(*names).join(nodes.select("tid", "low"), "tid")
+        names = [*dict.fromkeys([*names, "low"])]
+        # Each band goes through the minimum hashes from another one on.
+        byte = F.expr(f"substring(low, 1 + (({ROWS} * (band + 1) + 37 * {level}) % {BANDS * ROWS}), 1)")
+        rows = rows.withColumn("value", F.xxhash64("value", byte))
+    every = found[0]
+    for one in found[1:]:
+        every = every.unionAll(one)
+    return every.distinct()
+
+
+def keepers(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     """``doc_id`` and ``tid`` of the row that stays of each group."""
     marked = _marked(docs, width)
     # One row per distinct text; equal texts have equal fingerprints and bands.
-    nodes = stored(marked.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-texts")
-    prints = nodes.groupBy("fp").agg(F.min("tid").alias("tid"), F.count("*").alias("n"))
-    close = links(prints.select("fp"), radius)
+    nodes = stored(marked.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "bands", "low")]), "distinct-texts")
+    prints = nodes.groupBy("fp").agg(F.min("tid").alias("tid"))
+    close = stored(links(prints.select("fp"), radius), "links")
     named = lambda c, d: prints.select(F.col("fp").alias(c), F.col("tid").alias(d))
     by_print = close.join(named("a", "ta"), "a").join(named("b", "tb"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-    # Texts with the same fingerprint are compared with the smallest of them.
-    same = nodes.select("tid", "fp").join(prints.where("n > 1").select("fp", F.col("tid").alias("b")), "fp").select(F.col("tid").alias("a"), "b")
-    keys = nodes.select("tid", F.posexplode("bands").alias("band", "value"))
-    hubs = keys.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("tid", "band").alias("h"), "tid")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    by_band = keys.join(hubs.select("band", "value", F.col("hub.tid").alias("b")), ["band", "value"]).select(F.col("tid").alias("a"), "b")
-    pairs = by_print.unionAll(same).unionAll(by_band).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = components(_similar(stored(pairs, "candidates"), docs, width, similarity)).withColumnRenamed("node", "tid")
+    buckets = stored(_buckets(nodes, close), "crowds")
+    first = _similar(stored(_ordered(by_print.unionAll(_to_centre(buckets))), "candidates"), docs, width, similarity)
+    roots = components(first).withColumnRenamed("node", "tid")
+    more = _similar(_apart(buckets, nodes, roots, bucket), docs, width, similarity)
+    roots = components(roots.select(F.col("tid").alias("a"), F.col("root").alias("b")).unionAll(more)).withColumnRenamed("node", "tid")
     grouped = nodes.select("tid", "least").join(roots, "tid", "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min(F.struct("least", "tid")).alias("k"))
     return grouped.select(F.col("k.least.doc_id").alias("doc_id"), F.col("k.tid").alias("tid"))
 

@@ -355,6 +355,65 @@ def test_near_copies(spark):
     assert kept == {find(d) for d in own} and len(kept) < len(own)
 
 
+def brute_groups(texts):
+    """Sizes of what hangs together, by all pairs: shared shingles counted with a matrix."""
+    sets = [shingles(t) for t in texts]
+    ids = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(ids)), np.float32)
+    for k, x in enumerate(sets):
+        m[k, [ids[y] for y in x]] = 1
+    both, n = m @ m.T, m.sum(1)
+    near = both >= 0.8 * (n[:, None] + n - both) - 1e-3
+    left, out = np.ones(len(sets), bool), []
+    while left.any():
+        own = np.zeros(len(sets), bool)
+        own[np.flatnonzero(left)[0]] = True
+        while True:
+            grown = own | near[own].any(0)
+            if (grown == own).all():
+                break
+            own = grown
+        left &= ~own
+        out.append(np.flatnonzero(own).tolist())
+    return out
+
+
+def test_near_copies_of_one_original(spark):
+    """Variants near one original but not near each other hang together by it alone."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in rng.permutation(200)]
+    texts = [" ".join(words)]
+    for k in range(2000):
+        own = list(words)
+        for at in rng.choice(200, 4, replace=False):
+            own[at] = f"v{k}x{at}"
+        texts.append(" ".join(own))
+    ids = rng.permutation(len(texts)).tolist()
+    groups = brute_groups(texts)
+    assert len(groups) == 1
+    kept = near_copies.one_of_each(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {min(ids[k] for k in g) for g in groups}
+
+
+@pytest.mark.parametrize("bucket", [32, 2])
+def test_near_copies_in_a_shared_frame(spark, bucket):
+    """Groups that share most of their words but are not similar to each other lie in the same buckets and stay apart."""
+    rng = np.random.default_rng(9)
+    frame, texts = [f"f{k}" for k in range(170)], []
+    for g in range(30):
+        original = frame + [f"g{g}x{k}" for k in range(30)]
+        for k in range(10):
+            own = list(original)
+            for at in rng.choice(200, 3, replace=False) if k else ():
+                own[at] = f"v{g}x{k}x{at}"
+            texts.append(" ".join(own))
+    groups = brute_groups(texts)
+    assert len(groups) < len(texts) / 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in near_copies.keepers(docs, bucket=bucket).collect()}
+    assert kept == {min(g) for g in groups}
+
+
 def test_stages_on_odd_rows(spark, odd, empty):
     names = odd.columns
     for name, stage in corpus_pipeline.STAGES:
