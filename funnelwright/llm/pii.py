@@ -43,6 +43,8 @@ LOOSE = {
 }
 # What a text must hold for a pattern to match at all; spares most texts the pattern.
 NEEDS = {"email": r"@|at[\])]", "ip": r"[0-9](?:\.| ?[\[(]dot)", "card": r"[0-9][ .-]?[0-9][ .-]?[0-9][ .-]?[0-9]", "phone": r"[0-9][ .-]?[0-9][ .-]?[0-9]"}
+# Base phones may hold any run of separators between digits; all they are sure to have is their start.
+BASE_NEEDS = NEEDS | {"phone": r"\+[0-9]"}
 FEATURES = ("kind", "digits", "grouping", "before", "after", "lead", "host", "cue")
 
 
@@ -111,7 +113,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``base`` spans (start, kind, end) and ``candidates`` (span, whether it is a base span, features)."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     text = F.col("text")
-    df = df.withColumns({f"_b{k}": _matches(text, BASE[kind], NEEDS[kind]) for k, kind in enumerate(KINDS)} | {f"_l{k}": _matches(text, LOOSE[kind], NEEDS[kind]) for k, kind in enumerate(KINDS)})
+    df = df.withColumns({f"_b{k}": _matches(text, BASE[kind], BASE_NEEDS[kind]) for k, kind in enumerate(KINDS)} | {f"_l{k}": _matches(text, LOOSE[kind], NEEDS[kind]) for k, kind in enumerate(KINDS)})
 
     def base(k: int, kind: str) -> Column:
         kept = F.filter(F.col(f"_b{k}"), lambda m: _passes(kind, m["value"]))

@@ -94,6 +94,18 @@ def test_base_spans(spark, odd, source):
     assert seen > 10
 
 
+def test_phones_with_runs_of_separators(spark):
+    """Base phones with runs of separators; in the second to fourth no three digits stand within single ones."""
+    rows = list(enumerate(["call +33 6 12 34 56 78 now", "+49 - 30 - 12 - 34 - 56", "at +33 (0)1--23--45--67--89.", "+1 (60) (25) (55) (12) (34)", "+1 2", "+ 1 22 33"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.find(docs).collect()}
+    assert got == {d: base_spans(t) for d, t in rows} and sum(map(len, got.values())) == 4
+    shown = {r.doc_id: r.n_phone for r in pii.digests(pii.spans_of(docs)).collect()}
+    assert [shown[d] for d in range(6)] == [1, 1, 1, 1, 0, 0]
+    out = {r.doc_id: r.text for r in pii.redacted(docs, pii.Boosted()).collect()}
+    assert out[0] == "call [PHONE] now" and out[3] == "[PHONE])"
+
+
 def test_joined_spans_are_added(spark):
     """A phone and a card number side by side fail each other's base check; the model, having seen their forms, adds both."""
     rows = [(k, f"word +1 (60{k % 10}) 555-{1000 + k} word") for k in range(200)] + [(1000 + k, f"word {CARD} word") for k in range(50)] + [(500, f"word +1 (602) 555-1234 {CARD} word")]
