@@ -4,7 +4,7 @@
 2. ``near_duplicates``: of copies and near copies (five-word shingles, similarity 0.8) one document stays.
 3. ``decontamination``: documents that hold a window of ten benchmark words (or a whole shorter item) go.
 4. ``personal_data``: spans are replaced by their kind in brackets.
-5. ``tokens``: ids of the texts, the text they decode to, and the columns of the documents.
+5. ``tokens``: doc_id, ids of the texts and the text they decode to; other columns end with the stage before.
 
 A stage gets the table folder for what else it reads (labels, benchmark). Null and empty texts pass every stage unless
 quality rejects them; all empty texts are copies of each other.
