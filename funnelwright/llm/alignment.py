@@ -37,13 +37,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from funnelwright.llm.common import stored, texts
 
 CHUNK_BYTES = 8 << 20
-AT_ONCE = 256  # words encoded in one call
-CHUNKS = (
-    "chunk long, doc_id long, is_doc boolean, words array<int>, groups array<string>, counts array<int>, "
-    "pairs array<long>, pair_n array<long>, links array<int>, link_ends array<long>"
-)
+AT_ONCE = 256  # words encoded as one text
+PIECE_BYTES = 128 << 10  # bytes encoded in one call: what both libraries return takes about a hundred times as much
+CHUNKS = "chunk long, doc_id long, is_doc boolean, words array<int>, pairs array<long>, pair_n array<long>, links array<int>, flags binary, link_n array<int>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+NEW_A, NEW_B, LAST = 1, 2, 4  # a link's flags: first of its A token, first of its B token, last of its group
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,6 +71,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.tables = [(np.frombuffer(b"".join(t), np.uint8), np.cumsum(n) - n, n) for t, n in ((self.a_bytes, self.a_len), (self.b_bytes, self.b_len))]
         # A piece with a space after another character could span two words: then every text is one word.
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
 
@@ -83,86 +82,91 @@ class Aligner:
             and "▁" not in text and text.replace("\n", "").isprintable()
         )
 
-    def align(self, words: list[str]) -> dict:
-        """Groups, counts and linked pairs of each word (given without the space before it).
+    def align(self, words: list[str], whole: list[str] = ()) -> dict:
+        """Linked pairs of each word of ``words``, given without the space before it, and of each text of ``whole``.
 
         Words are encoded many at a time; where a joined text does not keep its bytes or a word's end, its words are
-        encoded alone. ``bad`` words keep their bytes in neither way.
+        encoded alone. ``bad`` ones keep their bytes in neither way and have no links. ``n`` counts the links of each.
         """
-        groups, counts, bad = [""] * len(words), np.zeros((len(words), 4), np.int32), set()
-        at, pairs = [], []
-        apart = [k for k, w in enumerate(words) if not self.plain(w) or " " in w]
-        own = set(apart)
-        joined = [k for k in range(len(words)) if k not in own]
-        todo = [joined[lo : lo + AT_ONCE] for lo in range(0, len(joined), AT_ONCE)]
-        again = self._aligned(todo, words, groups, counts, at, pairs)
-        bad.update(k for (k,) in self._aligned([[k] for k in chain(apart, *again)], words, groups, counts, at, pairs))
-        at, pairs = np.concatenate([[], *at]).astype(np.int64), np.concatenate([[], *pairs]).astype(np.int64)
+        every, out = [*words, *whole], []
+        todo = [list(range(lo, min(lo + AT_ONCE, len(words)))) for lo in range(0, len(words), AT_ONCE)]
+        alone = [[k] for k in chain(range(len(words), len(every)), *self._aligned(todo, every, out))]
+        bad = {k for (k,) in self._aligned(alone, every, out)}
+        at, pairs, flags = (np.concatenate([np.zeros(0, t), *[o[c] for o in out]]) for c, t in enumerate((np.int64, np.int64, np.uint8)))
         order = np.argsort(at, kind="stable")
-        return {"groups": groups, "counts": counts, "pairs": pairs[order], "ends": np.searchsorted(at[order], np.arange(len(words)), "right"), "bad": bad}
-
-    def _aligned(self, sets, words, groups, counts, at, pairs) -> list[list[int]]:
-        """Align the words of each set as one text; returns the sets whose bytes or word ends are not kept."""
-        if not sets:
-            return []
-        joined = [" ".join(words[k] for k in s) for s in sets]
+        return {"pairs": pairs[order], "flags": flags[order], "n": np.bincount(at, minlength=len(every)), "bad": bad}
+
+    def _kept(self, ids: np.ndarray, sizes: np.ndarray, raw: list[bytes], which: int) -> np.ndarray:
+        """Whether the decoded bytes of each text's ids are its bytes."""
+        table, start, size = self.tables[which]
+        n = size[ids]
+        per_text = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])])
+        good = per_text == np.array([len(r) for r in raw])
+        own = np.repeat(good, sizes)
+        ids, n = ids[own], n[own]
+        joined = table[np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        wanted = np.frombuffer(b"".join([r for r, g in zip(raw, good) if g]), np.uint8)
+        if not np.array_equal(joined, wanted):
+            bounds = np.cumsum(per_text[good])
+            good[np.flatnonzero(good)[np.unique(np.searchsorted(bounds, np.flatnonzero(joined != wanted), "right"))]] = False
+        return good
+
+    def _aligned(self, sets, words, out) -> list[list[int]]:
+        """Align the words of each set as one text, adding (words, pairs, flags) of links to ``out``; returns the sets
+        whose bytes or word ends are not kept."""
+        left, some, size = [], [], 0
+        for s in sets:
+            some.append(s)
+            size += sum(len(words[k]) for k in s)
+            if size >= PIECE_BYTES:
+                left += self._piece(some, words, out)
+                some, size = [], 0
+        return left + (self._piece(some, words, out) if some else [])
+
+    def _piece(self, sets, words, out) -> list[list[int]]:
+        joined = [" ".join([words[k] for k in s]) for s in sets]
         raw = [(" " + t).encode() for t in joined]
         ea = self.a.encode_batch([" " + t for t in joined], add_special_tokens=False)
         eb = self.b.encode(joined, return_type="proto", num_threads=1)
-        ids_a, ids_b = [e.ids for e in ea], [[p.id for p in e.pieces] for e in eb]
-        good = [b"".join([self.a_bytes[i] for i in x]) == r and b"".join([self.b_bytes[i] for i in y]) == r for x, y, r in zip(ids_a, ids_b, raw)]
-        kept = [k for k, g in enumerate(good) if g]
-        if not kept:
-            return sets
-        base = np.concatenate([[0], np.cumsum([len(raw[k]) for k in kept])])
-        ends_a = self._ends_a([ea[k] for k in kept], [" " + joined[k] for k in kept], base)
-        ends_b = self._ends_b([eb[k] for k in kept], base)
-        ids_a = np.fromiter(chain.from_iterable(ids_a[k] for k in kept), np.int64)
-        ids_b = np.fromiter(chain.from_iterable(ids_b[k] for k in kept), np.int64)
-        number = np.array([w for k in kept for w in sets[k]], np.int64)
+        spans = [[(p.id, p.end) for p in e.pieces] for e in eb]
+        size_a, size_b = np.array([len(e) for e in ea]), np.array([len(e) for e in spans])
+        ids_a = np.fromiter(chain.from_iterable(e.ids for e in ea), np.int64, size_a.sum())
+        both = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64, 2 * size_b.sum())
+        ids_b, span_ends = both[::2], both[1::2]
+        good = self._kept(ids_a, size_a, raw, 0) & self._kept(ids_b, size_b, raw, 1)
+        if not good.all():
+            rest = [s for s, g in zip(sets, good) if g]
+            return [s for s, g in zip(sets, good) if not g] + (self._piece(rest, words, out) if rest else [])
+        base = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        ends_a = self._ends_a(ea, [" " + t for t in joined], ids_a, size_a)
+        ends_b = self._ends_b(span_ends, ids_b, size_b, base)
+        number = np.array([w for s in sets for w in s], np.int64)
         word_ends = np.cumsum([1 + len(words[w].encode()) for w in number])
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
         inside = np.isin(word_ends, shared, assume_unique=True)
         if not inside.all():
             # A tokenizer went over a word's end: the words of that set are encoded alone.
             lost = set(np.searchsorted(base[1:], word_ends[~inside]).tolist())
-            rest = [s for k, s in enumerate(kept) if k not in lost]
-            over = [sets[s] for k, s in enumerate(kept) if k in lost] + [s for s, g in zip(sets, good) if not g]
-            return over + self._aligned([sets[s] for s in rest], words, groups, counts, at, pairs)
+            rest = [s for k, s in enumerate(sets) if k not in lost]
+            return [s for k, s in enumerate(sets) if k in lost] + (self._piece(rest, words, out) if rest else [])
         # Between two neighbouring ends of either lies one pair.
         cuts = np.union1d(ends_a, ends_b)
-        a, b = ids_a[np.searchsorted(ends_a, cuts)], ids_b[np.searchsorted(ends_b, cuts)]
-        at.append(number[np.searchsorted(word_ends, cuts)])
-        pairs.append(a << 32 | b)
-        for col, ends in enumerate((ends_a, ends_b, shared, cuts)):
-            counts[number, col] = np.diff(np.searchsorted(ends, word_ends, "right"), prepend=0)
-        ga, gb = np.searchsorted(ends_a, shared, "right").tolist(), np.searchsorted(ends_b, shared, "right").tolist()
-        sa, sb, i, j, parts = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), 0, 0, []
-        for k, m in zip(ga, gb):
-            parts.append((sa[i] if k == i + 1 else ",".join(sa[i:k])) + "|" + (sb[j] if m == j + 1 else ",".join(sb[j:m])))
-            i, j = k, m
-        lo = 0
-        for w, hi in zip(number.tolist(), np.searchsorted(shared, word_ends, "right").tolist()):
-            groups[w] = parts[lo] if hi == lo + 1 else ";".join(parts[lo:hi])
-            lo = hi
-        return [s for s, g in zip(sets, good) if not g]
-
-    def _ends_a(self, encodings, joined: list[str], base) -> np.ndarray:
-        ids = np.fromiter(chain.from_iterable(e.ids for e in encodings), np.int64)
-        sizes = [len(e.ids) for e in encodings]
-        # Character offsets to byte positions over all texts in a row.
+        a, b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        flags = NEW_A * (np.diff(a, prepend=-1) > 0) + NEW_B * (np.diff(b, prepend=-1) > 0) + LAST * np.isin(cuts, shared, assume_unique=True)
+        out.append((number[np.searchsorted(word_ends, cuts)], ids_a[a] << 32 | ids_b[b], flags.astype(np.uint8)))
+        return []
+
+    def _ends_a(self, encodings, joined: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Byte ends of A's tokens over all texts in a row, from its character offsets."""
         points = np.frombuffer("".join(joined).encode("utf-32-le"), np.uint32)
         byte_of = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
-        first = np.concatenate([[0], np.cumsum([len(t) for t in joined])])[:-1]
-        chars = np.fromiter((hi for e in encodings for _, hi in e.offsets), np.int64, sum(sizes)) + np.repeat(first, sizes)
-        return self._refined(byte_of[chars], self.a_len[ids])
+        first = np.cumsum([0, *[len(t) for t in joined]])[:-1]
+        chars = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in encodings)), np.int64, 2 * len(ids))[1::2]
+        return self._refined(byte_of[chars + np.repeat(first, sizes)], self.a_len[ids])
 
-    def _ends_b(self, protos, base) -> np.ndarray:
-        sizes = [len(e.pieces) for e in protos]
-        ids = np.fromiter((p.id for e in protos for p in e.pieces), np.int64, sum(sizes))
-        # Spans count from the text's first byte, after the space that the model adds.
-        ends = np.fromiter((p.end for e in protos for p in e.pieces), np.int64, sum(sizes)) + 1 + np.repeat(base[:-1], sizes)
-        return self._refined(ends, self.b_len[ids])
+    def _ends_b(self, span_ends: np.ndarray, ids: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Byte ends of B's tokens; its spans count from the text's first byte, after the space that the model adds."""
+        return self._refined(span_ends + 1 + np.repeat(base[:-1], sizes), self.b_len[ids])
 
     @staticmethod
     def _refined(coarse: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -201,7 +205,7 @@ def _chunk(own: Aligner, chunk: int, ids: pa.Array, text: list[str]) -> pa.Recor
     for k in np.flatnonzero(~plain):
         if text[k]:
             as_one(int(k))
-    found = own.align(words + list(whole))
+    found = own.align(words, list(whole))
     # A plain text with a word that is not kept goes through whole before it is given up.
     lost, known = np.zeros(len(words), bool), len(whole)
     lost[[k for k in found["bad"] if k < len(words)]] = True
@@ -209,59 +213,62 @@ def _chunk(own: Aligner, chunk: int, ids: pa.Array, text: list[str]) -> pa.Recor
         if lost[of[k]].any():
             as_one(int(k))
     if len(whole) > known:
-        found = _joined(found, own.align(list(whole)[known:]))
-    bad = found["bad"]
-    of = [o[:0] if len(o) == 1 and int(o[0]) in bad else o for o in of]
-    used = np.bincount(np.concatenate([np.zeros(0, np.int64), *of]), minlength=len(found["groups"]))
+        more = own.align([], list(whole)[known:])
+        found = {k: np.concatenate([found[k], more[k]]) for k in ("pairs", "flags", "n")} | {"bad": found["bad"] | {len(words) + known + k for k in more["bad"]}}
+    of = [o[:0] if len(o) == 1 and int(o[0]) in found["bad"] else o for o in of]
+    used = np.bincount(np.concatenate([np.zeros(0, np.int64), *of]), minlength=len(found["n"]))
     pairs, links = np.unique(found["pairs"], return_inverse=True)
-    times = np.repeat(used, np.diff(found["ends"], prepend=0))
     pair_n = np.zeros(len(pairs), np.int64)
-    np.add.at(pair_n, links, times)
+    np.add.at(pair_n, links, np.repeat(used, found["n"]))
     n = len(text)
 
     def once(value, kind):
-        return pa.array([value, *[None] * n], pa.list_(kind))
+        return pa.array([value, *[None] * n], kind)
 
     ends = np.concatenate([[0, 0], np.cumsum([len(o) for o in of])]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(n + 1, chunk)), pa.concat_arrays([pa.nulls(1, pa.int64()), ids]), pa.array([False, *[True] * n]),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *of]).astype(np.int32))),
-            once(found["groups"], pa.string()), once(found["counts"].ravel(), pa.int32()), once(pairs, pa.int64()), once(pair_n, pa.int64()),
-            once(links.astype(np.int32), pa.int32()), once(found["ends"], pa.int64()),
+            once(pairs, pa.list_(pa.int64())), once(pair_n, pa.list_(pa.int64())), once(links.astype(np.int32), pa.list_(pa.int32())),
+            once(found["flags"].tobytes(), pa.binary()), once(found["n"].astype(np.int32), pa.list_(pa.int32())),
         ],
-        ["chunk", "doc_id", "is_doc", "words", "groups", "counts", "pairs", "pair_n", "links", "link_ends"],
+        ["chunk", "doc_id", "is_doc", "words", "pairs", "pair_n", "links", "flags", "link_n"],
     )
 
 
-def _joined(a: dict, b: dict) -> dict:
-    """Alignments of two lists of words as one of both."""
-    n = len(a["groups"])
-    return {
-        "groups": a["groups"] + b["groups"], "counts": np.concatenate([a["counts"], b["counts"]]), "pairs": np.concatenate([a["pairs"], b["pairs"]]),
-        "ends": np.concatenate([a["ends"], b["ends"] + len(a["pairs"])]), "bad": a["bad"] | {n + k for k in b["bad"]},
-    }
+def _lists(values: pa.Array, sizes: np.ndarray, between: str) -> pa.Array:
+    """Consecutive values as one string per stretch."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values), between)
 
 
 def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums of one chunk's documents from the counts of its pairs over the corpus."""
+    """Sums and groups of one chunk's documents, from its words' links and the counts of its pairs over the corpus."""
     left = left.combine_chunks()
     docs, own = left.filter(left["is_doc"]), left.filter(pc.invert(left["is_doc"])).slice(0, 1)
-    flat = lambda name: own[name].combine_chunks().flatten()
-    pairs, links, ends = flat("pairs").to_numpy(), flat("links").to_numpy(), flat("link_ends").to_numpy()
+    flat = lambda name: own[name].combine_chunks().flatten().to_numpy()
+    pairs, links, n = flat("pairs"), flat("links"), flat("link_n")
+    flags = np.frombuffer(own["flags"][0].as_py(), np.uint8)
     order = np.argsort(right["pair"].to_numpy())
     count, best = right["n"].to_numpy()[order], right["best"].to_numpy()[order]
     if len(count) != len(pairs):
         raise ValueError("the pairs of a chunk and their counts do not agree")
-    counts = flat("counts").to_numpy().reshape(-1, 4)
-    per_word = np.column_stack([counts, _sums(best[links], ends), _sums(count[links], ends)]).astype(np.int64)
+    ends = np.cumsum(n)
+    new_a, new_b, last = (flags & f > 0 for f in (NEW_A, NEW_B, LAST))
+    per_word = np.column_stack([_sums(x, ends) for x in (new_a, new_b, last, np.ones(len(links), bool), best[links], count[links])])
+    # Ids as text, joined per group, word and document.
+    group = np.cumsum(last) - last
+    sides = []
+    for new, ids in ((new_a, pairs >> 32), (new_b, pairs & 0xFFFFFFFF)):
+        sides.append(_lists(pa.array(ids[links[new]]).cast(pa.string()), np.bincount(group[new], minlength=int(last.sum())), ","))
+    per_group = pc.binary_join_element_wise(*sides, "|")
+    word_text = _lists(per_group, per_word[:, 2], ";")
     words = docs["words"].combine_chunks()
     codes, sizes = words.flatten().to_numpy(), pc.list_value_length(words).to_numpy()
     stop = np.cumsum(sizes)
-    total = np.column_stack([_sums(per_word[codes, k], stop) for k in range(6)]) if len(sizes) else np.zeros((0, 6), np.int64)
-    groups = flat("groups").to_pylist()
-    text = [";".join([groups[c] for c in codes[lo:hi].tolist()]) for lo, hi in zip(stop - sizes, stop)]
-    return pa.table({"doc_id": docs["doc_id"], **{k: total[:, i] for i, k in enumerate((*COUNTS, "n_best", "count_sum"))}, "groups": pa.array(text, pa.string())})
+    total = np.column_stack([_sums(per_word[codes, k], stop) for k in range(6)])
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return pa.table({"doc_id": docs["doc_id"], **{k: total[:, i] for i, k in enumerate(names)}, "groups": _lists(word_text.take(pa.array(codes)), sizes, ";")})
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:

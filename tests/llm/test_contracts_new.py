@@ -214,10 +214,12 @@ def test_ends_inside_characters_are_refined():
     own = alignment.aligner(*PATHS)
     text = "é 😀漢 ꙮ"
     e, raw = own.a.encode(" " + text, add_special_tokens=False), (" " + text).encode()
-    ends = own._ends_a([e], [" " + text], np.array([0, len(raw)]))
+    ends = own._ends_a([e], [" " + text], np.array(e.ids), np.array([len(e.ids)]))
     assert ends.tolist() == np.cumsum([len(own.a_bytes[i]) for i in e.ids]).tolist() and ends[-1] == len(raw)
-    p = own.b.encode([text], return_type="proto")
-    assert own._ends_b(p, np.array([0, len(raw)])).tolist() == np.cumsum([len(own.b_bytes[x.id]) for x in p[0].pieces]).tolist()
+    (p,) = own.b.encode([text], return_type="proto")
+    ids = np.array([x.id for x in p.pieces])
+    ends = own._ends_b(np.array([x.end for x in p.pieces]), ids, np.array([len(ids)]), np.array([0, len(raw)]))
+    assert ends.tolist() == np.cumsum([len(own.b_bytes[i]) for i in ids]).tolist() and own.b.is_byte(int(ids[-1]))
 
 
 # --- URL rules ------------------------------------------------------------------------
