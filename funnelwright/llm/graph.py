@@ -37,5 +37,6 @@ def components(pairs: DataFrame) -> DataFrame:
         e = cut_lineage(_small_star(_large_star(e)))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            # The smallest node of a component stands on the right only.
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = now

@@ -407,8 +407,7 @@ def test_near_copies_of_one_original(spark):
     assert {r.doc_id for r in kept} == {min(ids[k] for k in g) for g in groups}
 
 
-@pytest.mark.parametrize("bucket", [32, 2])
-def test_near_copies_in_a_shared_frame(spark, bucket):
+def test_near_copies_in_a_shared_frame(spark):
     """Groups that share most of their words but are not similar to each other lie in the same buckets and stay apart."""
     rng = np.random.default_rng(9)
     frame, texts = [f"f{k}" for k in range(170)], []
@@ -422,10 +421,26 @@ def test_near_copies_in_a_shared_frame(spark, bucket):
     groups = brute_groups(texts)
     assert len(groups) < len(texts) / 5
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {r.doc_id for r in near_copies.keepers(docs, bucket=bucket).collect()}
+    kept = {r.doc_id for r in near_copies.keepers(docs).collect()}
     assert kept == {min(g) for g in groups}
 
 
+def test_near_copies_of_uneven_edits(spark):
+    """Variants from hardly to heavily edited: most pairs lie around the threshold, and no centre is near to all."""
+    rng = np.random.default_rng(10)
+    words, texts = [f"w{k}" for k in range(150)], []
+    for k in range(600):
+        own = list(words[: 150 - int(rng.integers(0, 25))])
+        for at in rng.choice(len(own), int(rng.integers(0, 14)), replace=False):
+            own[at] = f"v{rng.integers(0, 40)}" if k % 2 else f"u{k}x{at}"
+        texts.append(" ".join(own))
+    texts += ["", " \n", "one two", "one two", "One two", "one two three four five six"]
+    groups = brute_groups(texts)
+    assert 10 < len(groups) < len(texts) - 100
+    docs = spark.createDataFrame([(k, t or None) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.keepers(docs).collect()} == {min(g) for g in groups}
+
+
 def test_stages_on_odd_rows(spark, odd, empty):
     names = odd.columns
     for name, stage in corpus_pipeline.STAGES:
