@@ -5,8 +5,8 @@ fingerprints within two bits give part of those pairs only: at a similarity of 0
 about nine bits. So texts are gathered in buckets of two kinds: what the fingerprints' links connect (operator 9), and
 equal keys in one of ``BANDS`` bands of minimum hashes over the same shingle hashes. Then, over distinct texts:
 
-1. Each text is compared with one text: of its buckets' centres (the text whose buckets hold the most) the one whose
-   minimum hashes agree with its own most. One pair per text, whatever the size of a bucket.
+1. Each text is compared with ``CENTRES`` texts at most: of its buckets' centres (the text whose buckets hold the most)
+   those it shares most buckets with. So pairs grow with the texts, whatever the size of a bucket.
 2. Buckets that hang together after that are done. The texts of all others go through an exact join: shingles are
    ordered by rarity, and of two texts with similarity 0.8 the shorter has among its rarest ninth, the longer among its
    rarest fifth a shared shingle, so far to the front that what follows can still make up the overlap. Only pairs that
@@ -34,6 +34,7 @@ from funnelwright.llm.simhash import links, majority, shingle_hashes
 
 # 24 bands of 5 minimum hashes: of pairs with similarity 0.8 all but 7 in 100,000 share a band, of 0.9 practically all.
 BANDS, ROWS = 24, 5
+CENTRES = 2
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -100,15 +101,17 @@ def _buckets(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def _to_centre(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """At most one pair per text: the text and the most alike of its buckets' centres."""
+    """At most ``CENTRES`` pairs per text: the text and those of its buckets' centres that it shares most buckets with."""
     crowd = buckets.groupBy("node").agg(F.sum("n").alias("crowd"))
     marks = nodes.select("node", "low", "high")
     own = buckets.select("bucket", "node").join(crowd.join(marks, "node"), "node")
     centres = own.groupBy("bucket").agg(F.max(F.struct("crowd", "node", "low", "high")).alias("c"))
     away = F.bit_count(F.col("low").bitwiseXOR(F.col("c.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("c.high")))
-    near = own.join(centres, "bucket").where("node <> c.node").groupBy("node").agg(F.min(F.struct(away.alias("away"), F.col("c.node").alias("b"))).alias("best"))
+    near = own.join(centres, "bucket").where("node <> c.node").groupBy("node", F.col("c.node").alias("b")).agg(F.count("*").alias("shared"), F.first(away).alias("away"))
     # Unlikely to be similar (agreeing bits of 120 four deviations below those of similarity 0.8): left to the exact join.
-    return near.where("best.away <= 26").select(F.least("node", "best.b").alias("a"), F.greatest("node", "best.b").alias("b")).distinct()
+    best = near.where("away <= 26").groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("s"), "away", "b"))).alias("c"))
+    pair = best.select("node", F.explode(F.slice("c", 1, CENTRES)).alias("c"))
+    return pair.select(F.least("node", "c.b").alias("a"), F.greatest("node", "c.b").alias("b")).distinct()
 
 
 def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
