@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from funnelwright.llm.common import stored, texts
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 AT_ONCE = 256  # words encoded as one text
 PIECE_BYTES = 128 << 10  # bytes encoded in one call: what both libraries return takes about a hundred times as much
 CHUNKS = "chunk long, doc_id long, is_doc boolean, words array<int>, pairs array<long>, pair_n array<long>, links array<int>, flags binary, link_n array<int>"
@@ -283,7 +283,8 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_B
     def work(batches):
         own, n, first = aligner(a_path, b_path), 0, TaskContext.get().partitionId() << 32
         ids, text, size = [], [], 0
-        for b in batches:
+        # Few rows at a time become Python texts, however many a batch holds.
+        for b in (b.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
             for i, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.binary_length(b.column(1)).to_pylist()):
                 if size and size + k > chunk_bytes:
                     yield _chunk(own, first + n, pa.array(ids, pa.int64()), text)
@@ -293,6 +294,7 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_B
                 size += k
         if ids:
             yield _chunk(own, first + n, pa.array(ids, pa.int64()), text)
+        pa.default_memory_pool().release_unused()
 
     return stored(texts(docs).mapInArrow(work, CHUNKS), "alignment")
 
