@@ -284,7 +284,7 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_B
         own, n, first = aligner(a_path, b_path), 0, TaskContext.get().partitionId() << 32
         ids, text, size = [], [], 0
         # Few rows at a time become Python texts, however many a batch holds.
-        for b in (b.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
+        for b in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
             for i, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc.binary_length(b.column(1)).to_pylist()):
                 if size and size + k > chunk_bytes:
                     yield _chunk(own, first + n, pa.array(ids, pa.int64()), text)
