@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from funnelwright.llm.common import stored, texts
+from funnelwright.llm.common import give_back, stored, texts
 
 CHUNK_BYTES = 4 << 20
 AT_ONCE = 256  # words encoded as one text
@@ -244,6 +244,7 @@ def _lists(values: pa.Array, sizes: np.ndarray, between: str) -> pa.Array:
 
 def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     """Sums and groups of one chunk's documents, from its words' links and the counts of its pairs over the corpus."""
+    give_back()
     left = left.combine_chunks()
     docs, own = left.filter(left["is_doc"]), left.filter(pc.invert(left["is_doc"])).slice(0, 1)
     flat = lambda name: own[name].combine_chunks().flatten().to_numpy()
@@ -289,12 +290,14 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = CHUNK_B
                 if size and size + k > chunk_bytes:
                     yield _chunk(own, first + n, pa.array(ids, pa.int64()), text)
                     ids, text, size, n = [], [], 0, n + 1
+                    give_back()
                 ids.append(i)
                 text.append(t)
                 size += k
         if ids:
             yield _chunk(own, first + n, pa.array(ids, pa.int64()), text)
-        pa.default_memory_pool().release_unused()
+        ids, text = [], []
+        give_back()
 
     return stored(texts(docs).mapInArrow(work, CHUNKS), "alignment")
 
