@@ -1,6 +1,6 @@
 """Operator 7: BPE encoding and decoding through a pair occurrence index.
 
-All distinct words of a partition lie in one array of symbols. The index maps the rank of every mergeable pair to all
+All distinct words of an Arrow batch of the partition (a bounded number of rows) lie in one array of symbols. The index maps the rank of every mergeable pair to all
 positions where the pair stands. Active ranks leave a heap in ascending order; a merge is made at all positions of its
 pair at once, and only the lists of the pairs beside those positions change. Words never influence each other, and
 ``Merges`` checks that no merge makes a pair of lower rank than its own, so this gives the ids that merging word by
@@ -15,12 +15,13 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from funnelwright.llm.common import texts
+from funnelwright.llm.common import give_back, texts
 
 ENCODED = "doc_id long, ids array<int>, decoded string"
 
@@ -168,21 +169,32 @@ class WordEncoder:
                 return [bytes([self.byte[c] for c in w]) for w, _ in parts]
         return self.cut.findall(unicodedata.normalize("NFC", text).lower())
 
-    def encode(self, batch: list[str]) -> tuple[dict, dict, list[list]]:
-        """Ids and shown tokens of each distinct word, and the words of each text."""
-        cut = [self.words(t) for t in batch]
-        known = list(set().union(*cut))
+    def encode(self, batch: list[str]) -> tuple[list, list, list[array]]:
+        """Ids and shown tokens of each distinct word, and the numbers of each text's words.
+
+        Texts are kept as numbers, 4 bytes a word, so a batch takes the room of its distinct words.
+        """
+        number = _Numbers()
+        cut = [array("i", map(number.__getitem__, self.words(t))) for t in batch]
         special = {s.encode(): i for s, i in self.merges.special.items()}
-        flat, at = self.merges.encode_words([w if isinstance(w, bytes) else w.encode() for w in known])
+        flat, at = self.merges.encode_words([w if isinstance(w, bytes) else w.encode() for w in number])
         tokens, data, at = self.merges.token, flat.astype("<i4").tobytes(), at.tolist()
         shown = [tokens[i] for i in flat.tolist()]
-        ids = {w: data[4 * i : 4 * j] for w, i, j in zip(known, at, at[1:])}
-        text = {w: " ".join(shown[i:j]) for w, i, j in zip(known, at, at[1:])}
-        for s in special.keys() & ids.keys():
-            ids[s], text[s] = np.array([special[s]], "<i4").tobytes(), s.decode()
+        ids = [data[4 * i : 4 * j] for i, j in zip(at, at[1:])]
+        text = [" ".join(shown[i:j]) for i, j in zip(at, at[1:])]
+        for s in special.keys() & number.keys():
+            ids[number[s]], text[number[s]] = np.array([special[s]], "<i4").tobytes(), s.decode()
         return ids, text, cut
 
 
+class _Numbers(dict):
+    """Words numbered in the order they are first asked for."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -205,6 +217,8 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                 at = np.cumsum([0, *(len(x) // 4 for x in own)])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(own), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 128), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            del ids, shown, cut
+            give_back()
 
     return texts(docs).mapInArrow(run, ENCODED)
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from funnelwright.llm.common import stored
+from funnelwright.llm.common import give_back, stored
 from funnelwright.llm.graph import components
 from funnelwright.llm.simhash import links, majority, shingle_hashes
 
@@ -78,6 +78,7 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(size, pa.int64())],
                 ["doc_id", "tid", "fp", "bands", "low", "high", "size"],
             )
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
     return stored(rows.mapInArrow(run, "doc_id long, tid string, fp long, bands array<long>, low long, high long, size long"), "shingles")
@@ -135,6 +136,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     named = lambda c, t: texts.select(F.col("node").alias(c), F.col("text").alias(t))
     both = pairs.join(named("a", "ta"), "a").join(named("b", "tb"), "b")
@@ -148,6 +150,7 @@ def _rare_pairs(nodes: DataFrame, roots: DataFrame, texts: DataFrame, width: int
         for batch in batches:
             own = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
+        give_back()
 
     sets = stored(texts.join(roots, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
     each = sets.select("node", F.explode("shingles").alias("s"))
