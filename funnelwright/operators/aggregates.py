@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from funnelwright.functions.scalars import members
-from funnelwright.operators.ordered import running
+from funnelwright.operators.ordered import BLOCK, framed, running
 
 
 def per_day_average(df: DataFrame, keys: Sequence[str], dt: str, cond: Column) -> DataFrame:
@@ -89,40 +89,47 @@ def share_of(value: str | Column, keys: Sequence[str]) -> Column:
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(order)
-    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
+    """``prev_`` columns from the row before; a key of any size is scanned piece by piece."""
+    return running(df, keys, [order], previous={f"prev_{c}": c for c in columns})
 
 
-def moving(c: str, keys: Sequence[str], order: str, window: int, min_periods: int) -> tuple[Column, Column]:
-    """Trailing mean and sample deviation over ``window`` rows including the current one."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(-(window - 1), 0)
-    enough = F.count(c).over(w) >= min_periods
-    return F.when(enough, F.avg(c).over(w)), F.when(enough, F.stddev_samp(c).over(w))
+def moving(df: DataFrame, c: str, keys: Sequence[str], order: str, window: int, min_periods: int, block: int = BLOCK) -> DataFrame:
+    """``moving_mean`` and ``moving_sd`` over ``window`` rows including the current one, null under ``min_periods``."""
 
+    def new(w):
+        f = w.rowsBetween(-(window - 1), 0)
+        enough = F.count(c).over(f) >= min_periods
+        return {"moving_mean": F.when(enough, F.avg(c).over(f)), "moving_sd": F.when(enough, F.stddev_samp(c).over(f))}
 
-def prior_z(c: str, keys: Sequence[str], order: str, window: int) -> Column:
-    """Distance from the ``window`` rows before the point in their own deviations."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
-    sd = F.stddev_samp(c).over(w)
-    return F.when((F.count(c).over(w) == window) & (sd > 0), (F.col(c) - F.avg(c).over(w)) / sd)
+    return framed(df, keys, [order], window - 1, new, block)
 
 
-def run_length(flag: str, keys: Sequence[str], order: str, k: int) -> Column:
-    return F.sum(flag).over(W.partitionBy(*keys).orderBy(order).rowsBetween(-(k - 1), 0))
+def prior_z(df: DataFrame, c: str, keys: Sequence[str], order: str, window: int, block: int = BLOCK) -> DataFrame:
+    """``z``: distance from the ``window`` rows before the point in their own deviations."""
+
+    def new(w):
+        f = w.rowsBetween(-window, -1)
+        sd = F.stddev_samp(c).over(f)
+        return {"z": F.when((F.count(c).over(f) == window) & (sd > 0), (F.col(c) - F.avg(c).over(f)) / sd)}
+
+    return framed(df, keys, [order], window, new, block)
+
+
+def run_length(df: DataFrame, flag: str, keys: Sequence[str], order: str, sizes: Sequence[int], block: int = BLOCK) -> DataFrame:
+    """``of<k>``: flagged rows among the last k, for every k of ``sizes``."""
+    return framed(df, keys, [order], max(sizes) - 1, lambda w: {f"of{k}": F.sum(flag).over(w.rowsBetween(-(k - 1), 0)) for k in sizes}, block)
 
 
 def islands(days: DataFrame, keys: Sequence[str], dt: str) -> DataFrame:
     """Runs of consecutive days; ``days`` holds one row per key and day."""
-    w = W.partitionBy(*keys).orderBy(dt)
-    g = days.withColumn("_grp", F.date_sub(F.col(dt), F.row_number().over(w)))
+    g = running(days, keys, [dt], row_number="_rn").withColumn("_grp", F.date_sub(F.col(dt), F.col("_rn").cast("int")))
     return g.groupBy(*keys, "_grp").agg(F.min(dt).alias("island_start"), F.max(dt).alias("island_end"), F.count("*").alias("days")).drop("_grp")
 
 
 def gaps(days: DataFrame, keys: Sequence[str], dt: str) -> DataFrame:
     """Missing stretches between observed days: first and last missing day and length."""
-    w = W.partitionBy(*keys).orderBy(dt)
-    g = days.withColumn("_next", F.lead(dt).over(w)).where(F.datediff("_next", dt) > 1)
-    return g.select(*keys, F.date_add(dt, 1).alias("gap_start"), F.date_sub("_next", 1).alias("gap_end"), (F.datediff("_next", dt) - 1).cast("long").alias("missing_days"))
+    g = running(days, keys, [dt], previous={"_prev": dt}).where(F.datediff(dt, "_prev") > 1)
+    return g.select(*keys, F.date_add("_prev", 1).alias("gap_start"), F.date_sub(dt, 1).alias("gap_end"), (F.datediff(dt, "_prev") - 1).cast("long").alias("missing_days"))
 
 
 def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -141,6 +148,5 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
 
 def ordinal_violations(df: DataFrame, keys: Sequence[str], order: str, c: str) -> DataFrame:
     """Rows lower than the one before and the first such position."""
-    w = W.partitionBy(*keys).orderBy(order)
-    d = df.withColumn("_bad", F.col(c) < F.lag(c).over(w))
+    d = running(df, keys, [order], previous={"_prev": c}).withColumn("_bad", F.col(c) < F.col("_prev"))
     return d.groupBy(*keys).agg(F.count(F.when(F.col("_bad"), 1)).alias("violations"), F.min(F.when(F.col("_bad"), F.col(order))).alias("first_violation"))

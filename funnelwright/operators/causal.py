@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from funnelwright.functions import dist
 from funnelwright.functions.scalars import change, in_period, ratio
 from funnelwright.operators.panel import COUNTS, RATES, rate, window_sums
+from funnelwright.operators.ordered import running
 from funnelwright.operators.relations import interval_join
 from funnelwright.operators.stats import Z975, chi2_independence, prop_ztest, welch_ttest
 
@@ -188,7 +189,9 @@ def impact_model(segments: DataFrame, key: str, users: str, improvement: str, va
         "impact": base, "pessimistic": base * 0.5, "optimistic": base * 1.5, "break_even": F.try_divide(cost, F.col(users) * F.col(value) * F.lit(periods_per_year)),
         "priority": F.try_divide(base * confidence, effort),
     })
-    return d.withColumn("rank", F.row_number().over(W.orderBy(F.desc("priority"), key)))  # one row per opportunity
+    # Null priorities come last; ranked piece by piece, so segments of any number do not meet in one task.
+    r = running(d.withColumns({"_none": F.col("priority").isNull(), "_neg": -F.col("priority")}), [], ["_none", "_neg", key], row_number="rank")
+    return r.withColumn("rank", F.col("rank").cast("int")).drop("_none", "_neg")
 
 
 def sensitivity(model: DataFrame, key: str) -> DataFrame:

@@ -13,8 +13,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from funnelwright.functions.scalars import metric_expr, ratio
-from funnelwright.operators.aggregates import gaps
-from funnelwright.operators.profile import is_numeric, value_table
+from funnelwright.operators.aggregates import gaps, prior_z
+from funnelwright.operators.ordered import running
+from funnelwright.operators.profile import distinct_counts, is_numeric
 from funnelwright.operators.relations import orphans
 
 FIELDS = ("check", "subject", "ok", "severity", "observed", "expected", "n_bad", "detail")
@@ -212,8 +213,8 @@ def check_segments(df: DataFrame, c: str, expected: Sequence[str], allow_other:
 
 
 def check_cardinality(df: DataFrame, bounds: Mapping[str, tuple[int | None, int | None]]) -> DataFrame:
-    """Distinct values of several columns within bounds, from one unpivoted grouping."""
-    u = value_table(df, list(bounds)).groupBy("column_name").agg(F.count("*").alias("n"))
+    """Distinct values of several columns within bounds, from one grouping of their digests."""
+    u = distinct_counts(df, list(bounds)).withColumnRenamed("n_unique", "n")
     lo = F.create_map(*[x for c, (a, _) in bounds.items() for x in (F.lit(c), F.lit(a).cast("long"))])[F.col("column_name")]
     hi = F.create_map(*[x for c, (_, b) in bounds.items() for x in (F.lit(c), F.lit(b).cast("long"))])[F.col("column_name")]
     bad = F.coalesce(F.col("n") < lo, F.lit(False)) | F.coalesce(F.col("n") > hi, F.lit(False))
@@ -243,20 +244,16 @@ def check_pct_sum(df: DataFrame, pct: str, group: Sequence[str], expected: float
 
 def check_monotonic(df: DataFrame, keys: Sequence[str], order: str, c: str, increasing: bool = True, strict: bool = False) -> DataFrame:
     """Steps against the direction along an explicit order; the first violating position is the detail."""
-    prev = F.lag(c).over(W.partitionBy(*keys).orderBy(order))
-    x = F.col(c)
+    x, prev = F.col(c), F.col("_prev")
     bad = (x <= prev if strict else x < prev) if increasing else (x >= prev if strict else x > prev)
-    g = df.where(x.isNotNull()).withColumn("_b", bad).agg(F.count(F.when(F.col("_b"), 1)).alias("bad"), F.min(F.when(F.col("_b"), F.col(order))).alias("first"))
+    g = running(df.where(x.isNotNull()), keys, [order], previous={"_prev": c}).withColumn("_b", bad).agg(F.count(F.when(F.col("_b"), 1)).alias("bad"), F.min(F.when(F.col("_b"), F.col(order))).alias("first"))
     return one(g, row("monotonic", c, bad_if(F.col("bad") > 0), F.col("bad"), 0, F.col("bad"), F.coalesce(F.col("first").cast("string"), F.lit(""))))
 
 
 def check_spikes(df: DataFrame, keys: Sequence[str], order: str, c: str, window: int, z: float) -> DataFrame:
     """Points far from the ``window`` points before them."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
-    x = F.col(c).cast("double")
-    sd = F.stddev_samp(x).over(w)
-    zs = F.when((F.count(x).over(w) == window) & (sd > 0), F.abs(x - F.avg(x).over(w)) / sd)
-    g = df.where(F.col(c).isNotNull()).withColumn("_z", zs).agg(F.count(F.when(F.col("_z") > z, 1)).alias("bad"), F.max("_z").alias("mx"))
+    x = df.where(F.col(c).isNotNull()).withColumn("_x", F.col(c).cast("double"))
+    g = prior_z(x, "_x", keys, order, window).withColumn("_z", F.abs("z")).agg(F.count(F.when(F.col("_z") > z, 1)).alias("bad"), F.max("_z").alias("mx"))
     return one(g, row("spikes", c, bad_if(F.col("bad") > 0, WARNING), F.col("mx"), z, F.col("bad")))
 
 
@@ -268,9 +265,9 @@ def check_group_balance(df: DataFrame, group: str, min_size: int = 10, max_ratio
 
 def _change(df: DataFrame, keys: Sequence[str], order: str, c: str) -> DataFrame:
     """Absolute relative change on the previous point; infinite when it was zero and is no longer."""
-    x, p = F.col(c).cast("double"), F.lag(F.col(c).cast("double")).over(W.partitionBy(*keys).orderBy(order))
+    x, p = F.col(c).cast("double"), F.col("_prev").cast("double")
     ch = F.when(p == 0, F.when(x != 0, F.lit(float("inf")))).otherwise(F.abs(x - p) / F.abs(p))
-    return df.where(F.col(c).isNotNull()).withColumn("_c", ch)
+    return running(df.where(F.col(c).isNotNull()), keys, [order], previous={"_prev": c}).withColumn("_c", ch)
 
 
 def check_trend_breaks(df: DataFrame, keys: Sequence[str], order: str, c: str, jump: float = 0.5) -> DataFrame:
@@ -484,7 +481,7 @@ def tie_profile(df: DataFrame) -> DataFrame:
         elif t in ("date", "timestamp", "timestamp_ntz"):
             rows += [s("date_min", c, F.unix_date(F.min(c).cast("date"))), s("date_max", c, F.unix_date(F.max(c).cast("date")))]
     a = df.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("x")).select("x.*")
-    d = value_table(df, df.columns).groupBy(F.col("column_name").alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    d = distinct_counts(df, df.columns).select(F.col("column_name").alias("metric"), F.col("n_unique").cast("double").alias("value"))
     return a.unionByName(d.select(F.lit("distinct_count").alias("check"), "metric", "value"))
 
 

@@ -127,21 +127,27 @@ def lineage_edges(log: DataFrame) -> DataFrame:
     return i.join(o, "table").where("child <> parent").select("child", "parent", "table").distinct()
 
 
-def lineage_ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(step, depth): every step upstream of the start steps, level by level until nothing new appears,
-    however deep the lineage is.
-
-    Both the reached set and the frontier are checkpointed each round, so the plan stays flat and a lost
-    executor costs one round.
+def lineage_ancestors(log: DataFrame, start: DataFrame) -> DataFrame:
+    """(step, depth): every step upstream of the start steps in ``log(step, inputs[], outputs[])``, level by level until
+    nothing new appears, however deep the lineage is.
+
+    The frontier alternates between the two sides of the graph: from steps to the tables they read that were not met
+    before, from those to the steps that write them. So each read and each write is followed once, and pairs of steps
+    are never formed, whatever number of them shares a table. Reached sets and frontier are checkpointed each round,
+    so the plan stays flat and a lost executor costs one round.
     """
-    e = cut_lineage(edges.select("child", "parent").distinct())
+    reads = cut_lineage(log.select("step", F.explode("inputs").alias("table")).distinct())
+    writes = cut_lineage(log.select("step", F.explode("outputs").alias("table")).distinct())
     frontier = start.select("step").distinct()
     seen = cut_lineage(frontier.withColumn("depth", F.lit(0)))
+    met = None
     for depth in count(1):
-        frontier = e.join(frontier, F.col("child") == F.col("step"), "left_semi").select(F.col("parent").alias("step")).distinct().join(seen, "step", "left_anti")
-        frontier = cut_lineage(frontier)
+        tables = reads.join(frontier, "step", "left_semi").select("table").distinct()
+        tables = cut_lineage(tables.join(met, "table", "left_anti") if met is not None else tables)
+        frontier = cut_lineage(writes.join(tables, "table", "left_semi").select("step").distinct().join(seen, "step", "left_anti"))
         if frontier.isEmpty():
             break
+        met = cut_lineage(met.unionByName(tables)) if met is not None else tables
         seen = cut_lineage(seen.unionByName(frontier.withColumn("depth", F.lit(depth))))
     return seen
 

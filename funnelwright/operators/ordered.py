@@ -7,17 +7,18 @@ per piece carries totals forward. Quantiles look only at the rows between two ap
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from funnelwright.session import cut_lineage
 
 TARGET_ROWS = 2_000_000
+BLOCK = 65_536
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
+def as_number(df: DataFrame, name: str) -> Column:
     t = dict(df.dtypes)[name]
     if t == "timestamp":
         return F.unix_micros(name).cast("double")
@@ -34,13 +35,13 @@ def range_cuts(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> lis
     if pieces <= 1:
         return []
     probs = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(_as_number(df, order), probs, max(10_000, 4 * pieces)).alias("q")).first()["q"]
+    found = df.agg(F.percentile_approx(as_number(df, order), probs, max(10_000, 4 * pieces)).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
 def bucketed(df: DataFrame, order: str, cuts: Sequence[float]) -> DataFrame:
     z = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_b", handleInvalid="keep")
-    return z.transform(df.withColumn("_x", _as_number(df, order))).withColumn("_b", F.col("_b").cast("int")).drop("_x")
+    return z.transform(df.withColumn("_x", as_number(df, order))).withColumn("_b", F.col("_b").cast("int")).drop("_x")
 
 
 def running(
@@ -99,6 +100,54 @@ def _scan(df, w, sums, previous, row_number) -> DataFrame:
     return df.withColumns(new)
 
 
+def framed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int, new: Callable[[WindowSpec], Mapping[str, Column]], block: int = BLOCK, pieces: int | None = None
+) -> DataFrame:
+    """Window expressions over frames that reach at most ``reach`` rows back, for keys of any size.
+
+    Rows are numbered per key by :func:`running` and scanned in blocks of ``block`` rows; the last ``reach`` rows of a
+    block go along to the next one and are left out of its result. ``new`` makes the columns from the window of a block.
+    """
+    block = max(block, reach, 1)
+    n = running(df, keys, order, row_number="_pos", pieces=pieces)
+    at = F.col("_pos") - 1
+    own = F.floor(at / block)
+    here = F.array(F.struct(own.alias("k"), F.lit(False).alias("halo")))
+    both = F.array(F.struct(own.alias("k"), F.lit(False).alias("halo")), F.struct((own + 1).alias("k"), F.lit(True).alias("halo")))
+    spread = n.withColumn("_w", F.explode(F.when(at % block >= block - reach, both).otherwise(here))).withColumns({"_k": F.col("_w.k"), "_halo": F.col("_w.halo")})
+    w = W.partitionBy(*keys, "_k").orderBy("_pos")
+    made = dict(new(w))
+    return spread.withColumns(made).where("not _halo").select(*[c for c in df.columns if c not in made], *made)
+
+
+def extremes(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], highest: Mapping[str, str] | None = None, lowest_from: Mapping[str, str] | None = None,
+    before: bool = False, block: int = BLOCK, pieces: int | None = None, number: str | None = None,
+) -> DataFrame:
+    """Running maxima (``highest``: up to a row; only of the rows before it with ``before``) and minima from a row on
+    (``lowest_from``), for keys of any size: blocks are scanned apart, one row per block carries extremes on.
+    ``number`` names a column that already numbers the rows of a key from 1 on."""
+    highest, lowest_from = dict(highest or {}), dict(lowest_from or {})
+    n = df.withColumn("_pos", F.col(number)) if number else running(df, keys, order, row_number="_pos", pieces=pieces)
+    n = n.withColumn("_k", F.floor((F.col("_pos") - 1) / block))
+    per = n.groupBy(*keys, "_k").agg(*[F.max(c).alias(f"_h{i}") for i, c in enumerate(highest.values())], *[F.min(c).alias(f"_l{i}") for i, c in enumerate(lowest_from.values())])
+    w = W.partitionBy(*keys).orderBy("_k")  # one row per block of a key
+    up, down = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    per = per.select(
+        *[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_k").alias("_kk"),
+        *[F.max(f"_h{i}").over(up).alias(f"_h{i}") for i in range(len(highest))], *[F.min(f"_l{i}").over(down).alias(f"_l{i}") for i in range(len(lowest_from))],
+    )
+    own = W.partitionBy(*keys, "_k").orderBy("_pos")
+    upto = own.rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    onward = own.rowsBetween(0, W.unboundedFollowing)
+    inner = n.withColumns({o: F.max(c).over(upto) for o, c in highest.items()} | {o: F.min(c).over(onward) for o, c in lowest_from.items()})
+    cond = F.col("_k") == F.col("_kk")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    out = inner.join(per, cond).withColumns({o: F.greatest(F.col(o), F.col(f"_h{i}")) for i, o in enumerate(highest)} | {o: F.least(F.col(o), F.col(f"_l{i}")) for i, o in enumerate(lowest_from)})
+    return out.select(*df.columns, *highest, *lowest_from)
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, v, n): combined map-side, so duplicates never travel."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))

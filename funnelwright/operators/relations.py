@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from funnelwright.functions.scalars import month_key, shift
-from funnelwright.operators.ordered import running
+from funnelwright.operators.ordered import as_number, running
 
 
 def cap_outlier(c: str, top: float) -> tuple[Column, Column]:
@@ -69,14 +69,42 @@ def yoy_join(df: DataFrame, dt: str, columns: Sequence[str], year: int) -> DataF
     return cur.join(old, "_md").drop("_md")
 
 
-def interval_join(facts: DataFrame, spans: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """Facts inside [start, end] of a span with the same key; a null end is open. The keys carry the
-    join, the interval is a residual condition."""
-    s = spans.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in spans.columns if c not in keys])
-    cond = (F.col(ts) >= F.col(start)) & (F.col(end).isNull() | (F.col(ts) <= F.col(end)))
+CUTS = 64
+HOT_SHARE = 10_000
+
+
+def interval_join(facts: DataFrame, spans: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, how: str = "inner", bucket_rows: int = 500_000) -> DataFrame:
+    """Facts inside [start, end] of a span with the same key; a null end is open. ``how`` is inner, left, left_semi or
+    left_anti: every fact lies in one bucket, a span in all it touches.
+
+    Keys of more than ``bucket_rows`` facts and more than a ``HOT_SHARE``-th of all (so at most that many keys, with
+    ``CUTS`` numbers each) are cut at quantiles of their own facts' times, into as many buckets as their size asks for;
+    the join is on key and bucket. Other keys have one bucket.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("a span may lie in several buckets: only facts can be kept unmatched")
+    n = facts.where(F.col(ts).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(as_number(facts, ts), [k / CUTS for k in range(1, CUTS)], 50 * CUTS).alias("_q"))
+    least = F.greatest(F.lit(bucket_rows), facts.agg((F.count("*") / HOT_SHARE).cast("long").alias("x")).scalar())
+    buckets = F.least(F.lit(CUTS), F.ceil(F.col("_n") / least))
+    # Of the grid's cuts those that end a bucket; a value that is often a cut is one cut.
+    chosen = F.array_distinct(F.filter("_q", lambda q, k: F.floor((k + 1) * F.col("_b") / CUTS) > F.floor(k * F.col("_b") / CUTS)))
+    hot = n.where(F.col("_n") > least).withColumn("_b", buckets).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], chosen.alias("_cuts"))
+    hot = F.broadcast(hot)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_h{i}"))
+    gone = ["_cuts", *[f"_h{i}" for i in range(len(keys))]]
+    place = lambda x: F.coalesce(F.size(F.filter("_cuts", lambda q: q <= x)), F.lit(0))
+    f = facts.join(hot, same, "left").withColumn("_bucket", place(as_number(facts, ts))).drop(*gone)
+    s = spans.join(hot, same, "left")
+    last = F.when(F.col(end).isNull(), F.coalesce(F.size("_cuts"), F.lit(0))).otherwise(place(as_number(spans, end)))
+    first = place(as_number(spans, start))
+    s = s.withColumn("_bucket", F.explode(F.when(last >= first, F.sequence(first, last)))).select("_bucket", *[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in spans.columns if c not in keys])
+    s = s.withColumnRenamed("_bucket", "_span_bucket")
+    cond = (F.col("_bucket") == F.col("_span_bucket")) & (F.col(ts) >= F.col(start)) & (F.col(end).isNull() | (F.col(ts) <= F.col(end)))
     for k in keys:
         cond = (F.col(k) == F.col(f"_k_{k}")) & cond
-    return facts.join(s, cond, how).drop(*[f"_k_{k}" for k in keys])
+    return f.join(s, cond, how).drop("_bucket", "_span_bucket", *[f"_k_{k}" for k in keys])
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

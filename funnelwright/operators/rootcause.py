@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from funnelwright.functions.scalars import change, ratio
-from funnelwright.session import cut_lineage
 
 
 def _cells(df: DataFrame, metric: str, dims: Sequence[str], comparison: str) -> DataFrame:
@@ -62,11 +61,14 @@ def weighted_vs_unweighted(df: DataFrame, metric: str, weight: str, segment: str
 
 
 def suggest_segments(df: DataFrame, dims: Sequence[str], k: int = 5) -> DataFrame:
-    """Dimensions of 2–50 values ranked by unevenness of their group sizes, penalised beyond ten values."""
+    """Every dimension with the unevenness of its group sizes, penalised beyond ten values; ``suggested`` marks the
+    first ``k`` of those with 2–50 values."""
     long = df.unpivot([], [F.col(d).cast("string").alias(d) for d in dims], "dimension", "member").where("member is not null")
-    g = long.groupBy("dimension", "member").agg(F.count("*").alias("n")).groupBy("dimension").agg(F.count("*").alias("n_values"), (F.stddev_pop("n") / F.avg("n")).alias("cv")).where("n_values between 2 and 50")
+    g = long.groupBy("dimension", "member").agg(F.count("*").alias("n")).groupBy("dimension").agg(F.count("*").alias("n_values"), (F.stddev_pop("n") / F.avg("n")).alias("cv"))
     g = g.withColumn("score", F.col("cv") / (1.0 + F.greatest(F.col("n_values") - 10, F.lit(0)) * 0.1))
-    return g.orderBy(F.desc("score"), "dimension").limit(k)
+    fit = F.col("n_values").between(2, 50)
+    rank = F.row_number().over(W.orderBy(F.when(fit, 0).otherwise(1), F.desc("score"), "dimension"))  # one row per dimension
+    return g.withColumn("suggested", fit & (rank <= k))
 
 
 def contribution(df: DataFrame, dims: Sequence[str], metric: str, baseline: Column, period: Column, base_days: float, period_days: float) -> DataFrame:
@@ -87,12 +89,12 @@ def contribution(df: DataFrame, dims: Sequence[str], metric: str, baseline: Colu
 def drill_down(df: DataFrame, dims: Sequence[str], metric: str, baseline: Column, period: Column, base_days: float, period_days: float, max_depth: int = 7, min_depth: int = 3, rest: float = 0.1) -> DataFrame:
     """Follow the member that explains most of the excess, level by level.
 
-    The input shrinks once to one row per combination of dimensions, which is materialised; each level is then
-    one small job returning one row. Dimensions are paired when none explains the excess alone.
+    Each level is one scan of the rows left, grouped by every dimension left on its own (the members found so far are
+    filters that reach the files), and gives one row; combinations of dimensions are never formed but as pairs, when no
+    dimension explains the excess alone.
     """
     y = F.col(metric).cast("double")
-    cube = df.where(baseline | period).groupBy(*[F.col(d).cast("string").alias(d) for d in dims]).agg(F.sum(F.when(baseline, y).otherwise(0.0)).alias("_b"), F.sum(F.when(period, y).otherwise(0.0)).alias("_p"))
-    cube = cut_lineage(cube)
+    source = df.where(baseline | period).select(*[F.col(d).cast("string").alias(d) for d in dims], F.when(baseline, y).otherwise(0.0).alias("_b"), F.when(period, y).otherwise(0.0).alias("_p"))
 
     def best(scope: DataFrame, names: Sequence[str]):
         long = scope.unpivot(["_b", "_p"], list(names), "dimension", "member").groupBy("dimension", "member").agg((F.sum("_p") / period_days - F.sum("_b") / base_days).alias("change"))
@@ -102,7 +104,7 @@ def drill_down(df: DataFrame, dims: Sequence[str], metric: str, baseline: Column
         return g.orderBy(F.desc("top"), "dimension").first()
 
     schema = "level int, dimension string, member string, share double, change double, excess double, power string"
-    rows, left, scope, first = [], list(dims), cube, None
+    rows, left, scope, first = [], list(dims), source, None
     for level in range(1, max_depth + 1):
         if not left:
             break
@@ -151,7 +153,9 @@ def mix_rate(df: DataFrame, dim: str, num: Column, den: Column, pre: Column, pos
     g = df.groupBy(F.col(dim).alias("member")).agg(
         *[F.coalesce(F.sum(F.when(c, x)), F.lit(0)).cast("double").alias(f"{k}_{p}") for p, c in (("pre", pre), ("post", post)) for k, x in (("n", num), ("d", den))]
     )
-    w = W.partitionBy()  # one row per member
-    share = lambda p: ratio(f"d_{p}", F.sum(f"d_{p}").over(w))
+    # Totals from their own aggregation, so members of any number stay apart.
+    totals = df.agg(F.struct(*[F.coalesce(F.sum(F.when(c, den)), F.lit(0)).cast("double").alias(p) for p, c in (("pre", pre), ("post", post))]).alias("t")).scalar()
+    g = g.withColumn("_t", totals)
+    share = lambda p: ratio(f"d_{p}", f"_t.{p}")
     g = g.withColumns({"share_pre": share("pre"), "share_post": share("post"), "rate_pre": F.coalesce(ratio("n_pre", "d_pre"), F.lit(0.0)), "rate_post": F.coalesce(ratio("n_post", "d_post"), F.lit(0.0))})
     return g.select("member", "share_pre", "share_post", "rate_pre", "rate_post", ((F.col("share_post") - F.col("share_pre")) * F.col("rate_pre")).alias("mix_effect"), (F.col("share_post") * (F.col("rate_post") - F.col("rate_pre"))).alias("rate_effect"))

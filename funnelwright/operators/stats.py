@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from funnelwright.functions import dist
 from funnelwright.functions.scalars import ratio
 from funnelwright.operators.aggregates import histogram, moments
-from funnelwright.operators.ordered import quantiles, running, value_counts
-from funnelwright.operators.relations import pairs
+from funnelwright.operators.ordered import BLOCK, extremes, quantiles, ranked_counts, running, value_counts
 from funnelwright.session import cut_lineage
 
 Z975 = dist.norm_ppf(0.975)
@@ -136,44 +135,67 @@ def chi2_independence(df: DataFrame, row: str, column: str) -> DataFrame:
 _POISSON1 = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
 
 
-def poisson_weight(seed: int, *keys: Column) -> Column:
-    u = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    w = F.lit(len(_POISSON1))
-    for k in reversed(range(len(_POISSON1))):
-        w = F.when(u < _POISSON1[k], k).otherwise(w)
-    return w
+_MASK = (1 << 32) - 1
+
+
+def with_poisson_weights(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """``_w0``, ``_w1``, ...: a weight of every replicate from whole-number arithmetic on an integer ``key``.
+
+    Uniform draws from three rounds of xor-shift and multiplication modulo 2^32 over both halves of the key, the same
+    in any SQL engine. Each round is a projection of its own, so that no expression is repeated.
+    """
+    half, mask = "({x} ^ shiftright({x}, 16))", f"{_MASK}L"
+    mix = f"({half} * 73244475L) & {mask}"
+    weight = "case " + " ".join(f"when {{x}} < {p:.17e} then {k}" for k, p in enumerate(_POISSON1)) + f" else {len(_POISSON1)} end"
+    first = {f"_w{b}": (seed * 2654435769 + (b + 1) * 40503) & _MASK for b in range(replicates)}
+    out = df.selectExpr("*", *[f"({key} & {mask}) ^ {start}L as {n}" for n, start in first.items()])
+    for f in (f"({mix}) ^ shiftrightunsigned({key}, 32)", mix, mix, f"cast({half} as double) / {float(1 << 32)!r}D", weight):
+        out = out.selectExpr(*[f"`{c}`" for c in df.columns], *[f"{f.format(x=n)} as {n}" for n in first])
+    return out
 
 
 def bootstrap_ci(df: DataFrame, key: str, value: str, stat: Callable[[Column, Column], Column], replicates: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of ``stat(value, weight)`` over Poisson resamples.
 
-    Each row draws its weight from a seeded hash of its key, so replicates need no data movement beyond one
-    combined row per replicate and task.
+    Each row draws its weight of every replicate from a seeded hash of its key (an integer, else its 64-bit hash). The
+    replicates are columns of one aggregation, so no row is repeated and a task sends one row of sums.
     """
-    x = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
-    reps = x.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight(seed, F.col("_k"), F.col("_b")))
-    per = reps.where("_w > 0").groupBy("_b").agg(stat(F.col("_v"), F.col("_w")).alias("s"))
-    lo, hi = (1 - confidence) / 2, 1 - (1 - confidence) / 2
-    g = per.agg(F.percentile("s", F.lit(lo)).alias("ci_lower"), F.percentile("s", F.lit(hi)).alias("ci_upper"), F.count("*").alias("replicates"))
-    return g.withColumn("stat", x.agg(stat(F.col("_v"), F.lit(1)).alias("s")).scalar())
+    k = F.col(key).cast("long") if dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(key)
+    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), k.alias("_k"))
+    x = with_poisson_weights(x, "_k", replicates, seed)
+    per = x.agg(stat(F.col("_v"), F.lit(1)).alias("stat"), *[stat(F.col("_v"), F.col(f"_w{b}")).alias(f"_s{b}") for b in range(replicates)])
+    # One row: the replicates' values in order, those that could not be formed left out.
+    own = per.select("stat", F.array_sort(F.filter(F.array(*[f"_s{b}" for b in range(replicates)]), lambda s: s.isNotNull())).alias("s"))
+    n = F.size("s")
+
+    def at(p: float) -> Column:
+        h = (n - 1) * F.lit(p)
+        lo, hi = F.get("s", F.floor(h).cast("int")), F.get("s", F.ceil(h).cast("int"))
+        return lo + (hi - lo) * (h - F.floor(h))
+
+    edge = (1 - confidence) / 2
+    return own.select(at(edge).alias("ci_lower"), at(1 - edge).alias("ci_upper"), n.cast("long").alias("replicates"), "stat")
 
 
 def weighted_mean_stat(v: Column, w: Column) -> Column:
     return F.sum(v * w) / F.sum(w)
 
 
-def adjust_pvalues(df: DataFrame, p: str, family: Sequence[str], key: str) -> DataFrame:
-    """Bonferroni, Holm and Benjamini-Hochberg per family of tests."""
-    fam = W.partitionBy(*family)
-    up = fam.orderBy(p, key)
-    n, rank = F.count("*").over(fam), F.row_number().over(up)
-    d = df.withColumns({"_n": n, "_r": rank})
+def adjust_pvalues(df: DataFrame, p: str, family: Sequence[str], key: str, block: int = BLOCK) -> DataFrame:
+    """Bonferroni, Holm and Benjamini-Hochberg per family of tests, of any size.
+
+    Tests are ranked piece by piece; Holm's running maximum and the other's minimum from a test on are carried over
+    blocks of ranks.
+    """
+    n = df.groupBy(*family).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(family)], "_n")
+    same = F.lit(True)
+    for i, c in enumerate(family):
+        same = same & F.col(c).eqNullSafe(F.col(f"_f{i}"))
+    d = running(df, family, [p, key], row_number="_r").join(n, same).drop(*[f"_f{i}" for i in range(len(family))])
     d = d.withColumns({"_h": F.col(p) * (F.col("_n") - F.col("_r") + 1), "_q": F.col(p) * F.col("_n") / F.col("_r")})
-    upto = up.rowsBetween(W.unboundedPreceding, 0)
-    after = up.rowsBetween(0, W.unboundedFollowing)
-    return d.withColumns({
-        "bonferroni": F.least(F.col(p) * F.col("_n"), F.lit(1.0)), "holm": F.least(F.max("_h").over(upto), F.lit(1.0)), "bh": F.least(F.min("_q").over(after), F.lit(1.0)),
-    }).drop("_n", "_r", "_h", "_q")
+    d = extremes(d, family, ["_r"], highest={"holm": "_h"}, lowest_from={"bh": "_q"}, block=block, number="_r")
+    one = F.lit(1.0)
+    return d.withColumns({"bonferroni": F.least(F.col(p) * F.col("_n"), one), "holm": F.least("holm", one), "bh": F.least("bh", one)}).drop("_n", "_r", "_h", "_q")
 
 
 def k_squared(n: Column, g1: Column, g2: Column) -> dict[str, Column]:
@@ -254,15 +276,22 @@ def segment_stats(df: DataFrame, segment: str, metric: str, median: bool = True)
     return m.withColumns(k_squared(F.col("n"), F.col("skew_biased"), F.col("kurt_biased"))).withColumn("use_rank", (F.col("n") < 30) | F.coalesce(F.col("p_normal") < 0.05, F.lit(False)))
 
 
-def compare_segments(df: DataFrame, segment: str, metric: str) -> DataFrame:
-    """Every pair of segments: rank test when any segment is small or not normal, Welch's t otherwise.
+def compare_segments(df: DataFrame, segment: str, metric: str, each: bool = False) -> DataFrame:
+    """Every pair of segments: rank test when any segment (with ``each``: of the pair) is small or not normal, else
+    Welch's t.
 
-    The pairs are the wanted rows. Each segment's value counts (not its rows) meet the other segments once.
+    The pairs are the wanted rows, made from one row per segment; each segment's value counts (not its rows) go to its
+    pairs. For many segments see :func:`segments_vs_rest`.
     """
     s = segment_stats(df, segment, metric, median=False).select(F.col(segment).alias("seg"), "n", "mean", (F.col("sd") * F.col("sd")).alias("var"), "use_rank")
     # One row per segment, read many times below: written once so the data is not aggregated again for each use.
     s = cut_lineage(s)
-    p = pairs(s, "seg", ["n", "mean", "var"])
+    every = s.agg(F.sort_array(F.collect_list(F.struct("seg", "n", "mean", "var", "use_rank"))).alias("all"), F.bool_or("use_rank").alias("_rank"), (F.count("*") * (F.count("*") - 1) / 2).alias("n_pairs"))
+    a = every.select("all", "_rank", "n_pairs", F.posexplode("all").alias("i", "a"))
+    p = a.select("_rank", "n_pairs", "a", F.explode(F.filter("all", lambda x, k: k > F.col("i"))).alias("b"))
+    p = p.select("_rank", "n_pairs", *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("seg", "n", "mean", "var", "use_rank")])
+    if each:
+        p = p.withColumn("_rank", F.col("use_rank_a") | F.col("use_rank_b"))
     w = _welch(F.col("n_a"), F.col("mean_a"), F.col("var_a"), F.col("n_b"), F.col("mean_b"), F.col("var_b"))
     p = p.withColumns(w).withColumn("cohens_d", -F.col("cohens_d"))
     vc = value_counts(df.where(F.col(segment).isNotNull()), [segment], metric)
@@ -270,13 +299,47 @@ def compare_segments(df: DataFrame, segment: str, metric: str) -> DataFrame:
     j = sides.join(vc, F.col("_seg") == F.col(segment))
     counts = j.groupBy("seg_a", "seg_b", "v").agg(*[F.coalesce(F.sum(F.when(F.col("_seg") == F.col(f"seg_{x}"), F.col("n"))), F.lit(0)).alias(f"n_{x}") for x in "ab"])
     u = _rank_sums(counts, ["seg_a", "seg_b"]).select("seg_a", "seg_b", "u", "z")
-    rank = s.agg(F.bool_or("use_rank").alias("x")).scalar()
-    n_pairs = s.agg((F.count("*") * (F.count("*") - 1) / 2).alias("x")).scalar()
-    out = p.join(u, ["seg_a", "seg_b"]).withColumns({"_rank": rank, "n_pairs": n_pairs})
+    out = p.join(u, ["seg_a", "seg_b"])
     return out.select("seg_a", "seg_b", F.when(F.col("_rank"), "mann-whitney").otherwise("welch-t").alias("test_used"), F.when(F.col("_rank"), F.col("u")).otherwise(F.col("t")).alias("stat"),
                       F.col("cohens_d").alias("effect_size"), "t", "df", "z", "n_pairs")
 
 
+def segments_vs_rest(df: DataFrame, segment: str, metric: str) -> DataFrame:
+    """Each segment against all other rows together, linear in rows and segments.
+
+    One pooled ranking of the values gives every segment's rank sum; the mean and variance of the rest follow from the
+    totals. The test is chosen for each comparison: the rank test where the segment or the rest is small or the segment
+    is not normal, Welch's t otherwise. Columns as :func:`compare_segments`, with ``segment`` in place of the pair.
+    """
+    d = df.where(F.col(segment).isNotNull() & F.col(metric).isNotNull()).select(F.col(segment).alias("segment"), F.col(metric).cast("double").alias("_x"))
+    vc = value_counts(d, ["segment"], "_x")
+    pooled = vc.groupBy("v").agg(F.sum("n").alias("n"))
+    # Mean rank and tie term of each value, once for all segments.
+    ranks = running(pooled, [], ["v"], sums={"cum": "n"}).select(F.col("v").alias("_v"), (F.col("cum") - (F.col("n") - 1) / 2.0).alias("rank"), (F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n")).alias("tie"))
+    sums = vc.join(ranks, F.col("v") == F.col("_v")).groupBy("segment").agg(F.sum(F.col("n") * F.col("rank")).alias("rank_sum"))
+    ties = ranks.agg(F.sum("tie").alias("t")).scalar()
+    s = segment_stats(d, "segment", "_x", median=False).select("segment", "n", "mean", (F.col("sd") * F.col("sd")).alias("var"), "use_rank")
+    # Deviations from each segment's own mean, combined around the mean of the rest: large means cancel nothing.
+    total = s.agg(F.struct(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.count("*").alias("segments")).alias("t"))
+    s = s.withColumn("_t", total.scalar())
+    own = (F.col("n") - 1) * F.coalesce("var", F.lit(0.0)) + F.col("n") * (F.col("mean") - F.col("_t.mean")) * (F.col("mean") - F.col("_t.mean"))
+    spread = s.agg(F.sum(own).alias("ss")).scalar()
+    nr = F.col("_t.n") - F.col("n")
+    mean_r = F.col("_t.mean") - F.col("n") * (F.col("mean") - F.col("_t.mean")) / nr
+    s = s.where(nr > 0).withColumns({"n_r": nr, "mean_r": mean_r, "n_comparisons": F.col("_t.segments")})
+    var_r = F.when(F.col("n_r") > 1, F.greatest(F.lit(0.0), (spread - own - F.col("n_r") * (F.col("mean_r") - F.col("_t.mean")) * (F.col("mean_r") - F.col("_t.mean"))) / (F.col("n_r") - 1)))
+    s = s.withColumn("var_r", var_r).join(sums, "segment")
+    w = _welch(F.col("n"), F.col("mean"), F.col("var"), F.col("n_r"), F.col("mean_r"), F.col("var_r"))
+    s = s.withColumns(w).withColumn("cohens_d", -F.col("cohens_d"))
+    n, m, all_ = F.col("n"), F.col("n_r"), F.col("n") + F.col("n_r")
+    u = F.col("rank_sum") - n * (n + 1) / 2
+    sd = F.sqrt(n * m / 12 * (all_ + 1 - F.coalesce(ties, F.lit(0.0)) / (all_ * (all_ - 1))))
+    z = F.coalesce(F.try_divide(F.greatest(u, n * m - u) - n * m / 2 - 0.5, sd), F.lit(0.0))
+    s = s.withColumns({"u": u, "z": z, "_rank": F.col("use_rank") | (F.col("n_r") < 30)})
+    return s.select("segment", F.when(F.col("_rank"), "mann-whitney").otherwise("welch-t").alias("test_used"), F.when(F.col("_rank"), F.col("u")).otherwise(F.col("t")).alias("stat"),
+                    F.col("cohens_d").alias("effect_size"), "t", "df", "z", F.col("n_comparisons").alias("n_pairs"))
+
+
 def with_pairwise_p(compared: DataFrame) -> DataFrame:
     """Two-sided p values with Bonferroni correction."""
     d = compared.withColumns({"_pz": dist.p_norm_two_sided("z"), "_pt": dist.p_t_two_sided("t", "df")})

@@ -125,14 +125,13 @@ def _(t):
 
 @query("w03_trailing_moving", f"""with {MONTHLY} select s, m, case when count(v) over w >= 2 then round(avg(v) over w,4) end as mean, case when count(v) over w >= 2 then round(stddev_samp(v) over w,2) end as sd from m window w as (partition by s order by m rows between 6 preceding and current row)""")
 def _(t):
-    mean, sd = A.moving("v", ["s"], "m", 7, 2)
-    return monthly(t).select("s", "m", r(mean, 4).alias("mean"), r(sd, 2).alias("sd"))
+    return A.moving(monthly(t), "v", ["s"], "m", 7, 2).select("s", "m", r("moving_mean", 4).alias("mean"), r("moving_sd", 2).alias("sd"))
 
 
 @query("w04_prior_window_z", f"""with {MONTHLY}, z as (select s, m, n, avg(n) over w as mu, stddev_samp(n) over w as sd, count(n) over w as c from m window w as (partition by s order by m rows between 7 preceding and 1 preceding))
    select s, m, case when c = 7 and sd > 0 then round((n-mu)/sd,6)+0.0 end as z from z""")
 def _(t):
-    return monthly(t).select("s", "m", r(A.prior_z("n", ["s"], "m", 7)).alias("z"))
+    return A.prior_z(monthly(t), "n", ["s"], "m", 7).select("s", "m", r("z").alias("z"))
 
 
 @query("w05_running_share", """with d as (select cast(o_orderdate as date) as dt, count(*) as n from orders group by 1) select dt, sum(n) over (order by dt)::bigint as cum, round(sum(n) over (order by dt)/(select sum(n) from d)::double,6) as share from d""")
@@ -158,7 +157,7 @@ def _(t):
    select s, m, sum(f) over (partition by s order by m rows between 2 preceding and current row)::bigint as of3, sum(f) over (partition by s order by m rows between 4 preceding and current row)::bigint as of5, sum(f) over (partition by s order by m rows between 7 preceding and current row)::bigint as of8 from f""")
 def _(t):
     f = monthly(t).withColumn("f", (F.col("n") > F.avg("n").over(W.partitionBy("s"))).cast("int"))
-    return f.select("s", "m", *[A.run_length("f", ["s"], "m", k).alias(f"of{k}") for k in (3, 5, 8)])
+    return A.run_length(f, "f", ["s"], "m", (3, 5, 8)).select("s", "m", "of3", "of5", "of8")
 
 
 @query("w09_islands_and_gaps", """with d as (select distinct o_custkey % 40 as k, cast(o_orderdate as date) as dt from orders), g as (select k, dt, dt - cast(row_number() over (partition by k order by dt) as integer) as grp from d)

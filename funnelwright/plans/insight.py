@@ -79,7 +79,7 @@ def _(t):
 @query("l06_lineage_ancestors", f"with recursive {EDGE_SQL}, an as (select 's' || (select max(p_partkey) from part) as step, 0 as depth union select ed.parent, an.depth+1 from an join ed on ed.child=an.step) select step, min(depth)::int as depth from an group by 1")
 def _(t):
     start = t.part.agg(F.concat(F.lit("s"), F.max("p_partkey")).alias("step"))
-    return L.lineage_ancestors(L.lineage_edges(step_log(t)), start)
+    return L.lineage_ancestors(step_log(t), start)
 
 
 @query("l07_miss_summary", """with m as (select 'k' || (user_id%4) as kind, count(*) as n, count(case when ts > timestamp '2024-01-18' and ts <= timestamp '2024-01-25' then 1 end) as recent from events where event_type='error' group by 1) select kind, n, recent, round(n/sum(n) over ()::double,6) as share, round(recent/7.0,6)::double as per_day from m""")

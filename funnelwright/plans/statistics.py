@@ -103,15 +103,25 @@ def _(t):
     return d.withColumn("p_value", dist.p_chi2("chi2", "dof")).withColumn("label", D.significance_label("p_value"))
 
 
-@query("d08_bootstrap_ci")
+def boot_sql(stat, plain, n=100, seed=42):
+    """The same draws: three rounds of xor-shift and multiplication modulo 2^32 over both halves of the key."""
+    m, mix = 4294967295, lambda x: f"((xor({x}, {x} >> 16) * 73244475) & {m})"
+    weight = "case " + " ".join(f"when u < {p:.17e} then {k}" for k, p in enumerate(D._POISSON1)) + f" else {len(D._POISSON1)} end"
+    return f"""with b as (select unnest(range(1, {n + 1}))::bigint as b), k as (select o_orderkey::bigint as k, o_totalprice as v from orders), s0 as (select b, k, v, xor(k & {m}, ({seed * 2654435769}::bigint + b * 40503) & {m}) as x from k, b),
+      s1 as (select b, k, v, {mix('x')} as x from s0), s2 as (select b, v, xor(x, k >> 32) as x from s1), s3 as (select b, v, {mix('x')} as x from s2), s4 as (select b, v, {mix('x')} as x from s3), s5 as (select b, v, xor(x, x >> 16) / 4294967296.0::double as u from s4),
+      w as (select b, v, {weight} as w from s5), r as (select b, {stat} as s from w group by b)
+      select round(quantile_cont(s, 0.025), 4) as ci_lower, round(quantile_cont(s, 0.975), 4) as ci_upper, count(s) as replicates, (select round({plain}, 4) from orders) as stat from r"""
+
+
+@query("d08_bootstrap_ci", boot_sql("sum(v * w) / sum(w)", "avg(o_totalprice)"))
 def _(t):
-    return D.bootstrap_ci(t.orders, "o_orderkey", "o_totalprice", D.weighted_mean_stat, replicates=100)
+    return OUT(D.bootstrap_ci(t.orders, "o_orderkey", "o_totalprice", D.weighted_mean_stat, replicates=100), ["replicates"], ["ci_lower", "ci_upper", "stat"], 4)
 
 
-@query("y01_bootstrap_custom_statistic")
+@query("y01_bootstrap_custom_statistic", boot_sql("sum(case when v > 300000 then w else 0 end) / sum(w)::double", "sum((o_totalprice > 300000)::int) / count(*)::double"))
 def _(t):
     share = lambda v, w: F.sum(F.when(v > 300000, w).otherwise(0)) / F.sum(w)
-    return D.bootstrap_ci(t.orders, "o_orderkey", "o_totalprice", share, replicates=100)
+    return OUT(D.bootstrap_ci(t.orders, "o_orderkey", "o_totalprice", share, replicates=100), ["replicates"], ["ci_lower", "ci_upper", "stat"], 4)
 
 
 PV = "p as (select o_orderstatus as fam, o_custkey % 50 as k, least(1.0, abs(avg(o_totalprice) - 250000)/90000) as p from orders group by 1,2)"
@@ -175,6 +185,15 @@ def _(t):
     return d.select("seg_a", "seg_b", "test_used", "stat", r("effect_size").alias("effect_size"))
 
 
+@query("d12_segments_vs_rest", """with x as (select c_mktsegment s, c_acctbal v from customer), g as (select s, count(*)::double n, avg(v) m, var_samp(v) va from x group by 1), o as (select g.s, count(*)::double n, avg(v) m, var_samp(v) va from g join x on x.s<>g.s group by 1),
+  rk as (select s, rank() over (order by v) + (count(*) over (partition by v)-1)/2.0 as r from x), u as (select s, sum(r) as rs from rk group by 1), tie as (select sum(c*c*c-c)::double as t from (select count(*)::double c from x group by v)),
+  j as (select g.s, g.n, o.n as nr, g.m, o.m as mr, g.va, o.va as vr, rs - g.n*(g.n+1)/2 as u, t from g join o using (s) join u using (s), tie)
+  select s as segment, 'mann-whitney' as test_used, round(u,4)::double as stat, round((m-mr)/sqrt(((n-1)*va+(nr-1)*vr)/(n+nr-2)),6)+0.0 as effect_size, round((greatest(u, n*nr-u)-n*nr/2-0.5)/sqrt(n*nr/12*(n+nr+1-t/((n+nr)*(n+nr-1)))),5)::double as z from j""")
+def _(t):
+    d = D.segments_vs_rest(t.customer, "c_mktsegment", "c_acctbal")
+    return d.select("segment", "test_used", r("stat", 4).alias("stat"), r("effect_size").alias("effect_size"), r("z", 5).alias("z"))
+
+
 @query("d12_compare_segments_p")
 def _(t):
     return D.with_pairwise_p(D.compare_segments(t.customer, "c_mktsegment", "c_acctbal"))

@@ -297,10 +297,11 @@ def _(t):
 
 
 @query("v39_suggest_segments", """with l as (select 'o_orderstatus' dimension, o_orderstatus m from orders union all select 'o_orderpriority', o_orderpriority from orders union all select 'yr', year(o_orderdate)::varchar from orders union all select 'o_custkey', o_custkey::varchar from orders union all select 'day', day(o_orderdate)::varchar from orders), g as (select dimension, m, count(*) n from l group by 1,2), s as (select dimension, count(*) n_values, stddev_pop(n)/avg(n) cv from g group by 1)
-  select dimension, n_values, round(cv,6) as cv, round(cv/(1+greatest(n_values-10,0)*0.1),6) as score from s where n_values between 2 and 50""")
+  , t as (select dimension, n_values, cv, cv/(1+greatest(n_values-10,0)*0.1) as sc from s)
+  select dimension, n_values, round(cv,6) as cv, round(sc,6) as score, n_values between 2 and 50 and row_number() over (order by case when n_values between 2 and 50 then 0 else 1 end, sc desc, dimension) <= 5 as suggested from t""")
 def _(t):
     o = t.orders.select("o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("yr"), "o_custkey", F.dayofmonth("o_orderdate").alias("day"))
-    return OUT(RC.suggest_segments(o, ["o_orderstatus", "o_orderpriority", "yr", "o_custkey", "day"]), ["dimension", "n_values"], ["cv", "score"])
+    return OUT(RC.suggest_segments(o, ["o_orderstatus", "o_orderpriority", "yr", "o_custkey", "day"]), ["dimension", "n_values", "suggested"], ["cv", "score"])
 
 
 def scored(t):

@@ -27,19 +27,98 @@ def read_events(spark: SparkSession, folder: str, file_glob: str = "events.parqu
 
 
 def stream_funnel_panel(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Daily stage counts; distinct users are approximate because exact distinct needs unbounded state."""
+    """Stage counts and exact distinct users of each day, given out when the watermark closes the day.
+
+    State is one row per open day and user, then one per open day; both go when the day is given out.
+    """
     n = lambda t: F.count(F.when(F.col("event_type") == t, 1))
-    g = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(
-        F.approx_count_distinct("user_id", 0.02).alias("uv_all"), n("view").alias("exp_pv"), n("click").alias("detail_pv"), n("signup").alias("order_pv"), n("purchase").alias("pay_pv")
+    day = F.window("ts", "1 day")
+    user = events.withWatermark("ts", late).groupBy(day.alias("window"), "user_id").agg(n("view").alias("v"), n("click").alias("c"), n("signup").alias("s"), n("purchase").alias("p"))
+    g = user.groupBy(F.window(F.window_time("window"), "1 day").alias("day")).agg(
+        F.count("user_id").alias("uv_all"), F.sum("v").alias("exp_pv"), F.sum("c").alias("detail_pv"), F.sum("s").alias("order_pv"), F.sum("p").alias("pay_pv")
     )
-    return g.select(F.to_date("window.start").alias("dt"), "uv_all", "exp_pv", "detail_pv", "order_pv", "pay_pv")
+    return g.select(F.to_date("day.start").alias("dt"), "uv_all", "exp_pv", "detail_pv", "order_pv", "pay_pv")
 
 
 def stream_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions by a pause, each given out once, when the watermark has passed its end; its state goes with it."""
     g = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
     return g.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
+VISITS = "user_id long, visit_start timestamp, visit_end timestamp, events long, furthest int"
+STAGES = ("view", "click", "signup", "purchase")
+
+
+def stream_visits(events: DataFrame, gap_seconds: int = 1800, late: str = "1 hour") -> DataFrame:
+    """Visits with the furthest funnel stage reached, from keyed state with event-time timers.
+
+    A user's open visits are a map from first to last event; an event joins or merges the visits within the pause. A
+    timer at the end of each visit gives it out and removes it, so state holds open visits only. Needs the RocksDB
+    state store (:func:`with_keyed_state`).
+    """
+    stage = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.col("event_type")), F.lit(0)).cast("int")
+    x = events.withWatermark("ts", late).select("user_id", "ts", stage.alias("stage"))
+    return x.groupBy("user_id").transformWithState(statefulProcessor=_visits(gap_seconds), outputStructType=VISITS, outputMode="append", timeMode="eventTime")
+
+
+def _visits(gap_seconds: int):
+    import datetime as dt
+
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    gap = gap_seconds * 1_000_000
+    epoch = dt.datetime(1970, 1, 1)
+    micros = lambda t: (t.replace(tzinfo=None) - epoch) // dt.timedelta(microseconds=1)
+    moment = lambda us: epoch + dt.timedelta(microseconds=us)
+
+    class Visits(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.open = handle.getMapState("open", "first long", "last long, events long, furthest int")
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = {k[0]: tuple(v) for k, v in self.open.iterator()}
+            was = dict(held)
+            for r in rows:
+                at = micros(r.ts)
+                first, last, n, furthest = at, at, 1, r.stage
+                for k, (end, own, far) in list(held.items()):
+                    if k - gap < at < end + gap:
+                        first, last, n, furthest = min(first, k), max(last, end), n + own, max(furthest, far)
+                        del held[k]
+                held[first] = (last, n, furthest)
+            for k in was.keys() - held.keys():
+                self.open.removeKey((k,))
+            for k, v in held.items():
+                if was.get(k) != v:
+                    self.open.updateValue((k,), v)
+                    self.handle.registerTimer((v[0] + gap) // 1000)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            passed = expiredTimerInfo.getExpiryTimeInMs()
+            # A visit that went on has a later timer of its own.
+            for k, (end, n, furthest) in sorted((k[0], tuple(v)) for k, v in self.open.iterator()):
+                if (end + gap) // 1000 <= passed:
+                    self.open.removeKey((k,))
+                    yield Row(user_id=key[0], visit_start=moment(k), visit_end=moment(end), events=n, furthest=furthest)
+
+        def close(self) -> None:
+            pass
+
+    return Visits()
+
+
+def with_keyed_state(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep state in RocksDB, which keyed state needs."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 def stream_dedup(events: DataFrame, late: str = "1 day") -> DataFrame:
     """First copy of each event id among those within the watermark of each other."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
@@ -56,20 +135,21 @@ def work_folder(spark: SparkSession) -> str:
     return scratch_folder(spark, "stream")
 
 
-def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Process what the source holds and return the written result.
+def run_available(stream: DataFrame, each: Callable[[DataFrame], DataFrame] | None = None, progress: list | None = None) -> DataFrame:
+    """Process what the source holds and return what was given out, with the batch's number as ``batch_id``.
 
-    Complete-mode results replace the file set each batch; append-mode batches land in their own folder, so a
-    batch that is replayed after a failure overwrites itself.
+    Every batch lands in a folder of its own, so a batch that is replayed after a failure overwrites itself and a
+    reader never meets a folder that is being replaced. ``progress`` receives the query's progress reports.
     """
     spark = stream.sparkSession
     folder = work_folder(spark)
     out = f"{folder}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        df = each(batch) if each else batch
-        df.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch_id={batch_id}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
+    if progress is not None:
+        progress.extend(q.recentProgress)
     return spark.read.parquet(out)

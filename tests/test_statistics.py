@@ -140,3 +140,52 @@ def test_trend_words(spark):
     s = {"increasing": [10 + i for i in range(20)], "decreasing": [40 - i for i in range(20)], "stable": [10, 10.01] * 10, "volatile": [1, 50] * 10, "unknown": [1, 2, 3]}
     df = spark.createDataFrame([(k, i, float(v)) for k, x in s.items() for i, v in enumerate(x)], "k string, i int, v double")
     assert {r["k"]: r["trend"] for r in Q.linear_trend(df, ["k"], "i", "v").collect()} == {k: k for k in s}
+
+
+@pytest.mark.parametrize("block", [10, 100_000])
+def test_adjusted_p_values_of_a_large_family(spark, block):
+    """One family over many pieces against the plain step procedures."""
+    rng = np.random.default_rng(4)
+    p = np.round(rng.uniform(0, 0.2, 3_000) ** 2, 6)
+    df = spark.createDataFrame([("f" if i % 10 else None, i, float(x)) for i, x in enumerate(p)], "f string, i long, p double").repartition(8)
+    got = {r.i: r for r in D.adjust_pvalues(df, "p", ["f"], "i", block=block).collect()}
+    for own in ([i for i in range(3_000) if i % 10], [i for i in range(3_000) if i % 10 == 0]):
+        own.sort(key=lambda i: (p[i], i))
+        n, high, low = len(own), 0.0, 1.0
+        holm = [high := max(high, p[i] * (n - k)) for k, i in enumerate(own)]
+        bh = [low := min(low, p[i] * n / (k + 1)) for k, i in reversed(list(enumerate(own)))][::-1]
+        for k, i in enumerate(own):
+            np.testing.assert_allclose((got[i].holm, got[i].bh, got[i].bonferroni), (min(holm[k], 1), min(bh[k], 1), min(p[i] * n, 1)))
+
+
+def test_segments_against_the_rest(spark):
+    """Each comparison has its own test: the skewed segment is ranked, the others are Welch's."""
+    rng = np.random.default_rng(11)
+    data = [("a", x) for x in rng.normal(10, 2, 200)] + [("b", x) for x in rng.normal(11, 2, 300)] + [("c", x) for x in rng.exponential(9, 80)]
+    data = [(s, float(np.round(x, 1))) for s, x in data]
+    df = spark.createDataFrame(data, "s string, x double")
+    got = {r.segment: r for r in D.segments_vs_rest(df, "s", "x").collect()}
+    assert {s: r.test_used for s, r in got.items()} == {"a": "welch-t", "b": "welch-t", "c": "mann-whitney"}
+    for s in "abc":
+        x, y = np.array([v for k, v in data if k == s]), np.array([v for k, v in data if k != s])
+        n, m = len(x), len(y)
+        u = (x[:, None] > y).sum() + 0.5 * (x[:, None] == y).sum()
+        va, vb = x.var(ddof=1) / n, y.var(ddof=1) / m
+        np.testing.assert_allclose(got[s].t, (x.mean() - y.mean()) / np.sqrt(va + vb))
+        np.testing.assert_allclose(got[s].effect_size, (x.mean() - y.mean()) / np.sqrt(((n - 1) * x.var(ddof=1) + (m - 1) * y.var(ddof=1)) / (n + m - 2)))
+        ties = np.unique(np.concatenate([x, y]), return_counts=True)[1].astype(float)
+        sd = np.sqrt(n * m / 12 * (n + m + 1 - (ties**3 - ties).sum() / ((n + m) * (n + m - 1))))
+        np.testing.assert_allclose(got[s].z, (max(u, n * m - u) - n * m / 2 - 0.5) / sd)
+        if s == "c":
+            assert got[s].stat == u
+    each = {(r.seg_a, r.seg_b): r.test_used for r in D.compare_segments(df, "s", "x", each=True).collect()}
+    assert each == {("a", "b"): "welch-t", ("a", "c"): "mann-whitney", ("b", "c"): "mann-whitney"}
+    plan = D.compare_segments(df, "s", "x")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bootstrap_repeats_no_row(spark):
+    df = spark.range(1_000).select("id", F.rand(3).alias("x"))
+    out = D.bootstrap_ci(df, "id", "x", D.weighted_mean_stat, replicates=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and out.first().replicates == 50
