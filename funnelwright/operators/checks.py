@@ -500,6 +500,12 @@ def tieout(a: DataFrame, b: DataFrame, tol: float = 0.0001, floor: float = 0.01)
     return j.withColumns({"diff": d, "severity": status})
 
 
+def check_simpson(found: DataFrame, subject: str, core: bool = True) -> DataFrame:
+    """Paradoxes among the dimensions of ``rootcause.simpson``: any blocks for a core metric, else it warns."""
+    g = found.agg(F.count(F.when(F.col("paradox"), 1)).alias("n"))
+    return one(g, row("simpson", subject, bad_if(F.col("n") > 0, BLOCKER if core else WARNING), F.col("n"), 0, F.col("n")))
+
+
 # --- confidence ----------------------------------------------------------------------------
 
 LAYERS = {

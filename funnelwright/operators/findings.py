@@ -73,8 +73,9 @@ def contradictions(df: DataFrame, metric: str = "metric_name", large: float = 0.
     return j.select("finding_id", metric, "direction", rule1.alias("same_metric"), rule2.alias("large_decline"), rule3.alias("both_confident"))
 
 
-def meta_patterns(df: DataFrame) -> DataFrame:
-    """Dimension words in at least two findings, and whether directions agree."""
+def meta_patterns(df: DataFrame, themes: DataFrame | None = None) -> DataFrame:
+    """Dimension words in at least two findings, whether directions agree and, with the ``themes`` of
+    :func:`theme_findings`, themes that hold two or more high scores."""
     words = F.array(*[F.lit(w) for w in DIMENSION_WORDS])
     hit = F.filter(words, lambda w: F.contains(F.lower(F.col("description")), w))
     w = df.select(F.explode(hit).alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n >= 2").select(F.lit("dimension").alias("pattern"), "name", "n")
@@ -82,7 +83,10 @@ def meta_patterns(df: DataFrame) -> DataFrame:
     total = F.count(F.when(F.col("direction") != "", 1))
     kind = F.when((total >= 2) & (up == total), "all up").when((total >= 2) & (down == total), "all down").when((up >= 2) & (down >= 2), "mixed")
     a = df.agg(kind.alias("name"), total.alias("n")).where("name is not null").select(F.lit("direction").alias("pattern"), "name", "n")
-    return w.unionByName(a)
+    both = w.unionByName(a)
+    if themes is None:
+        return both
+    return both.unionByName(themes.where("n_high >= 2").select(F.lit("theme").alias("pattern"), F.col("theme").alias("name"), F.col("n_high").alias("n")))
 
 
 # --- merging findings of several sources -------------------------------------------

@@ -176,11 +176,12 @@ def penetration(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
-def report_recheck(df: DataFrame, claims: Mapping[str, tuple[Column, float]], tolerance: float = 0.01) -> DataFrame:
-    """Recompute every claimed number in one aggregation and flag differences."""
-    rows = [F.struct(F.lit(n).alias("claim"), a.cast("double").alias("actual"), F.lit(float(v)).alias("reported")) for n, (a, v) in claims.items()]
+def report_recheck(df: DataFrame, measures: Mapping[str, Column], claims: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Recompute every claimed number of ``claims`` (claim, reported) in one aggregation and flag differences; a claim
+    without a measure, or without a number, is not confirmed."""
+    rows = [F.struct(F.lit(n).alias("claim"), a.cast("double").alias("actual")) for n, a in measures.items()]
     g = df.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("x")).select("x.*")
-    return g.withColumn("ok", F.abs(F.col("actual") - F.col("reported")) < tolerance)
+    return claims.join(g, "claim", "left").withColumn("ok", F.coalesce(F.abs(F.col("actual") - F.col("reported")) < tolerance, F.lit(False)))
 
 
 def threshold_consistency(curve: DataFrame) -> DataFrame:

@@ -54,10 +54,11 @@ def _(t):
     return L.contradictions(findings(t))
 
 
-@query("l04_meta_patterns", f"""with {FIND_SQL}, w as (select unnest([{", ".join(f"'{w}'" for w in LX.DIMENSION_WORDS)}]) as name), h as (select name, count(*) as n from w join fd on contains(lower(description), name) group by 1 having count(*)>=2), g as (select count(case when direction='up' then 1 end) u, count(case when direction='down' then 1 end) d, count(case when direction<>'' then 1 end) n from fd)
-  select 'dimension' as pattern, name, n from h union all select 'direction', case when n>=2 and u=n then 'all up' when n>=2 and d=n then 'all down' when u>=2 and d>=2 then 'mixed' end, n from g where (n>=2 and (u=n or d=n)) or (u>=2 and d>=2)""")
+@query("l04_meta_patterns", f"""with {FIND_SQL}, th as (select *, case when category<>'' then upper(category[1]) || category[2:] {" ".join(f"when {_like(w)} then '{k}'" for k, w in LX.THEMES.items())} else 'Other' end as theme from fs), w as (select unnest([{", ".join(f"'{w}'" for w in LX.DIMENSION_WORDS)}]) as name), h as (select name, count(*) as n from w join fd on contains(lower(description), name) group by 1 having count(*)>=2), g as (select count(case when direction='up' then 1 end) u, count(case when direction='down' then 1 end) d, count(case when direction<>'' then 1 end) n from fd)
+  select 'dimension' as pattern, name, n from h union all select 'direction', case when n>=2 and u=n then 'all up' when n>=2 and d=n then 'all down' when u>=2 and d>=2 then 'mixed' end, n from g where (n>=2 and (u=n or d=n)) or (u>=2 and d>=2)
+  union all select 'theme', theme, count(case when score>=60 then 1 end) from th group by theme having count(case when score>=60 then 1 end) >= 2""")
 def _(t):
-    return L.meta_patterns(findings(t))
+    return L.meta_patterns(findings(t), L.theme_findings(L.score_findings(findings(t))))
 
 
 # --- lineage: each part's step reads the outputs of two earlier ones ----------------------
