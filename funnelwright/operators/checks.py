@@ -226,11 +226,11 @@ def check_cardinality(df: DataFrame, bounds: Mapping[str, tuple[int | None, int
 
 def check_aggregation(detail: DataFrame, summary: DataFrame, keys: Sequence[str], metric: str, tol: float = 0.01) -> DataFrame:
     """Re-aggregated detail against the summary: total within ``tol``; a group 5% apart or one-sided blocks."""
-    side = lambda df, s: df.groupBy(*keys).agg(F.sum(metric).cast("double").alias("v")).select(*keys, F.lit(s).alias("s"), "v")
-    g = side(detail, "d").unionByName(side(summary, "s")).groupBy(*keys).agg(F.max(F.when(F.col("s") == "d", F.col("v"))).alias("d"), F.max(F.when(F.col("s") == "s", F.col("v"))).alias("m"))
-    base = F.when(F.col("d") != 0, F.abs("d")).otherwise(F.abs("m"))
-    g = g.withColumn("_e", F.when(F.col("d").isNull() | F.col("m").isNull(), F.lit(float("inf"))).otherwise(F.coalesce(F.try_divide(F.abs(F.col("m") - F.col("d")), base), F.lit(0.0))))
-    a = g.agg(F.sum("d").alias("d"), F.sum("m").alias("m"), F.count(F.when(F.col("_e") > tol, 1)).alias("bad"), F.count(F.when(F.col("_e") > 0.05, 1)).alias("far"))
+    side = lambda df, s: df.groupBy(*keys).agg(F.sum(metric).cast("double").alias("_v")).select(*keys, F.lit(s).alias("_s"), "_v")
+    g = side(detail, "d").unionByName(side(summary, "s")).groupBy(*keys).agg(F.max(F.when(F.col("_s") == "d", F.col("_v"))).alias("_d"), F.max(F.when(F.col("_s") == "s", F.col("_v"))).alias("_m"))
+    base = F.when(F.col("_d") != 0, F.abs("_d")).otherwise(F.abs("_m"))
+    g = g.withColumn("_e", F.when(F.col("_d").isNull() | F.col("_m").isNull(), F.lit(float("inf"))).otherwise(F.coalesce(F.try_divide(F.abs(F.col("_m") - F.col("_d")), base), F.lit(0.0))))
+    a = g.agg(F.sum("_d").alias("d"), F.sum("_m").alias("m"), F.count(F.when(F.col("_e") > tol, 1)).alias("bad"), F.count(F.when(F.col("_e") > 0.05, 1)).alias("far"))
     total = F.coalesce(F.try_divide(F.abs(F.col("d") - F.col("m")), F.when(F.col("d") != 0, F.abs("d")).otherwise(F.abs("m"))), F.lit(0.0))
     return one(a, row("aggregation", metric, levels(total, (F.col("bad") > 0) | (total > tol), F.col("far") > 0), total, tol, F.col("bad")))
 

@@ -82,9 +82,23 @@ STRUCT = " union all ".join([sql("row_count", "rows", lev("false", "n<1"), "n",
                              sql("domain", "status", lev("seen<3", "odd>0"), "odd", "bad", "(select coalesce(sum(n) filter (where status not in ('F','O','P')),0) bad, count(*) filter (where status not in ('F','O','P')) odd, count(*) filter (where status in ('F','O','P')) seen from (select status, count(*) n from dirty group by 1))")])
 
 
-@query("v09_run_structural", f"with {DIRTY} {STRUCT}")
+# Every structural rule at once: rows, completeness, bounds, schema, keys, days, parents, domains.
+STRUCT_ALL = " union all ".join([
+    STRUCT,
+    sql("date_bounds", "dt", lev("b>0", "false"), "round(b*100.0/n,2)", "b", "(select count(case when dt<date '1996-01-01' or dt>date '2000-12-31' then 1 end) b, count(*) n from dirty)"),
+    sql("schema", "columns", "'PASS'", "7", "0", "(select 1)"),
+    sql("date_range", "dt", lev("b>0", "false"), "w", "b", "(select (case when min(dt)<>date '1995-01-01' then 1 else 0 end)+count(case when g>2 then 1 end) b, max(g) w from (select dt, datediff('day', lag(dt) over (order by dt), dt) g from (select distinct dt from dirty)))"),
+    sql("referential", "o_custkey->c_custkey", lev("rt>0", "rt>0.05"), "rt", "bad", "(select count(case when o_custkey is not null and c_custkey is null then 1 end)/count(*)::double rt, count(case when o_custkey is not null and c_custkey is null then 1 end) bad from dirty left join (select case when c_custkey%11=0 then -c_custkey else c_custkey end as c_custkey from customer) c on o_custkey=c_custkey)"),
+])
+
+
+@query("v09_run_structural", f"with {DIRTY} {STRUCT_ALL}")
 def _(t):
-    return ck(V.run_structural(dirty(t), ["o_orderkey"], extra=[lambda d: V.check_domain(d, "status", ["F", "O", "P"])]))
+    d = dirty(t)
+    parent = t.customer.select(F.when(F.col("c_custkey") % 11 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("c_custkey"))
+    return ck(V.run_structural(
+        d, ["o_orderkey"], schema=dict(d.dtypes), dates={"dt": ("1996-01-01", "2000-12-31")}, days={"dt": ("1995-01-01", None, 2)}, parents=[("o_custkey", parent, "c_custkey")], domains={"status": ["F", "O", "P"]},
+    ))
 
 
 AGG = """(select abs(sum(d)-sum(m))/sum(d) t, count(case when e>0.01 then 1 end) bad, count(case when e>0.05 then 1 end) far from (select coalesce(a.s,b.s) s, d, m, case when d is null or m is null then 'inf'::double else abs(m-d)/abs(d) end e from (select o_orderstatus s, sum(o_totalprice) d from orders group by 1) a full join (select o_orderstatus s, sum(case when o_orderkey%30=0 and o_orderstatus<>'F' then 0 else o_totalprice end) m from orders group by 1) b on a.s=b.s))"""
@@ -184,6 +198,32 @@ def _(t):
     return ck(V.run_logical(t.orders, short_of(t), ["o_orderstatus"], "o_totalprice", "m"))
 
 
+# Every logical rule at once, on months: sums, segments, ratios, future days, steps, percents, direction and spikes.
+LOGIC_CTE = """od as (select *, date_trunc('month', o_orderdate)::date as m from orders), sm as (select m, sum(case when month(o_orderdate)=7 and o_orderkey%3<>0 then 0 else o_totalprice end) as o_totalprice, sum(case when month(o_orderdate)=7 and o_orderkey%3<>0 then 0 else 1 end)::bigint as n, count(*)*100.0::double/(select count(*) from orders) as pct, year(m) as y, 'all' as g from od group by m)"""
+LOGIC_ALL = " union all ".join([
+    sql("aggregation", "o_totalprice", lev("bad>0 or t>0.01", "far>0"), "t", "bad", "(select abs(sum(d)-sum(o))/sum(d) t, count(case when e>0.01 then 1 end) bad, count(case when e>0.05 then 1 end) far from (select d, o, abs(o-d)/abs(d) e from (select m, sum(o_totalprice) d from od group by 1) a join (select m, o_totalprice o from sm) b using (m)))"),
+    sql("exhaustive", "m", "'PASS'", "0", "0", "(select 1)"),
+    sql("ratio_bounds", "o_totalprice/o_custkey", lev("false", "b>0"), "mx", "b", "(select count(case when o_totalprice/nullif(o_custkey,0)::double not between 0 and 100000 then 1 end) b, max(o_totalprice/nullif(o_custkey,0)::double) mx from orders)"),
+    sql("future_dates", "o_orderdate", lev("false", "b>0"), "b", "b", "(select count(case when o_orderdate > timestamp '2000-06-30' then 1 end) b from orders)"),
+    sql("trend_breaks", "o_totalprice", lev("b>0", "b>2"), "b", "b", "(select count(case when c>0.5 then 1 end) b from (select abs(v-p)/abs(p) c from (select o_totalprice v, lag(o_totalprice) over (order by m) p from sm)))"),
+    sql("pct_sum", "pct", lev("w>1", "w>2"), "w", "b", "(select max(abs(s-100)) w, count(case when abs(s-100)>1 then 1 end) b from (select g, sum(pct) s from sm group by 1))"),
+    sql("monotonic", "n", lev("false", "b>0"), "b", "b", "(select count(case when n < p then 1 end) b from (select n, lag(n) over (order by m) p from sm))"),
+    sql("spikes", "n", lev("b>0", "false"), "mx", "b", "(select count(case when z>2.5 then 1 end) b, max(z) mx from (select case when count(n) over w=6 and stddev_samp(n) over w>0 then abs(n-avg(n) over w)/stddev_samp(n) over w end z from sm window w as (order by m rows between 6 preceding and 1 preceding)))"),
+])
+
+
+@query("v21_run_logical_months", f"with {LOGIC_CTE} {LOGIC_ALL}")
+def _(t):
+    od = t.orders.withColumn("m", F.trunc("o_orderdate", "month"))
+    lost = (F.month("o_orderdate") == 7) & (F.col("o_orderkey") % 3 != 0)
+    total = t.orders.agg(F.count("*").alias("x")).scalar()
+    sm = od.groupBy("m").agg(F.sum(F.when(lost, 0.0).otherwise(F.col("o_totalprice"))).alias("o_totalprice"), F.sum(F.when(lost, 0).otherwise(1)).alias("n"), F.count("*").alias("c"))
+    sm = sm.withColumns({"pct": F.col("c") * 100.0 / total, "g": F.lit("all")}).drop("c")
+    return ck(V.run_logical(
+        od, sm, ["m"], "o_totalprice", "m", percents={"pct": ["g"]}, monotonic={"n": True}, spikes={"n": (6, 2.5)}, ratios=[("o_totalprice", "o_custkey", 0.0, 100_000.0)], not_after={"o_orderdate": "2000-06-30"},
+    ))
+
+
 def rng(c, lo, hi, frm):
     return sql("range", c, lev("b>0", "b/n::double>0.05"), "b/n::double", "b", f"(select count(case when {c}<{lo} or {c}>{hi} then 1 end) b, count({c}) n from {frm})")
 
@@ -232,9 +272,14 @@ def _(t):
     return ck(V.check_yoy(monthly(t), [], "m", "n", 0.6))
 
 
-@query("v30_run_business", rng("c_acctbal", 0, 9000, "customer") + " union all " + sql("non_negative", "c_acctbal", lev("false", "b>0"), "mn", "b", "(select count(case when c_acctbal<0 then 1 end) b, min(c_acctbal) mn from customer)") + " union all " + CARD + " union all " + sql("segments", "c_mktsegment", lev("false", "b>0"), "b", "b", "(select 2-count(distinct c_mktsegment) b from customer where c_mktsegment in ('BUILDING','MACHINERY'))"))
+@query("v30_run_business", rng("c_acctbal", 0, 9000, "customer") + " union all " + sql("non_negative", "c_acctbal", lev("false", "b>0"), "mn", "b", "(select count(case when c_acctbal<0 then 1 end) b, min(c_acctbal) mn from customer)") + " union all " + CARD + " union all " + sql("segments", "c_mktsegment", lev("false", "b>0"), "b", "b", "(select 2-count(distinct c_mktsegment) b from customer where c_mktsegment in ('BUILDING','MACHINERY'))")
+       + " union all " + sql("period_change", "c_acctbal", lev("false", "b>0"), "mx", "b", "(select count(case when c*100>200 then 1 end) b, max(case when c<'inf'::double then c end)*100 mx from (select case when p=0 then case when x<>0 then 'inf'::double end else abs(x-p)/abs(p) end c from (select c_acctbal x, lag(c_acctbal) over (order by c_custkey) p from customer)))")
+       + " union all " + sql("metric_relation", "c_acctbal * c_nationkey = c_custkey", lev("false", "b>0"), "mx", "b", "(select count(case when d>0.01 then 1 end) b, max(d) mx from (select coalesce(abs(c_acctbal*c_nationkey-c_custkey)/nullif(greatest(abs(c_acctbal*c_nationkey),abs(c_custkey)),0),0) d from customer))"))
 def _(t):
-    return ck(V.run_business(t.customer, {"c_acctbal": (0, 9000)}, ["c_acctbal"], {"c_nationkey": (2, 20), "c_mktsegment": (2, 10)}, {"c_mktsegment": ["BUILDING", "MACHINERY"]}))
+    return ck(V.run_business(
+        t.customer, {"c_acctbal": (0, 9000)}, ["c_acctbal"], {"c_nationkey": (2, 20), "c_mktsegment": (2, 10)}, {"c_mktsegment": ["BUILDING", "MACHINERY"]},
+        changes={"c_acctbal": ("c_custkey", 200.0)}, relations=[("c_acctbal * c_nationkey", "c_custkey", 0.01)],
+    ))
 
 
 @query("v31_metric_value", """with m as (select 'aov' k, avg(o_totalprice) v from orders union all select 'orders', count(*) from orders union all select 'f_share', avg((o_orderstatus='F')::int) from orders) select 'metric_value' as "check", k as subject, k<>'f_share' as ok, case when k='f_share' then 'BLOCKER' when k='orders' then 'WARNING' else 'PASS' end as severity, round(v,6) as observed, case when k='f_share' then 1 when k='orders' then 1 else 0 end::bigint as n_bad from m""")
