@@ -61,7 +61,7 @@ class PieceEncoder:
     The pre-tokenizer always cuts before a single space between two visible characters, and merges never cross its
     cuts, so the ids of a text are the ids of its pieces in order. New pieces go to the library many at a time, and
     come apart again at the ids whose token begins with a space. Texts with other spacing go through whole.
-    ``limit`` bounds the pieces a worker remembers from batch to batch; the others are encoded again when they recur.
+    ``limit`` bounds the pieces a worker remembers from batch to batch beyond those of the batch itself.
     """
 
     def __init__(self, path: str, limit: int = 900_000):
@@ -95,29 +95,18 @@ class PieceEncoder:
         # Whole texts: runs of spaces, spaces beside line ends, and anything that is neither printable nor a line end.
         plain = [t != "" and "  " not in t and " \n" not in t and "\n " not in t and t[-1] != " " and t.replace("\n", "").isprintable() for t in batch]
         cut = [t.split(" ") if p else None for t, p in zip(batch, plain)]
-        new = set().union(*[p[1:] for p in cut if p is not None]).difference(self.known)
-        fresh = self.spaced(list(new))
-        if len(self.known) + len(fresh) <= self.limit:
-            self.known.update(fresh)
-            known = self.known
-        else:
-            known = _Both(fresh, self.known)
+        own = set().union(*[p[1:] for p in cut if p is not None])
+        fresh = self.spaced(list(own.difference(self.known)))
+        if len(self.known) + len(fresh) > self.limit:
+            # Start again from the batch's pieces; frequent ones come back at once.
+            self.known = {x: self.known[x] for x in own.difference(fresh)}
+        self.known.update(fresh)
+        known = self.known
         heads = iter(self.whole([p[0] for p in cut if p is not None]))
         rest = iter(self.whole([t for t, p in zip(batch, plain) if not p]))
         return [next(rest) if p is None else next(heads) + b"".join([known[x] for x in p[1:]]) for p in cut]
 
 
-class _Both(dict):
-    """A batch's own pieces over those remembered."""
-
-    def __init__(self, own: dict, other: dict):
-        super().__init__(own)
-        self.other = other
-
-    def __missing__(self, key):
-        return self.other[key]
-
-
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -138,7 +127,7 @@ def _files(uri: str):
 
 
 def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, shards: int | None = None) -> DataFrame:
-    """Encode every text, append ``end_id`` and write one shard per range of ``doc_id``; returns the stored manifest.
+    """Encode every text, append ``end_id`` and write one shard per range of (``doc_id``, text); returns the stored manifest.
 
     ``tokenizer`` is a path every executor has. Ranges hold about equal numbers of documents (``shards``, by default
     the session's shuffle partitions). A task writes files named after its attempt and only the manifest of the
@@ -176,7 +165,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, en
             idx.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([ctx.partitionId()], pa.int32()), "path": [uri], "n_records": [rows], "n_tokens": [tokens]})
 
-    ordered = texts(docs).repartitionByRange(shards or shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = texts(docs).repartitionByRange(shards or shuffle_width(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
