@@ -7,7 +7,9 @@
 5. ``tokens``: doc_id, ids of the texts and the text they decode to; other columns end with the stage before.
 
 A stage gets the table folder for what else it reads (labels, benchmark). Null and empty texts pass every stage unless
-quality rejects them; all empty texts are copies of each other.
+quality rejects them; all empty texts are copies of each other. Repeated rows pass together, but ``near_duplicates``
+keeps one. Rows travel through the first four stages as one value, so columns of any name come back unchanged (only
+``personal_data`` changes ``text``). An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -22,11 +24,18 @@ from funnelwright.llm.common import shared_folder, stored, table
 ORACLE_SQL = None
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """``row`` with all columns beside ``doc_id`` and ``text``: no name of the input can meet one that a stage makes."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least 0.5; the score is a column expression over statistics carried beside the row."""
-    labels = table(spark, sf_dir, "labels")
-    model = rules.fit(rules.statistics(docs), labels)
-    return rules.with_statistics(docs).where(model.score("_stats.") >= 0.5).select(*docs.columns)
+    labels, own = table(spark, sf_dir, "labels"), _carried(docs)
+    # Only labelled rows can be learnt from, so only they are measured for the fit.
+    labelled = own.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    model = rules.fit(rules.statistics(labelled), labels)
+    return rules.with_statistics(own).where(model.score("_stats.") >= 0.5).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +43,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _carried(docs)
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    hit = stored(found.where(F.size("matches") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    own = docs.withColumn("_own", decontaminate.text_hash())
-    return own.join(hit, own["doc_id"].eqNullSafe(hit["_id"]) & (own["_own"] == hit["_hash"]), "left_anti").select(*docs.columns)
+    hit = stored(found.where(F.size("matches") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "contaminated")
+    own = docs.withColumn("own_hash", decontaminate.text_hash())
+    return own.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("own_hash") == F.col("hit_hash")), "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redacted(docs, pii.fit(pii.find(docs)))
+    own = pii.redacted(_carried(docs), pii.fit(pii.find(docs)))
+    return own.select(*["text" if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

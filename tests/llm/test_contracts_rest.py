@@ -455,6 +455,24 @@ def test_stages_on_odd_rows(spark, odd, empty):
             assert left == sorted((d for d, _ in ODD), key=str)
 
 
+CLASHING = ("base", "spans", "candidates", "_digest", "_own", "_stats", "_id", "_hash", "bands", "low", "root", "row", "tid", "node", "own_id", "hit_id", "own_hash", "mark", "bucket")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as a stage's own come back with the caller's values."""
+    good = {r.doc_id for r in labels(spark).where("quality = 1").collect()}
+    rows = [(d, t) for d, t in plain(documents(spark)) if d in good][:12] + [(10**9, f"Write to bob.smith@mail.example.com about the {k} words of this letter") for k in range(1)]
+    docs = spark.createDataFrame([(d, t, *[f"{c}-{d}" for c in CLASHING]) for d, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got or name == "quality"
+        for r in got:
+            assert all(r[c] == f"{c}-{r.doc_id}" for c in CLASHING), name
+            assert name == "personal_data" or r.text == dict(rows)[r.doc_id]
+
+
 def test_pipeline(spark):
     docs, out = documents(spark), corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "ids", "decoded"] and 0 < out.count() < docs.count()
