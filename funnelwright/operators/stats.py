@@ -366,8 +366,9 @@ def group_difference(df: DataFrame, metric: str, attrs: Sequence[str], low: floa
     return g.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.abs("scaled")), "attribute")))  # one row per attribute
 
 
-def feature_importance(df: DataFrame, target: str, cols: Sequence[str], seed: int = 42, trees: int = 20, depth: int = 5, least_cols: int = 5, least_rows: int = 500) -> DataFrame:
-    """Forest importances for ranking. ``advised`` says whether there are more than ``least_cols`` columns and
+def feature_importance(df: DataFrame, target: str, cols: Sequence[str], seed: int = 42, trees: int = 20, depth: int = 5, least_cols: int = 5, least_rows: int = 500, fit_rows: int = 2_000_000) -> DataFrame:
+    """Forest importances for ranking, fitted on about ``fit_rows`` complete rows at most (by a hash of their values;
+    all rows where there are fewer). ``advised`` says whether there are more than ``least_cols`` columns and
     ``least_rows`` complete rows, below which a ranking means little; the fit is made either way."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -377,6 +378,8 @@ def feature_importance(df: DataFrame, target: str, cols: Sequence[str], seed: in
     rows = x.count()
     if not rows:
         return df.sparkSession.createDataFrame([], schema)
+    if rows > fit_rows:
+        x = x.where(F.pmod(F.xxhash64(*cols, target), F.lit(1 << 30)) < int(fit_rows / rows * (1 << 30)))
     model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(x)
     ranked = sorted(zip(cols, model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0]))
     return df.sparkSession.createDataFrame([(c, float(v), i, len(cols) > least_cols and rows > least_rows) for i, (c, v) in enumerate(ranked, 1)], schema)

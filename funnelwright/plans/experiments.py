@@ -61,7 +61,8 @@ def _(t):
     return OUT(d, ["metric"], ["value", "prev_day", "before", "vs_prev_day", "vs_before"])
 
 
-@query("e05_daily_yoy", f"with {ORDER_PANEL_SQL} select a.tag, a.member, a.dt, a.uv_all, b.uv_all as uv_all_last, round((a.uv_all-b.uv_all)/nullif(b.uv_all,0)::double,6)+0.0 as uv_all_yoy from opanel a left join opanel b on a.tag=b.tag and a.member=b.member and year(b.dt)=1997 and strftime(a.dt,'%m-%d')=strftime(b.dt,'%m-%d') where year(a.dt)=1998")
+@query("e05_daily_yoy", f"""with {ORDER_PANEL_SQL}, x as materialized (select tag, member, dt, uv_all, year(dt) as y, strftime(dt,'%m-%d') as md from opanel), a as (select * from x where y=1998), b as (select tag, member, md, uv_all from x where y=1997)
+  select a.tag, a.member, a.dt, a.uv_all, b.uv_all as uv_all_last, round((a.uv_all-b.uv_all)/nullif(b.uv_all,0)::double,6)+0.0 as uv_all_yoy from a left join b on a.tag=b.tag and a.member=b.member and a.md=b.md""")
 def _(t):
     return E.daily_yoy(t.order_panel_between("1997-01-01", "1998-12-31"), 1998, ["uv_all"]).withColumn("uv_all_yoy", r("uv_all_yoy"))
 
