@@ -175,19 +175,28 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     edge = lambda k, at, end, e: F.when(few | F.lit(at == e), F.col(end)).otherwise(F.get(F.col("_q"), F.lit(k if e == 0.0 else k + len(low))))
     brackets = [F.struct(F.lit(k).alias("_i"), edge(k, low[k], "_min", 0.0).alias("lo"), edge(k, high[k], "_max", 1.0).alias("hi")) for k in range(len(probs))]
     ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_total", F.array(*brackets).alias("_b"))
-    if keys:
+
+    def beside(d: DataFrame) -> DataFrame:
+        """``d`` with the total and the brackets of its key."""
+        if not keys:
+            return d.withColumn("_e", ends.agg(F.max(F.struct("_total", "_b"))).scalar()).select("*", "_e.*").drop("_e")
         # One row per key; the planner broadcasts it only when it measures small.
         cond = F.lit(True)
         for i, c in enumerate(keys):
             cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-        both = x.join(ends, cond).select(*keys, "_v", "_total", "_b")
-    else:
-        both = x.withColumn("_e", ends.agg(F.max(F.struct("_total", "_b"))).scalar()).select("_v", "_e.*")
-    # Each row gives the number of brackets that begin above it and, rarely, its value in the brackets around it.
-    above = F.size(F.filter("_b", lambda e: e["lo"] > F.col("_v"))).cast("double")
+        return d.join(ends, cond).drop(*[f"_k{i}" for i in range(len(keys))])
+
+    # Each row gives the number of brackets that begin above it and, rarely, its value: plain comparisons, no new rows.
+    v = F.col("_v")
+    lo, hi = ([F.get("_b", F.lit(k))[e] for k in range(len(probs))] for e in ("lo", "hi"))
+    above = sum((F.when(a > v, 1).otherwise(0) for a in lo), F.lit(0))
+    inside = F.lit(False)
+    for a, b in zip(lo, hi):
+        inside = inside | v.between(a, b)
+    few_values = beside(x).groupBy(*keys, above.alias("_j"), F.when(inside, v).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     around = F.transform(F.filter("_b", lambda e: (e["lo"] <= F.col("_v")) & (F.col("_v") <= e["hi"])), lambda e: F.struct(e["_i"].alias("_i"), F.col("_v").alias("_x")))
-    cells = F.concat(F.array(F.struct(F.lit(-1).alias("_i"), above.alias("_x"))), around)
-    n = both.select(*keys, "_total", F.explode(cells).alias("c")).groupBy(*keys, "_total", "c._i", "c._x").agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.concat(F.array(F.struct(F.lit(-1).alias("_i"), F.col("_j").cast("double").alias("_x"))), F.coalesce(around, F.array().cast("array<struct<_i: int, _x: double>>")))
+    n = beside(few_values).select(*keys, "_total", "_n", F.explode(cells).alias("c")).groupBy(*keys, "_total", "c._i", "c._x").agg(F.sum("_n").alias("_n"))
     # Brackets begin in the order of their probabilities: a row with j brackets above it is below the last j.
     rank = {k: i for i, k in enumerate(sorted(range(len(probs)), key=lambda k: (low[k], k)))}
     below = F.array(*[F.coalesce(F.sum(F.when((F.col("_i") == -1) & (F.col("_x") >= len(probs) - rank[k]), F.col("_n"))).over(W.partitionBy(*keys)), F.lit(0)) for k in range(len(probs))])
