@@ -22,9 +22,9 @@ def _(t):
     return R.run_available(R.stream_funnel_panel(source(t))).drop("batch_id")
 
 
-@query("r01_stream_stage_counts", f"select cast(ts as date) as dt, count(case when event_type='view' then 1 end) as exp_pv, count(case when event_type='click' then 1 end) as detail_pv, count(case when event_type='signup' then 1 end) as order_pv, count(case when event_type='purchase' then 1 end) as pay_pv from events where date_trunc('day', ts) + interval 1 day <= {CLOSED} group by 1")
+@query("r01_stream_stage_counts", "select cast(ts as date) as dt, count(case when event_type='view' then 1 end) as exp_pv, count(case when event_type='click' then 1 end) as detail_pv, count(case when event_type='signup' then 1 end) as order_pv, count(case when event_type='purchase' then 1 end) as pay_pv from events group by 1")
 def _(t):
-    return R.run_available(R.stream_funnel_panel(source(t))).drop("uv_all", "batch_id")
+    return R.run_to_end(source(t), R.stream_funnel_panel).drop("uv_all", "batch_id")
 
 
 SESSIONS = """p as (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events), n as (select *, sum(case when p is null or epoch_us(ts)-epoch_us(p) >= 43200000000 then 1 else 0 end) over (partition by user_id order by ts, event_id) as k from p)"""

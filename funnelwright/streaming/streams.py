@@ -53,9 +53,10 @@ STAGES = ("view", "click", "signup", "purchase")
 def stream_visits(events: DataFrame, gap_seconds: int = 1800, late: str = "1 hour") -> DataFrame:
     """Visits with the furthest funnel stage reached, from keyed state with event-time timers.
 
-    A user's open visits are a map from first to last event; an event joins or merges the visits within the pause. A
-    timer at the end of each visit gives it out and removes it, so state holds open visits only. Needs the RocksDB
-    state store (:func:`with_keyed_state`).
+    A user's open visits are one list in state; a batch's events, in order, join or merge the visits within the pause.
+    One timer a user, at the end of the visit that ends first, gives out and removes all that have ended, so state holds
+    open visits only and is read and written once a user and batch, not once a visit. Needs the RocksDB state store
+    (:func:`with_keyed_state`).
     """
     stage = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.col("event_type")), F.lit(0)).cast("int")
     x = events.withWatermark("ts", late).select("user_id", "ts", stage.alias("stage"))
@@ -76,34 +77,39 @@ def _visits(gap_seconds: int):
     class Visits(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.open = handle.getMapState("open", "first long", "last long, events long, furthest int")
+            self.open = handle.getValueState("open", "visits array<struct<first: long, last: long, events: long, furthest: int>>")
+
+        def held(self) -> list[tuple[int, int, int, int]]:
+            return [tuple(v) for v in self.open.get()[0]] if self.open.exists() else []
+
+        def hold(self, visits: list[tuple[int, int, int, int]]) -> None:
+            self.open.update((visits,))
+            self.handle.registerTimer(min((last + gap) // 1000 for _, last, _, _ in visits))
 
         def handleInputRows(self, key, rows, timerValues):
-            held = {k[0]: tuple(v) for k, v in self.open.iterator()}
-            was = dict(held)
-            for r in rows:
-                at = micros(r.ts)
-                first, last, n, furthest = at, at, 1, r.stage
-                for k, (end, own, far) in list(held.items()):
-                    if k - gap < at < end + gap:
-                        first, last, n, furthest = min(first, k), max(last, end), n + own, max(furthest, far)
-                        del held[k]
-                held[first] = (last, n, furthest)
-            for k in was.keys() - held.keys():
-                self.open.removeKey((k,))
-            for k, v in held.items():
-                if was.get(k) != v:
-                    self.open.updateValue((k,), v)
-                    self.handle.registerTimer((v[0] + gap) // 1000)
+            # Visits and events by their first moment: one sweep joins whatever begins within the pause of what ended last.
+            moments = [(at, at, 1, r.stage) for r in rows for at in (micros(r.ts),)]
+            kept = []
+            for first, last, n, furthest in sorted(self.held() + moments):
+                if kept and first < kept[-1][1] + gap:
+                    a, b, m, f = kept[-1]
+                    kept[-1] = (a, max(b, last), m + n, max(f, furthest))
+                else:
+                    kept.append((first, last, n, furthest))
+            self.hold(kept)
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            passed = expiredTimerInfo.getExpiryTimeInMs()
-            # A visit that went on has a later timer of its own.
-            for k, (end, n, furthest) in sorted((k[0], tuple(v)) for k, v in self.open.iterator()):
-                if (end + gap) // 1000 <= passed:
-                    self.open.removeKey((k,))
-                    yield Row(user_id=key[0], visit_start=moment(k), visit_end=moment(end), events=n, furthest=furthest)
+            # The timer of a visit that went on may come early; the first one of a batch gives out all that has ended.
+            passed = timerValues.getCurrentWatermarkInMs()
+            visits = self.held()
+            ended = [v for v in visits if (v[1] + gap) // 1000 <= passed]
+            if left := [v for v in visits if (v[1] + gap) // 1000 > passed]:
+                self.hold(left)
+            elif visits:
+                self.open.clear()
+            for first, last, n, furthest in ended:
+                yield Row(user_id=key[0], visit_start=moment(first), visit_end=moment(last), events=n, furthest=furthest)
 
         def close(self) -> None:
             pass
@@ -141,15 +147,38 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame], DataFrame] | No
     Every batch lands in a folder of its own, so a batch that is replayed after a failure overwrites itself and a
     reader never meets a folder that is being replaced. ``progress`` receives the query's progress reports.
     """
-    spark = stream.sparkSession
+    folder = work_folder(stream.sparkSession)
+    _drain(stream, folder, each, progress)
+    return stream.sparkSession.read.parquet(f"{folder}/out")
+
+
+# Later than any event, with room for the windows after it.
+END = "timestamp_seconds(1000000000000)"
+
+
+def run_to_end(events: DataFrame, plan: Callable[[DataFrame], DataFrame], ts: str = "ts", progress: list | None = None) -> DataFrame:
+    """What ``plan(events)`` gives out for all that the source holds, with the windows still open after the last event.
+
+    When the source is drained, the query goes on from its checkpoint with one row more that has nothing but a time
+    after all others. It moves the watermark past every window, so each is given out once and its state goes; its own
+    window stays open. An event without a time is in no window.
+    """
+    spark = events.sparkSession
     folder = work_folder(spark)
-    out = f"{folder}/out"
+    row = lambda n: spark.range(n).select(*[(F.expr(END) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    row(0).write.parquet(f"{folder}/end")
+    stream = plan(events.unionByName(spark.readStream.schema(row(0).schema).parquet(f"{folder}/end")))
+    _drain(stream, folder, None, progress)
+    row(1).coalesce(1).write.mode("append").parquet(f"{folder}/end")
+    _drain(stream, folder, None, progress)
+    return spark.read.parquet(f"{folder}/out")
+
 
+def _drain(stream: DataFrame, folder: str, each: Callable[[DataFrame], DataFrame] | None, progress: list | None) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
-        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
     q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     if progress is not None:
         progress.extend(q.recentProgress)
-    return spark.read.parquet(out)

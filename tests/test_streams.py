@@ -98,3 +98,20 @@ def test_sliding_rate(spark, folder):
     last = errors.agg(F.max("ts")).first()[0] - dt.timedelta(days=1)
     starts = [min(days) + dt.timedelta(k) for k in range(-6, 10)]
     assert got == {s: n for s in starts if s + dt.timedelta(7) <= last.date() and (n := sum(s <= d < s + dt.timedelta(7) for d in days))}
+
+
+def test_panel_to_the_end(spark, folder, rows):
+    """The last days too, each day once, whatever file closes it."""
+    got = R.run_to_end(stream(spark, folder), R.stream_funnel_panel)
+    want = batch(spark, folder).groupBy(F.to_date("ts").alias("dt")).agg(F.count_distinct("user_id").alias("uv_all"), F.count(F.when(F.col("event_type") == "view", 1)).alias("exp_pv"))
+    assert rows(got, "dt", "uv_all", "exp_pv") == rows(want)
+
+
+def test_stage_counts_cover_every_event(spark, tmp_path):
+    from funnelwright.plans.registry import QUERIES
+
+    table = [(i, dt.datetime(2024, 1, 1 + i // 2, 23), i, "view", 1.0, "{}") for i in range(8)]
+    spark.createDataFrame(table, R.EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
+    got = QUERIES["r01_stream_stage_counts"](spark, str(tmp_path)).collect()
+    assert sorted((r.dt.day, r.exp_pv) for r in got) == [(1, 2), (2, 2), (3, 2), (4, 2)]
