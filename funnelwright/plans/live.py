@@ -31,9 +31,9 @@ SESSIONS = """p as (select *, lag(ts) over (partition by user_id order by ts, ev
 
 
 @query("r02_stream_sessions", f"""with {SESSIONS}
-  select user_id, strftime(min(ts),'%Y-%m-%d %H:%M:%S') as session_start, count(*) as events from n group by user_id, k having max(ts) + interval 12 hour <= (select max(ts) - interval 1 hour from events)""")
+  select user_id, strftime(min(ts),'%Y-%m-%d %H:%M:%S') as session_start, count(*) as events from n group by user_id, k""")
 def _(t):
-    d = R.run_available(R.stream_sessions(source(t), "12 hours"))
+    d = R.run_to_end(source(t), lambda e: R.stream_sessions(e, "12 hours"))
     return d.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "events")
 
 

@@ -115,3 +115,20 @@ def test_stage_counts_cover_every_event(spark, tmp_path):
     next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
     got = QUERIES["r01_stream_stage_counts"](spark, str(tmp_path)).collect()
     assert sorted((r.dt.day, r.exp_pv) for r in got) == [(1, 2), (2, 2), (3, 2), (4, 2)]
+
+
+def test_sessions_to_the_end(spark, folder, rows):
+    """Sessions still open after the last event are given out as well; the closing row makes none."""
+    got = R.run_to_end(stream(spark, folder), lambda e: R.stream_sessions(e, "150 minutes", "2 days"))
+    every = X.session_windows(batch(spark, folder), "user_id", "ts", "150 minutes")
+    assert rows(got, "user_id", "session_start", "events") == rows(every.select("user_id", "session_start", "events"))
+
+
+def test_session_query_covers_every_event(spark, tmp_path):
+    from funnelwright.plans.registry import QUERIES
+
+    table = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i), i % 2, "view", 1.0, "{}") for i in range(9)]
+    spark.createDataFrame(table, R.EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
+    got = QUERIES["r02_stream_sessions"](spark, str(tmp_path)).collect()
+    assert sorted((r.user_id, r.events) for r in got) == [(0, 5), (1, 4)]
