@@ -132,3 +132,22 @@ def test_session_query_covers_every_event(spark, tmp_path):
     next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
     got = QUERIES["r02_stream_sessions"](spark, str(tmp_path)).collect()
     assert sorted((r.user_id, r.events) for r in got) == [(0, 5), (1, 4)]
+
+
+def test_sliding_rate_to_the_end(spark, folder):
+    """Every window with an entry, those still open after the last entry too."""
+    log = stream(spark, folder).where("event_type = 'error'")
+    got = {r["week_start"]: r["n"] for r in R.run_to_end(log, lambda e: R.stream_rate(e, "event_type")).collect()}
+    days = [r["d"] for r in batch(spark, folder).where("event_type = 'error'").select(F.to_date("ts").alias("d")).collect()]
+    starts = [min(days) + dt.timedelta(k) for k in range(-6, 12)]
+    assert got == {s: n for s in starts if (n := sum(s <= d < s + dt.timedelta(7) for d in days))}
+
+
+def test_rate_query_covers_every_error(spark, tmp_path):
+    from funnelwright.plans.registry import QUERIES
+
+    table = [(i, dt.datetime(2024, 1, 1 + i), 4, "error", 1.0, "{}") for i in range(3)]
+    spark.createDataFrame(table, R.EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
+    got = QUERIES["r05_stream_rate"](spark, str(tmp_path)).collect()
+    assert len(got) == 9 and sum(r.n for r in got) == 21
