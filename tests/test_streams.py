@@ -108,12 +108,12 @@ def test_panel_to_the_end(spark, folder, rows):
 
 
 def test_stage_counts_cover_every_event(spark, tmp_path):
-    from funnelwright.plans.registry import QUERIES
+    import __spark_entry__ as entry
 
     table = [(i, dt.datetime(2024, 1, 1 + i // 2, 23), i, "view", 1.0, "{}") for i in range(8)]
     spark.createDataFrame(table, R.EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/made")
     next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
-    got = QUERIES["r01_stream_stage_counts"](spark, str(tmp_path)).collect()
+    got = entry.queries()["r01_stream_stage_counts"](spark, str(tmp_path)).collect()
     assert sorted((r.dt.day, r.exp_pv) for r in got) == [(1, 2), (2, 2), (3, 2), (4, 2)]
 
 
@@ -125,12 +125,12 @@ def test_sessions_to_the_end(spark, folder, rows):
 
 
 def test_session_query_covers_every_event(spark, tmp_path):
-    from funnelwright.plans.registry import QUERIES
+    import __spark_entry__ as entry
 
     table = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i), i % 2, "view", 1.0, "{}") for i in range(9)]
     spark.createDataFrame(table, R.EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/made")
     next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
-    got = QUERIES["r02_stream_sessions"](spark, str(tmp_path)).collect()
+    got = entry.queries()["r02_stream_sessions"](spark, str(tmp_path)).collect()
     assert sorted((r.user_id, r.events) for r in got) == [(0, 5), (1, 4)]
 
 
@@ -144,12 +144,12 @@ def test_sliding_rate_to_the_end(spark, folder):
 
 
 def test_rate_query_covers_every_error(spark, tmp_path):
-    from funnelwright.plans.registry import QUERIES
+    import __spark_entry__ as entry
 
     table = [(i, dt.datetime(2024, 1, 1 + i), 4, "error", 1.0, "{}") for i in range(3)]
     spark.createDataFrame(table, R.EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/made")
     next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
-    got = QUERIES["r05_stream_rate"](spark, str(tmp_path)).collect()
+    got = entry.queries()["r05_stream_rate"](spark, str(tmp_path)).collect()
     assert len(got) == 9 and sum(r.n for r in got) == 21
 
 
