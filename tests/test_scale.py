@@ -90,3 +90,9 @@ def test_rank_test_does_not_sort_a_group(spark, monkeypatch):
     got, plan = unbroadcast(spark, monkeypatch, lambda: D.mann_whitney(df, "g", "v", "a", "b").select("median_a", "median_b"))
     want = df.groupBy().agg(F.percentile(F.when(F.col("g") == "a", F.col("v")), F.lit(0.5)).alias("median_a"), F.percentile(F.when(F.col("g") == "b", F.col("v")), F.lit(0.5)).alias("median_b"))
     assert got == sorted(map(repr, want.collect())) and "SortMergeJoin" not in plan
+
+
+def test_rank_test_with_p_does_not_sort_a_group(spark, monkeypatch):
+    df = spark.range(5_000).select(F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("g"), (F.col("id") * 31 % 997).cast("double").alias("v"))
+    got, plan = unbroadcast(spark, monkeypatch, lambda: D.with_normal_p(D.mann_whitney(df, "g", "v", "a", "b")))
+    assert len(got) == 1 and "SortMergeJoin" not in plan
