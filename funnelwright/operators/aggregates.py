@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from funnelwright.functions.scalars import members
 from funnelwright.operators.ordered import BLOCK, framed, running
 
+ROWS_EACH = 250_000
+
 
 def per_day_average(df: DataFrame, keys: Sequence[str], dt: str, cond: Column) -> DataFrame:
     """Rows per observed day; days are combined before they are counted."""
@@ -23,10 +25,14 @@ def distinct_by_stage(df: DataFrame, keys: Sequence[str], user: str, order_flag:
 
 
 def with_overall(df: DataFrame, keys: Sequence[str], member: str, name: str, entity: str, sums: Mapping[str, str]) -> DataFrame:
-    """Per member and de-duplicated overall from one scan.
+    """Per member and de-duplicated overall from one scan, after one that counts the rows.
 
-    Rows shrink to (keys, member, entity) first; the overall row then counts each entity once.
+    Rows shrink to (keys, member, entity) first; the overall row then counts each entity once. More than ``ROWS_EACH``
+    rows a shuffle partition are dealt by (keys, entity) into as many as that takes, which serves both groupings.
     """
+    pieces = -(-df.count() // ROWS_EACH)
+    if pieces > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(pieces, *keys, entity)
     base = df.groupBy(*keys, member, entity).agg(*[F.sum(c).alias(o) for o, c in sums.items()])
     both = base.select(*keys, entity, *sums, F.explode(F.array(F.col(member), F.lit("overall"))).alias(name))
     u = both.groupBy(*keys, name, entity).agg(*[F.sum(o).alias(o) for o in sums])

@@ -96,3 +96,14 @@ def test_rank_test_with_p_does_not_sort_a_group(spark, monkeypatch):
     df = spark.range(5_000).select(F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("g"), (F.col("id") * 31 % 997).cast("double").alias("v"))
     got, plan = unbroadcast(spark, monkeypatch, lambda: D.with_normal_p(D.mann_whitney(df, "g", "v", "a", "b")))
     assert len(got) == 1 and "SortMergeJoin" not in plan
+
+
+def test_overall_is_dealt_by_rows(spark, rows, monkeypatch):
+    """More rows than the partitions should hold: dealt into more, with the same counts, for null members and entities too."""
+    df = spark.range(2_000).select(F.when(F.col("id") % 3 > 0, "f").alias("f"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("m"), F.col("id") % 4)).alias("m"), F.when(F.col("id") % 11 > 0, F.col("id") % 300).alias("e"), F.col("id").cast("double").alias("q"))
+    make = lambda: A.with_overall(df, ["f"], "m", "name", "e", {"q": "q"})
+    want = rows(make())
+    monkeypatch.setattr(A, "ROWS_EACH", 100)
+    got = make()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got) == want and "RepartitionByExpression" in plan and ", 20" in plan
