@@ -55,11 +55,11 @@ def stream_visits(events: DataFrame, gap_seconds: int = 1800, late: str = "1 hou
 
     A user's open visits are one list in state; a batch's events, in order, join or merge the visits within the pause.
     One timer a user, at the end of the visit that ends first, gives out and removes all that have ended, so state holds
-    open visits only and is read and written once a user and batch, not once a visit. Needs the RocksDB state store
+    open visits only and is read and written once a user and batch, not once a visit. Events without a time are left out. Needs the RocksDB state store
     (:func:`with_keyed_state`).
     """
     stage = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.col("event_type")), F.lit(0)).cast("int")
-    x = events.withWatermark("ts", late).select("user_id", "ts", stage.alias("stage"))
+    x = events.withWatermark("ts", late).where("ts is not null").select("user_id", "ts", stage.alias("stage"))
     return x.groupBy("user_id").transformWithState(statefulProcessor=_visits(gap_seconds), outputStructType=VISITS, outputMode="append", timeMode="eventTime")
 
 

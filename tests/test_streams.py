@@ -156,7 +156,7 @@ def test_rate_query_covers_every_error(spark, tmp_path):
 def test_visits_read_state_once_a_user(spark, tmp_path):
     """A user with 200 visits in one batch holds one timer, not one a visit, and gives out the same visits."""
     rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=3 * (i // 2), minutes=i % 2), 7, "view" if i % 2 else "signup", 1.0, "{}") for i in range(400)]
-    spark.createDataFrame(rows[::-1], R.EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/part0.parquet")
+    spark.createDataFrame(rows[::-1] + [(400, None, 7, "view", 1.0, "{}")], R.EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/part0.parquet")
     seen = []
     got = R.run_available(R.stream_visits(R.read_events(R.with_keyed_state(spark), f"{tmp_path}/*.parquet", "part-*"), 3600), progress=seen)
     assert sorted((r.visit_start, r.visit_end, r.events, r.furthest) for r in got.collect()) == [(rows[i][1], rows[i + 1][1], 2, 3) for i in range(0, 398, 2)]
