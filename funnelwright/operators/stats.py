@@ -87,7 +87,7 @@ def with_t_p(df: DataFrame) -> DataFrame:
 
 def _rank_sums(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """U of side a, normal deviate with tie and continuity correction; input (keys, v, n_a, n_b)."""
-    c = counts.withColumn("_t", F.col("n_a") + F.col("n_b"))
+    c = cut_lineage(counts.withColumn("_t", F.col("n_a") + F.col("n_b")))  # counted, sampled and dealt: the table is read once for it
     run = running(c, keys, ["v"], sums={"_cum": "_t"})
     t = F.col("_t").cast("double")
     rank = F.col("_cum") - (t - 1) / 2.0

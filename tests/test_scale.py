@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from funnelwright.operators import aggregates as A
@@ -98,6 +99,27 @@ def test_rank_test_with_p_does_not_sort_a_group(spark, monkeypatch):
     assert len(got) == 1 and "SortMergeJoin [coalesce(g#" not in plan
 
 
+def test_running_gives_each_range_its_task(spark, monkeypatch):
+    """More rows than a range should hold: as many ranges as they ask for, and no two of them in one task."""
+    df = spark.range(6_000).select("id", (F.col("id") * 7919 % 6_007).alias("x"))
+    monkeypatch.setattr(O, "TARGET_ROWS", 100)
+    got = O.running(df, [], ["x"], sums={"cum": "id"}, previous={"prev": "x"}, row_number="rn")
+    most = got.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert most < 300 and got.agg(F.max("rn"), F.max("cum")).first() == (6_000, sum(range(6_000)))
+    assert got.where("prev is null").count() == 1 and got.where("prev >= x").count() == 0
+
+
+@pytest.mark.parametrize("make", [D.mann_whitney, lambda *a: D.with_normal_p(D.mann_whitney(*a))], ids=["d06_mann_whitney", "d06_mann_whitney_p"])
+def test_rank_test_of_many_values(spark, monkeypatch, make):
+    """Nearly every row a value of its own: ranked in as many tasks as they ask for, with the same result."""
+    df = spark.range(4_000).select(F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 9 > 0, "b").alias("g"), F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 3_989 / 7).alias("v"))
+    want, _ = unbroadcast(spark, monkeypatch, lambda: make(df, "g", "v", "a", "b"))
+    monkeypatch.setattr(O, "TARGET_ROWS", 100)
+    got, plan = unbroadcast(spark, monkeypatch, lambda: make(df, "g", "v", "a", "b"))
+    values = df.where("g is not null and v is not null").select("v").distinct().count()
+    assert got == want and len(got) == 1 and f", {-(-values // 100)})" in "".join(x for x in plan.splitlines() if "shufflepartitionid" in x)
+
+
 def test_overall_is_dealt_by_rows(spark, rows, monkeypatch):
     """More rows than the partitions should hold: dealt into more, with the same counts, for null members and entities too."""
     df = spark.range(2_000).select(F.when(F.col("id") % 3 > 0, "f").alias("f"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("m"), F.col("id") % 4)).alias("m"), F.when(F.col("id") % 11 > 0, F.col("id") % 300).alias("e"), F.col("id").cast("double").alias("q"))
